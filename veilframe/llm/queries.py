@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm.rewritings import rewritings
+from veilframe.llm.survivors import cells, records, survivors
 from veilframe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +24,30 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return rewritings(table(spark, folder, "entity_instance"), SCOPE).where("id = first_id").select("first_id", F.col("n").alias("copies"))
 
 
+#: The field that holds the record number, by entity type.
+RECORD_NUMBERS = {201: "mrn", 202: "donorNo", 203: "subjectNo", 204: "nr", 205: "specimenNo"}
+
+
+def _survivors(spark: SparkSession, folder: str, weighting: str) -> DataFrame:
+    return survivors(cells(table(spark, folder, "entity_instance"), table(spark, folder, "entity_type"), RECORD_NUMBERS), weighting)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _survivors(spark, folder, "recency").select("first_id", "field", "value_id")
+
+
+def p2_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    """Survivors when every row has one vote."""
+    return _survivors(spark, folder, "majority")
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One surviving record per record number, as JSON, with the row that gave each value."""
+    return records(_survivors(spark, folder, "recency")).select("first_id", F.to_json("record").alias("record"), F.to_json("sources").alias("sources"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_records)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_consensus, p2_records)}
 
 
 def oracle_sql() -> dict[str, str]:
