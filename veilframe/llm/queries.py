@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veilframe.llm.lookalike import forms, lookalikes
+from veilframe.llm.packing import fill_report, pack
 from veilframe.llm.rewritings import rewritings
 from veilframe.llm.survivors import cells, records, survivors
+from veilframe.llm.tokens import decode, encode, token_counts
 from veilframe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +49,41 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return records(_survivors(spark, folder, "recency")).select("first_id", F.to_json("record").alias("record"), F.to_json("sources").alias("sources"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode(table(spark, folder, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose decoded tokens differ from their text; there must be none."""
+    documents = table(spark, folder, "documents")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
+    return decode(encode(documents)).join(texts, "doc_id").where("text <> original").select("doc_id")
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(token_counts(table(spark, folder, "documents"), ["doc_id", "source"]), table(spark, folder, "token_container"))
+
+
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document (or piece of one) for each kind of container."""
+    return _packed(spark, folder)
+
+
+def p9_filled(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(_packed(spark, folder), table(spark, folder, "token_container"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes(table(spark, folder, "documents"))
+
+
+def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text in the one form."""
+    return forms(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_consensus, p2_records)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_consensus, p2_records, p8_ids, p8_roundtrip, p9_containers, p9_filled, p10_found, p10_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
