@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
 
-def checkpoint_folder(spark: SparkSession) -> str:
+
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="veilframe-"))
+    return "file://" + _LOCAL[0]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session may have ended before the process
+        pass
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there ever after.
+    """``df`` written once as a table to the shared folder and read from there ever after.
 
-    Used where a costly stage has several consumers, or where consumers must see the very same partitioning.
+    Used where a costly stage has several consumers, or where consumers must see the very same rows. The table is
+    columnar and compressed, so consumers read only what they need; it outlives any executor and is deleted when the
+    process ends.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
