@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm.lookalike import forms, lookalikes
+from veilframe.llm.matching import expand, match
 from veilframe.llm.packing import fill_report, pack
+from veilframe.llm.persons import person_rows
 from veilframe.llm.rewritings import rewritings
 from veilframe.llm.survivors import cells, records, survivors
 from veilframe.llm.tokens import decode, encode, token_counts
+from veilframe.plans.durable import durable
 from veilframe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +52,16 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return records(_survivors(spark, folder, "recency")).select("first_id", F.to_json("record").alias("record"), F.to_json("sources").alias("sources"))
 
 
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows that describe the same person in different projects, with the confidence of the match."""
+    rows = durable(person_rows(table(spark, folder, "entity_instance")))
+    return expand(match(rows), rows)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pairs(spark, folder).select("id_a", "id_b")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"))
 
@@ -83,7 +96,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_consensus, p2_records, p8_ids, p8_roundtrip, p9_containers, p9_filled, p10_found, p10_forms)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_consensus, p2_records, p5_found, p5_pairs, p8_ids, p8_roundtrip, p9_containers, p9_filled, p10_found, p10_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -119,27 +119,26 @@ def survivors(found: DataFrame, weighting: str = "recency", hot_rows: int = HOT_
     """
     recency = {"recency": True, "majority": False}[weighting]
     rank = F.struct(F.coalesce("updated", F.lit(-(2**63))).alias("updated"), F.col("id").alias("id"))
-    variants = found.groupBy(*CELL, "value").agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("rows"))
+    variants = durable(found.groupBy(*CELL, "value").agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("rows")))
     strength = F.struct(F.col("rank").alias("r")) if recency else F.struct(F.col("rows").alias("w"), F.col("rank").alias("r"))
-    summary = variants.groupBy(*CELL).agg(F.max_by("value", strength).alias("center"), F.max_by("rank", strength).alias("rank"), F.count(F.lit(1)).alias("n"), F.sum("rows").alias("total"))
-    agreed = summary.where("n = 1").select(*CELL, F.col("center").alias("value"), F.col("rank.id").alias("value_id"))
+    summary = variants.groupBy(*CELL).agg(F.max(F.struct(strength.alias("s"), F.col("value").alias("center"))).alias("best"), F.count(F.lit(1)).alias("n"))
+    agreed = summary.where("n = 1").select(*CELL, F.col("best.center").alias("value"), F.col("best.s.r.id").alias("value_id"))
 
     spread = variants.withColumn("id", F.col("rank.id"))
-    contested = lookup(spread, summary.where("n > 1").select(*CELL, "center", "n"), CELL, hot_rows=hot_rows)
+    contested = durable(lookup(spread, summary.where("n > 1").select(*CELL, F.col("best.center").alias("center"), "n"), CELL, hot_rows=hot_rows))
     votes = contested.select(*CELL, "value", "center", "rows", "rank.updated", "rank.id").mapInArrow(_votes, "first_id bigint, field string, at int, inserted int, token string, weight bigint, updated bigint, id bigint")
     tallies = votes.groupBy(*CELL, "at", "inserted", "token").agg(F.sum("weight").alias("w"), F.max(F.struct("updated", "id")).alias("r"))
-    order = F.struct("r") if recency else F.struct("w", "r")
-    columns = tallies.groupBy(*CELL, "at", "inserted").agg(F.max_by("token", order).alias("token"), F.max_by("w", order).alias("w"), F.max_by("r", order).alias("r"))
-    # in an inserted column all values that don't insert anything vote for the gap
-    contest = summary.where("n > 1").select(*CELL, "n", "total", F.col("rank").alias("top"))
-    beats_gap = (F.col("r") == F.col("top")) if recency else (2 * F.col("w") > F.col("total"))
-    kept = columns.join(contest, CELL).where((F.col("inserted") == 0) | beats_gap).where("token <> ''")
-    consensus = kept.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("inserted") == 0, 2**31 - 1).otherwise(F.col("inserted")).alias("k"), "token"))).alias("c"))
-    consensus = contest.select(*CELL, "n").join(consensus.select(*CELL, F.array_join("c.token", " ").alias("text")), CELL, "left")
-    measured = lookup(spread, consensus, CELL, hot_rows=hot_rows)
+    order = F.struct("r", "token") if recency else F.struct("w", "r", "token")
+    columns = tallies.groupBy(*CELL, "at", "inserted").agg(F.max(order).alias("win"), F.sum("w").alias("cast")).select(*CELL, "at", "inserted", "win.token", "win.r", (F.lit(0) if recency else F.col("win.w")).alias("w"), "cast")
+    # in a column of the center everyone votes; in an inserted one all values that insert nothing vote for the gap
+    place = F.when(F.col("inserted") == 0, 2**31 - 1).otherwise(F.col("inserted")).alias("k")
+    cell = columns.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("at", place, "token", "r", "w"))).alias("c"), F.max("r").alias("top"), F.max(F.when(F.col("inserted") == 0, F.col("cast"))).alias("total"))
+    stays = lambda x: (x["token"] != "") & ((x["k"] == 2**31 - 1) | ((x["r"] == F.col("top")) if recency else (2 * x["w"] > F.col("total"))))
+    consensus = cell.select(*CELL, F.array_join(F.transform(F.filter("c", stays), lambda x: x["token"]), " ").alias("text"))
+    measured = lookup(contested.drop("center", "n"), contested.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).join(consensus, CELL, "left"), CELL, hot_rows=hot_rows)
     distance = F.levenshtein(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")), F.coalesce("text", F.lit("")))
-    nearest = measured.groupBy(*CELL).agg(F.max_by(F.struct("value", "id"), F.struct(-distance, F.col("rank"))).alias("best"))
-    return agreed.unionByName(nearest.select(*CELL, "best.value", F.col("best.id").alias("value_id")))
+    nearest = measured.groupBy(*CELL).agg(F.max(F.struct((-distance).alias("d"), "rank", "value")).alias("best"))
+    return agreed.unionByName(nearest.select(*CELL, "best.value", F.col("best.rank.id").alias("value_id")))
 
 
 def records(chosen: DataFrame) -> DataFrame:
