@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilframe.llm.persons import ATTRIBUTES
+from veilframe.llm.sliding import EDGE, OUT_DDL, PAIR, PAIRED, RECORD, SIZE, slide
 from veilframe.plans.durable import durable
 from veilframe.plans.skew import HOT_ROWS, hot_groups
 
 #: Neighbours compared on either side in each sorted order.
-WINDOW = 8
+WINDOW = 6
 #: Records of one sorted stretch that a task holds; stretches overlap by the window.
 STRETCH = 4_096
 #: Least total of the weights below for a match, and the total that counts as certain.
@@ -62,33 +63,39 @@ def passes() -> dict[str, Column]:
 LEADING = {"birth": ["birth"], "names": ["first", "last"], "phone": ["phone"], "email": ["email"], "home": ["zip", "first"]}
 
 
-def neighbours(records: DataFrame, window: int = WINDOW, stretch: int = STRETCH) -> DataFrame:
-    """Pairs of records that lie within ``window`` places of each other in one of the sorted orders: structs a and b.
+def neighbours(records: DataFrame, least: float, window: int = WINDOW, stretch: int = STRETCH) -> DataFrame:
+    """Pairs of records of different projects within ``window`` places of each other in one of the sorted orders, as
+    far as they can reach ``least``: ``record``, ``project_id``, ``first``, ``last``, ``birth``, the same of the other
+    and ``apart``, the weight of all but the names.
 
-    All orders are sorted at once over range partitions. Places are counted through (sizes of partitions are summed,
-    then added to places within), and places are cut into stretches of ``stretch`` that repeat the last ``window``
-    records of the stretch before. So every window is complete, and however many records share a key, a task holds one
-    stretch.
+    All orders are sorted at once over range partitions, and a window slides over each partition; names add at most
+    two weights, so a pair that falls short by more is dropped there. Pairs that span partitions come from the
+    partitions' first and last ``window`` records: these get their places in the whole order (sizes of partitions,
+    one row each, are summed), are cut into stretches of ``stretch`` places that repeat the last records of the
+    stretch before, and slide again. So every window is complete, and however many records share a key, no task holds
+    more than its range.
     """
-    keys = F.array_compact(F.array(*[F.when(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in LEADING[name]]), F.struct(F.lit(name).alias("pass"), key.alias("key"))) for name, key in passes().items()]))
-    expanded = records.select("*", F.explode(keys).alias("k")).select("*", "k.pass", "k.key").drop("k")
+    reach = least - WEIGHTS["first"]["same"] - WEIGHTS["last"]["same"]
+    known = lambda names: reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names])
+    keys = F.array_compact(F.array(*[F.when(known(LEADING[name]), F.struct(F.lit(number).alias("pass"), key.alias("key"))) for number, (name, key) in enumerate(passes().items())]))
+    code = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(0)).cast("bigint").alias(c)
+    compact = records.select("record", "project_id", "first", "last", F.coalesce(F.col("birth").cast("int"), F.lit(0)).alias("birth"), *[code(c) for c in ("phone", "email", "street", "zip", "sex")], keys.alias("keys"))
+    expanded = compact.withColumn("k", F.explode("keys")).select("*", "k.pass", "k.key").drop("k", "keys")
     spread = max(1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = expanded.repartitionByRange(spread, "pass", "key", "record").sortWithinPartitions("pass", "key", "record")
-    placed = durable(ordered.withColumn("mark", F.monotonically_increasing_id()).withColumn("part", F.shiftright("mark", 33).cast("int")).withColumn("within", F.col("mark").bitwiseAND(F.lit((1 << 33) - 1))).drop("mark", "key"))
-    # one row per partition
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("held"))
+    columns = [n for n, _ in RECORD]
+    placed = ordered.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).withColumn("stretch", F.lit(0).cast("bigint")).withColumn("own", F.lit(0).cast("bigint"))
+    within = durable(placed.select(*columns).mapInArrow(slide(window, reach, WEIGHTS, across=False), OUT_DDL))
+
+    sizes = within.where(F.col("kind") == SIZE).select("part", F.col("place").alias("held"))
     offsets = sizes.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    place = (F.col("offset") + F.col("within")).alias("place")
-    counted = placed.join(F.broadcast(offsets), "part").select("pass", F.struct("record", "project_id", *ATTRIBUTES).alias("r"), place)
-    own = F.floor(F.col("place") / stretch).cast("long")
+    edges = within.where(F.col("kind") == EDGE).select(*columns).join(F.broadcast(offsets), "part").withColumn("place", F.col("place") + F.col("offset"))
+    own = F.floor(F.col("place") / stretch).cast("bigint")
     lent = F.when(F.col("place") % stretch >= stretch - window, F.array(own, own + 1)).otherwise(F.array(own))
-    stretched = counted.withColumn("own", own).withColumn("stretch", F.explode(lent))
-    slide = Window.partitionBy("stretch").orderBy("place")
-    # the later record of a pair looks back; records lent from the stretch before only get looked at
-    back = F.array(*[F.struct(F.lag("r", d).over(slide).alias("r"), F.lag("pass", d).over(slide).alias("pass")) for d in range(1, window + 1)])
-    seen = stretched.withColumn("back", back).where("own = stretch")
-    found = F.filter("back", lambda x: (x["pass"] == F.col("pass")) & (x["r"]["project_id"] != F.col("r.project_id")))
-    return seen.select(F.col("r").alias("b"), F.explode(found).alias("x")).select(F.col("x.r").alias("a"), "b")
+    edges = edges.withColumn("own", own).withColumn("stretch", F.explode(lent)).select(*columns).repartition("stretch").sortWithinPartitions("stretch", "place")
+    between = edges.mapInArrow(slide(window, reach, WEIGHTS, across=True), OUT_DDL)
+    pair = ["record", "project_id", "first", "last", "birth", *[n for n, _ in PAIR]]
+    return within.where(F.col("kind") == PAIRED).select(*pair).unionByName(between.select(*pair))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -115,49 +122,28 @@ def _last(a: Column, b: Column) -> Column:
     return F.when(a == b, w["same"]).when(_near(a, b), w["near"]).when(F.arrays_overlap(F.split(a, " "), F.split(b, " ")), w["part"]).otherwise(w["other"])
 
 
-def _birth(a: Column, b: Column) -> Column:
-    w = WEIGHTS["birth"]
-    bits = [(F.substring(a, p, n).cast("int"), F.substring(b, p, n).cast("int")) for p, n in ((1, 4), (5, 2), (7, 2))]
-    off = reduce(lambda x, y: x + y, [(x != y).cast("int") for x, y in bits])
-    near = reduce(lambda x, y: x + y, [((F.abs(x - y) == 1)).cast("int") for x, y in bits])
-    decade = (F.abs(bits[0][0] - bits[0][1]) == 10).cast("int")
-    exchanged = (bits[0][0] == bits[0][1]) & (bits[1][0] == bits[2][1]) & (bits[1][1] == bits[2][0])
-    far_year = F.abs(bits[0][0] - bits[0][1]) > 10
-    return F.when(a == b, w["same"]).when(exchanged | ((off == 1) & (near + decade == 1)), w["step"]).when((off == 1) & ~far_year, w["one"]).when((off == 2) & (near >= 1) & ~far_year, w["two"]).otherwise(w["other"])
-
-
-def _plain(name: str, a: Column, b: Column) -> Column:
-    return F.when(a == b, WEIGHTS[name]["same"]).otherwise(WEIGHTS[name]["other"])
-
+def name_weight() -> Column:
+    """Weight of first and last name of a pair, compared straight and exchanged; the better way counts.
 
-def score(a: str = "a", b: str = "b") -> Column:
-    """Total weight of the evidence of two records; attributes that aren't known on both sides count nothing.
-
-    Names are compared straight and exchanged, and the better way counts. A first name that differs altogether is
-    forgiven only with other strong evidence (an equal e-mail address), so that twins and households stay apart.
+    A first name that differs altogether is forgiven only with other strong evidence (an equal e-mail address), so that
+    twins and households stay apart; a differing last name counts more if a birth date isn't known.
     """
-    get = lambda side, name: F.col(f"{side}.{name}")
-
-    def both(name: str, value: Column) -> Column:
-        return F.coalesce(value, F.lit(0.0))
-
-    straight = both("first", _first(get(a, "first"), get(b, "first"))) + both("last", _last(get(a, "last"), get(b, "last")))
-    crossed = _first(get(a, "first"), get(b, "last")) + _first(get(a, "last"), get(b, "first")) - 0.5
-    unsure = F.when(get(a, "birth").isNull() | get(b, "birth").isNull(), F.when(_last(get(a, "last"), get(b, "last")) < 0, -1.5).otherwise(0.0)).otherwise(_birth(get(a, "birth"), get(b, "birth")))
-    total = F.greatest(straight, F.coalesce(crossed, F.lit(-99.0))) + unsure
-    for name in ("phone", "email", "street", "zip", "sex"):
-        value = F.when(get(a, name).isNotNull() & get(b, name).isNotNull(), _plain(name, get(a, name), get(b, name)))
-        total = total + F.coalesce(value, F.lit(0.0))
-    return total
+    fa, la, fb, lb = F.col("first"), F.col("last"), F.col("other_first"), F.col("other_last")
+    last = F.coalesce(_last(la, lb), F.lit(0.0))
+    unsure = F.when((last < 0) & ((F.col("birth") == 0) | (F.col("other_birth") == 0)), -1.5).otherwise(0.0)
+    straight = F.coalesce(_first(fa, fb), F.lit(0.0)) + last + unsure
+    crossed = F.when((fa != fb) & (la != lb), _first(fa, lb) + _first(la, fb) - 0.5)
+    return F.greatest(straight, crossed)
 
 
 def links(records: DataFrame, least: float = LEAST, window: int = WINDOW, stretch: int = STRETCH) -> DataFrame:
     """Pairs of records of different projects that pass: ``x``, ``y`` (records, the smaller project first), their
     projects ``px``, ``py`` and ``weight``, the evidence in thousandths."""
-    pairs = neighbours(records, window, stretch).withColumn("weight", score()).where(F.col("weight") >= least)
-    forward = F.col("a.project_id") < F.col("b.project_id")
-    sided = pairs.select(*[F.when(forward, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(n) for c, n in (("record", "x"), ("project_id", "px"))], *[F.when(forward, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(n) for c, n in (("record", "y"), ("project_id", "py"))], F.round(F.col("weight") * 1000).cast("long").alias("weight"))
-    return sided.groupBy("x", "y", "px", "py").agg(F.max("weight").alias("weight"))
+    pairs = neighbours(records, least, window, stretch).withColumn("weight", F.col("apart") + name_weight()).where(F.col("weight") >= least)
+    forward = F.col("project_id") < F.col("other_project")
+    one, two = F.struct(F.col("record").alias("r"), F.col("project_id").alias("p")), F.struct(F.col("other").alias("r"), F.col("other_project").alias("p"))
+    sided = pairs.select(F.when(forward, one).otherwise(two).alias("x"), F.when(forward, two).otherwise(one).alias("y"), F.round(F.col("weight") * 1000).cast("long").alias("weight"))
+    return sided.groupBy(F.col("x.r").alias("x"), F.col("y.r").alias("y"), F.col("x.p").alias("px"), F.col("y.p").alias("py")).agg(F.max("weight").alias("weight"))
 
 
 def assign(found: DataFrame, rounds: int = 40) -> DataFrame:
