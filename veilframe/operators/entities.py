@@ -40,7 +40,7 @@ def delete_instances(ids: DataFrame, instances: DataFrame, as_of: Column) -> Dat
     gone = ids.select("id").distinct().withColumn("_gone", F.lit(True))
     joined = instances.join(gone, "id", "left")
     hit = F.col("_gone") & ~F.col("is_deleted")
-    return joined.withColumn("is_deleted", F.coalesce(hit, F.lit(False)) | F.col("is_deleted")).withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at"))).select(*instances.columns)
+    return joined.withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at"))).withColumn("is_deleted", F.coalesce(hit, F.lit(False)) | F.col("is_deleted")).select(*instances.columns)
 
 
 def derived(instances: DataFrame) -> DataFrame:
