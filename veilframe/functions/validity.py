@@ -64,9 +64,14 @@ def clamp_start(given: Column, domain_from: Column, enforced: Column) -> tuple[C
     return bounded, given.isNull() | (F.coalesce(enforced, F.lit(False)) & ~(given > domain_from))
 
 
-def clamp_end(given: Column, period: Column, start: Column, domain_to: Column, enforced: Column) -> tuple[Column, Column]:
-    """The end and whether it is inherited. An explicit end goes before a period, which counts from ``start``."""
-    wanted = F.coalesce(given, plus(start, period))
+def wanted_end(given: Column, period: Column, start: Column) -> Column:
+    """The end asked for: an explicit one goes before a period, which counts from ``start``."""
+    return F.coalesce(given, plus(start, period))
+
+
+def clamp_end(wanted: Column, domain_to: Column, enforced: Column) -> tuple[Column, Column]:
+    """The end of a pseudonym and whether it is inherited: not after the domain's if that is enforced, else as wanted;
+    the domain's if none is. Give ``wanted`` as a column of its own, not as the long expression of ``wanted_end``."""
     bounded = F.when(wanted.isNull(), domain_to).when(enforced, F.least(wanted, domain_to)).otherwise(wanted)
     return bounded, wanted.isNull() | (F.coalesce(enforced, F.lit(False)) & ~(wanted < domain_to))
 

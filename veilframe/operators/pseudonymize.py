@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from veilframe.functions import hashing, luhn
@@ -77,10 +79,6 @@ def random_text(alphabet: Column, length: Column, seed: int | None = None) -> Co
 
 def secret_text(alphabet: str, length: int):
     """A pandas function that draws from the operating system's generator."""
-    import secrets
-
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(rows: pd.Series) -> pd.Series:
         return pd.Series(["".join(secrets.choice(alphabet) for _ in range(length)) for _ in range(len(rows))], index=rows.index)
@@ -120,9 +118,9 @@ def by_domain(rows: DataFrame, domains: DataFrame, name: str = "psn") -> DataFra
     text = F.concat("identifier", "idtype", "_s")
     joined = rows.join(settings, "domainid", "left")
     raw = F.when(F.col("_a") == "MD5", hashing.md5(text)).when(F.col("_a") == "SHA1", hashing.sha1(text)).when(F.col("_a") == "SHA2", hashing.sha2(text)).when(F.col("_a") == "SHA3", hashing.sha3(text))
-    psn = F.concat("_p", luhn.corrected_length(raw, F.col("_l"), F.col("_c")))
-    digit = luhn.with_check_digit(psn, F.col("_p"), F.lit(luhn.MOD16), F.col("_i"), F.lit(False))
-    return joined.withColumn(name, F.when(F.col("_d"), digit).otherwise(psn)).drop("_a", "_p", "_s", "_l", "_c", "_d", "_i")
+    joined = joined.withColumn("_raw", raw).withColumn("_psn", F.concat("_p", luhn.corrected_length(F.col("_raw"), F.col("_l"), F.col("_c"))))
+    digit = luhn.with_check_digit(F.col("_psn"), F.col("_p"), F.lit(luhn.MOD16), F.col("_i"), F.lit(False))
+    return joined.withColumn(name, F.when(F.col("_d"), digit).otherwise(F.col("_psn"))).drop("_a", "_p", "_s", "_l", "_c", "_d", "_i", "_raw", "_psn")
 
 
 def supplied(psn: Column, prefix: Column, omit_prefix: bool = False) -> Column:

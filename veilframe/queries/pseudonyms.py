@@ -191,7 +191,8 @@ def validity_clamp(spark, folder):
     start, start_inherited = validity.clamp_start(F.col("validfrom"), F.col("df"), F.col("es"))
     rows = rows.withColumn("start", start).withColumn("start_inherited", start_inherited)
     given, period = F.when(F.col("id") % 3 != 0, F.col("validto")), F.when(F.col("id") % 2 == 0, F.lit("12 weeks"))
-    end, end_inherited = validity.clamp_end(given, period, F.col("start"), F.col("dt"), F.col("ee"))
+    rows = rows.withColumn("wanted", validity.wanted_end(given, period, F.col("start")))
+    end, end_inherited = validity.clamp_end(F.col("wanted"), F.col("dt"), F.col("ee"))
     return rows.select("id", "start", "start_inherited", end.alias("end"), end_inherited.alias("end_inherited"))
 
 

@@ -544,9 +544,9 @@ def permission_catalogue(spark, folder):
     return M.catalogue(spark)
 
 
-@query(_GRANTS + " select p.id from project p where exists (select 1 from n where n.subject_id = '42' and n.resource_type = 'PROJECT' and n.resource_id = p.id)")
+@query(_GRANTS + " select p.id from project p where exists (select 1 from n where n.subject_id = '30' and n.resource_type = 'PROJECT' and n.resource_id = p.id)")
 def accessible_projects(spark, folder):
-    return M.accessible(projects(spark, folder), grants(spark, folder), "42", _now(spark, folder)).select("id")
+    return M.accessible(projects(spark, folder), grants(spark, folder), "30", _now(spark, folder)).select("id")
 
 
 @query(_GRANTS + " select g.subject_id, g.resource_type, g.resource_id, g.action, g.valid_from::timestamptz valid_from, coalesce(case when resource_type = 'DOMAIN' then d.name end, case when resource_type = 'PROJECT' then p.abbreviation end) as label from g left join pseudonym_domain d on d.id = g.resource_id and resource_type = 'DOMAIN' left join project p on p.id = g.resource_id and resource_type = 'PROJECT'")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilframe.functions.normalize import blank
-from veilframe.functions.validity import clamp_end, clamp_start, parse
+from veilframe.functions.validity import clamp_end, clamp_start, parse, wanted_end
 from veilframe.operators.classify import SUCCESS, create
 from veilframe.operators.pseudonymize import by_domain
 
@@ -71,14 +71,15 @@ def pseudonymized(rows: DataFrame, domains: DataFrame, as_of: Column) -> DataFra
     (without a prefix put on) supplied. Messages of expired domains get ``reject``."""
     d = domains.select(F.lower("name").alias("_l"), F.col("id").alias("domainid"), F.col("validfrom").alias("_from"), F.col("validto").alias("_to"), F.col("enforcestartdatevalidity").alias("_es"), F.col("enforceenddatevalidity").alias("_ee"))
     joined = rows.where("reject is null").join(F.broadcast(d), F.lower(F.trim("domain")) == F.col("_l"), "left").drop("_l")
-    ntz = lambda c: parse(F.col(c)).cast("timestamp_ntz")
-    start, start_inherited = clamp_start(ntz("valid_from"), F.col("_from"), F.col("_es"))
+    joined = joined.withColumn("_given_from", parse(F.col("valid_from")).cast("timestamp_ntz")).withColumn("_given_to", parse(F.col("valid_to")).cast("timestamp_ntz"))
+    start, start_inherited = clamp_start(F.col("_given_from"), F.col("_from"), F.col("_es"))
     joined = joined.withColumn("validfrom", start).withColumn("validfrominherited", start_inherited)
-    end, end_inherited = clamp_end(ntz("valid_to"), F.col("validity"), F.col("validfrom"), F.col("_to"), F.col("_ee"))
+    joined = joined.withColumn("_wanted", wanted_end(F.col("_given_to"), F.col("validity"), F.col("validfrom")))
+    end, end_inherited = clamp_end(F.col("_wanted"), F.col("_to"), F.col("_ee"))
     joined = joined.withColumn("validto", end).withColumn("validtoinherited", end_inherited).withColumn("reject", F.when(F.col("domainid").isNull(), "unknown domain").when(F.col("_to") < as_of, "domain expired"))
     made = by_domain(joined.withColumnRenamed("psn", "_given"), domains, "_made")
     given = F.when(~blank(F.col("_given")), F.trim("_given"))
-    return made.withColumn("pseudonym", F.coalesce(given, F.col("_made"))).drop("_given", "_made", "_from", "_to", "_es", "_ee")
+    return made.withColumn("pseudonym", F.coalesce(given, F.col("_made"))).drop("_given", "_made", "_from", "_to", "_es", "_ee", "_given_from", "_given_to", "_wanted")
 
 
 def batch(messages: DataFrame, domains: DataFrame, held: DataFrame, as_of: Column, defaults: dict[str, Column] | None = None, fields: Fields = Fields()) -> tuple[DataFrame, DataFrame, DataFrame]:
