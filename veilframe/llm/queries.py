@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilframe.llm.lookalike import forms, lookalikes
+from veilframe.llm.lookalike import form_sql, forms, lookalikes
 from veilframe.llm.matching import expand, match
 from veilframe.llm.packing import fill_report, pack
 from veilframe.llm.persons import person_rows
@@ -100,4 +100,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say it; the other queries are tested against brute force."""
+    form = form_sql()
+    formed = f"with f as (select doc_id, text, {form} as form from documents where text is not null)"
+    return {
+        "p8_roundtrip": "select doc_id from documents where false",
+        "p10_forms": f"select doc_id, {form} as form from documents",
+        "p10_found": formed + ", v as (select * from f where regexp_matches(form, '[^\\s\\x{85}\\x{2028}\\x{2029}]')) select a.doc_id doc_id_a, b.doc_id doc_id_b from v a join v b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id",
+    }
