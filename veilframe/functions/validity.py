@@ -79,3 +79,13 @@ def clamp_end(wanted: Column, domain_to: Column, enforced: Column) -> tuple[Colu
 def valid_at(start: Column, end: Column, moment: Column) -> Column:
     """Half-open validity; a null bound is open."""
     return (start.isNull() | (start <= moment)) & (end.isNull() | (end > moment))
+
+
+def updated_start(given: Column, old: Column, domain_from: Column, enforced: Column) -> Column:
+    """The start after an update: the new one within the domain's, or the old one if none is given."""
+    return F.when(given.isNull(), old).when(enforced, F.greatest(given, domain_from)).otherwise(given)
+
+
+def updated_end(wanted: Column, old: Column, domain_to: Column, enforced: Column) -> Column:
+    """The end after an update, likewise."""
+    return F.when(wanted.isNull(), old).when(enforced, F.least(wanted, domain_to)).otherwise(wanted)

@@ -91,3 +91,23 @@ def create_with_retries(requests: DataFrame, held: DataFrame, draw: Callable[[Da
             break
         known = known.unionByName(results.where(F.col("status") == SUCCESS).select(*FULL_KEY))
     return done
+
+
+def complete(changes: DataFrame, held: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Held rows after complete updates (``id`` and new identifier, idtype, domainid, validity; null keeps the old).
+
+    A row whose identifier, type or domain changes gets a new pseudonym from ``make`` (which adds ``psn`` to rows with
+    identifier, idtype and domainid), unless the change brings one of its own in ``new_pseudonym``.
+    """
+    news = [c[4:] for c in changes.columns if c.startswith("new_")]
+    joined = held.join(changes, "id")
+    value = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c)) if c in news else F.col(c)
+    key = ["identifier", "idtype", "domainid"]
+    moved = F.lit(False)
+    for c in key:
+        moved = moved | ~value(c).eqNullSafe(F.col(c))
+    own = F.col("new_pseudonym") if "new_pseudonym" in news else F.lit(None).cast("string")
+    changed = joined.select("id", *[value(c).alias(c) for c in held.columns if c not in ("id", "pseudonym")], F.col("pseudonym").alias("_old"), own.alias("_own"), moved.alias("_moved"))
+    made = make(changed)
+    fresh = made.withColumn("pseudonym", F.coalesce("_own", F.when(F.col("_moved"), F.col("psn")).otherwise(F.col("_old")))).select(*held.columns)
+    return held.join(changes.select("id").distinct(), "id", "left_anti").unionByName(fresh)

@@ -133,3 +133,33 @@ def with_labels(instances: DataFrame, projects: DataFrame, types: DataFrame) ->
     p = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
     t = types.select(F.col("id").alias("entity_type_id"), F.col("name").alias("type_name"))
     return instances.join(p, "project_id", "left").join(t, "entity_type_id", "left")
+
+
+def set_domain(domains: DataFrame, domain_id: int, **values: object) -> DataFrame:
+    """Domains with some values of one replaced (counter, salt, name, ...); a given property is no longer inherited."""
+    here = F.col("id") == domain_id
+    flags = {f"{k}inherited": False for k in values if f"{k}inherited" in domains.columns}
+    changed = {**values, **flags}
+    return domains.select(*[F.when(here, F.lit(changed[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in changed else F.col(f.name) for f in domains.schema])
+
+
+def domain_labels(domains: DataFrame) -> DataFrame:
+    """Domains with the name of their parent."""
+    parents = domains.select(F.col("id").alias("superdomainid"), F.col("name").alias("parent_name"))
+    return domains.join(parents, "superdomainid", "left").select(*domains.columns, "parent_name")
+
+
+#: What a project image may be.
+IMAGE_TYPES, IMAGE_BYTES = ("image/png", "image/jpeg", "image/gif", "image/webp"), 5 * 1024 * 1024
+
+
+def usable_images(images: DataFrame) -> DataFrame:
+    """Images (``data`` binary, ``mime``) with the reason why one can't be stored, null if it can."""
+    size = F.length("data")
+    reason = F.when(F.col("data").isNull() | (size == 0), "empty").when(size > IMAGE_BYTES, "too large").when(~F.coalesce(F.lower("mime"), F.lit("")).isin(*IMAGE_TYPES), "wrong type")
+    return images.withColumn("reason", reason)
+
+
+def emptied(table: DataFrame) -> DataFrame:
+    """A table without its rows, to be written over it."""
+    return table.limit(0)

@@ -251,3 +251,8 @@ def auto_link(requests: DataFrame, found: DataFrame, config: Config) -> DataFram
     returns = (F.col("status") == "ACTIVE") & F.lit(config.on_match == "returnExisting")
     action = F.when(F.col("id").isNull(), "created").when(returns, "returned").otherwise("conflict")
     return joined.select("query", action.alias("action"), F.when(returns, F.col("id")).alias("id"))
+
+
+def tokens_of(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """All tokens of candidate ids."""
+    return index.join(ids.select("id").distinct(), "id", "left_semi")

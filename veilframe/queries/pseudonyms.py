@@ -483,3 +483,34 @@ def instance_pseudonyms(spark, folder):
     """Everything known of the identifiers of one type, down the tree; identifiers stand for instance uids here."""
     uids = pseudonyms(spark, folder).where("idtype = 'HOSP-ID'").select(F.col("identifier").alias("instance_uid")).distinct()
     return linked.of_instances(uids, pseudonyms(spark, folder), domains(spark, folder), "Nordlicht", "HOSP-ID")
+
+
+@query("select p.id, case when p.id % 3 = 0 then p.validfrom when d.enforcestartdatevalidity then greatest(timestamp '2019-01-01', d.validfrom) else timestamp '2019-01-01' end \"start\", case when p.id % 4 = 0 then p.validto when d.enforceenddatevalidity then least(timestamp '2050-01-01', d.validto) else timestamp '2050-01-01' end \"end\" from pseudonym p join pseudonym_domain d on d.id = p.domainid")
+def validity_update(spark, folder):
+    d = domains(spark, folder).select(F.col("id").alias("domainid"), F.col("validfrom").alias("df"), F.col("validto").alias("dt"), F.col("enforcestartdatevalidity").alias("es"), F.col("enforceenddatevalidity").alias("ee"))
+    rows = pseudonyms(spark, folder).join(d, "domainid")
+    start, end = F.when(F.col("id") % 3 != 0, F.expr("timestamp_ntz'2019-01-01'")), F.when(F.col("id") % 4 != 0, F.expr("timestamp_ntz'2050-01-01'"))
+    return rows.select("id", validity.updated_start(start, F.col("validfrom"), F.col("df"), F.col("es")).alias("start"), validity.updated_end(end, F.col("validto"), F.col("dt"), F.col("ee")).alias("end"))
+
+
+@query(f"select p.id, case when p.id % 2 = 0 then p.identifier || '-2' else p.identifier end identifier, case when p.id % 2 = 0 and d.algorithm in ('MD5', 'SHA1') and not d.addcheckdigit then d.prefix || lpad(case d.algorithm when 'MD5' then upper(md5(p.identifier || '-2' || p.idtype || d.salt)) else upper(sha1(p.identifier || '-2' || p.idtype || d.salt)) end, d.pseudonymlength, d.paddingcharacter) else p.pseudonym end pseudonym from pseudonym p join pseudonym_domain d on d.id = p.domainid where d.algorithm in ('MD5', 'SHA1') and not d.addcheckdigit")
+def update_complete(spark, folder):
+    """Complete updates of identifiers in domains that hash without a check digit: the pseudonym is made anew."""
+    some = domains(spark, folder).where("algorithm in ('MD5', 'SHA1') and not addcheckdigit")
+    held = pseudonyms(spark, folder).join(some.select(F.col("id").alias("domainid")), "domainid", "left_semi")
+    changes = held.where("id % 2 = 0").select("id", F.concat("identifier", F.lit("-2")).alias("new_identifier"))
+    return classify.complete(changes, held, lambda rows: P.by_domain(rows, some)).select("id", "identifier", "pseudonym")
+
+
+@query("select d.id, p.name parent_name from pseudonym_domain d left join pseudonym_domain p on p.id = d.superdomainid")
+def domain_labels(spark, folder):
+    from veilframe.operators.entities import domain_labels as labels
+
+    return labels(domains(spark, folder)).select("id", "parent_name")
+
+
+@query("select id, case when id = 3 then 7 else consecutivevaluecounter end consecutivevaluecounter, case when id = 3 then 'new salt' else salt end salt from pseudonym_domain")
+def domain_settings(spark, folder):
+    from veilframe.operators.entities import set_domain
+
+    return set_domain(domains(spark, folder), 3, consecutivevaluecounter=7, salt="new salt").select("id", "consecutivevaluecounter", "salt")

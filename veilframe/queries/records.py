@@ -652,3 +652,17 @@ def stream_batch(spark, folder):
     held = table(spark, folder, "pseudonym").select("domainid", "identifier", "idtype", "pseudonym")
     results, rejects, _ = ingest.batch(_messages(spark, folder).select("value"), domains, held, F.expr("timestamp_ntz'2025-06-01 00:00:00'"))
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n")).unionByName(rejects.groupBy(F.col("reject").alias("status")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query()
+def json_path_values(spark, folder):
+    """All diagnosis codes of the encounters, through both arrays; tested by itself."""
+    from veilframe.functions.jsonpath import values
+
+    return instances(spark, folder).where("entity_type_id = 201").select("id", values("encounters.diagnoses.code")("data").alias("codes"))
+
+
+@query(_CUST + f", t as ({_tokens_sql(PLAIN)}) select * from t where id % 9 = 0")
+def tokens_of(spark, folder):
+    made = L.tokens(customers(spark, folder), PLAIN, COLUMNS).drop("bits")
+    return L.tokens_of(made, customers(spark, folder).where("id % 9 = 0"))
