@@ -17,6 +17,13 @@ def forest(spark):
     return spark.createDataFrame(FOREST, "id int, name string, superdomainid int")
 
 
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_hot_keys_have_one_winner(spark, hot):
+    requests = spark.range(40).select(F.col("id").alias("request"), F.lit(1).alias("domainid"), F.when(F.col("id") < 30, None).otherwise("i").alias("identifier"), F.lit("t").alias("idtype"), F.col("id").cast("string").alias("pseudonym")).repartition(5)
+    got = classify.create(requests, spark.createDataFrame([], HELD), hot_rows=hot)
+    assert sorted(r.request for r in got.where("status = 'success'").collect()) == [0, 30] and got.count() == 40
+
+
 def test_create_classifies_against_what_is_held_and_within_the_batch(spark):
     held = spark.createDataFrame([(1, "i1", "t", "p1"), (1, "i1", "t", "p1"), (2, "i9", "t", "p9")], HELD)
     rows = [(1, 1, "i1", "t", "new"), (2, 1, "i2", "t", "p1"), (3, 1, "i3", "t", "p3"), (4, 1, "i3", "t", "p4"), (5, 1, "i5", "t", "p3"), (6, 2, "i1", "t", "p1"), (7, 1, None, "t", "p7"), (8, None, "i8", "t", None)]

@@ -33,7 +33,8 @@ def test_batch(spark):
     held = spark.createDataFrame([], "domainid int, identifier string, idtype string, pseudonym string")
     results, rejects, fresh = ingest.batch(messages, domains(spark), held, F.expr(NOW))
     status = sorted((r.identifier, r.domainid, r.status) for r in results.collect())
-    assert [(i, s) for i, d, s in status if i == "1"] == [("1", "duplicate identifier"), ("1", "success")]
+    assert [(i, s) for i, d, s in status if i == "1"] == [("1", "success")]
+    assert {r.identifier: r.copies for r in results.collect()} == {"1": 2, "2": 1, "3": 1, "5": 1}
     assert sorted(s for i, d, s in status if i in "23") == ["duplicate pseudonym", "success"]
     assert sorted(r.reject for r in rejects.collect()) == ["malformed", "malformed", "no domain", "no identifier"]
     assert [(r.name, r.prefix, r.id) for r in fresh.collect()] == [("Newly", "NE-", 2)]

@@ -4,31 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from veilframe.plans.durable import durable
+from veilframe.plans.skew import HOT_ROWS, mark_first
 
 SUCCESS, SAME_IDENTIFIER, SAME_PSEUDONYM = "success", "duplicate identifier", "duplicate pseudonym"
 FULL_KEY = ["identifier", "idtype", "pseudonym", "domainid"]
 
 
-def create(requests: DataFrame, held: DataFrame, multiple: bool = False, order: str = "request") -> DataFrame:
+def create(requests: DataFrame, held: DataFrame, multiple: bool = False, order: str = "request", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``requests`` (``request``, identifier, idtype, pseudonym, domainid) with ``status``.
 
     A request whose identifier and type the domain holds is a duplicate identifier (unless ``multiple``), else one
     whose pseudonym the domain holds a duplicate pseudonym, else a success. Within a batch the first request (by
     ``order``) of an identifier, and then of a pseudonym, wins and later ones are duplicates likewise. Rows to append
-    are those with success. Held keys are made distinct before they meet the batch, so a key held often adds nothing.
+    are those with success. Held keys are made distinct before they meet the batch, so a key held often adds nothing, and
+    a key that a large part of the batch shares is salted.
     """
     ids = held.select("domainid", "identifier", "idtype").distinct().withColumn("_has_id", F.lit(True))
     psns = held.select("domainid", "pseudonym").distinct().withColumn("_has_psn", F.lit(True))
     marked = requests.join(ids, ["domainid", "identifier", "idtype"], "left").join(psns, ["domainid", "pseudonym"], "left")
-    again = F.lit(False) if multiple else F.col("_has_id").isNotNull() | (F.row_number().over(Window.partitionBy("domainid", "identifier", "idtype").orderBy(order)) > 1)
-    first = marked.withColumn("_same_id", again)
+    if multiple:
+        marked = marked.withColumn("_same_id", F.lit(False))
+    else:
+        firsts = mark_first(marked, ["domainid", "identifier", "idtype"], order, "_first", hot_rows)
+        marked = firsts.withColumn("_same_id", F.col("_has_id").isNotNull() | ~F.col("_first")).drop("_first")
     fresh = ~F.col("_same_id") & F.col("_has_psn").isNull()
-    place = F.sum(fresh.cast("int")).over(Window.partitionBy("domainid", "pseudonym").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    status = F.when(F.col("_same_id"), SAME_IDENTIFIER).when(F.col("_has_psn").isNotNull() | (place > 1), SAME_PSEUDONYM).otherwise(SUCCESS)
-    return first.withColumn("status", status).select(*requests.columns, "status")
+    winners = mark_first(marked.where(fresh), ["domainid", "pseudonym"], order, "_wins", hot_rows)
+    settled = marked.where(~fresh).withColumn("status", F.when(F.col("_same_id"), SAME_IDENTIFIER).otherwise(SAME_PSEUDONYM))
+    decided = winners.withColumn("status", F.when(F.col("_wins"), SUCCESS).otherwise(SAME_PSEUDONYM))
+    return settled.select(*requests.columns, "status").unionByName(decided.select(*requests.columns, "status"))
 
 
 def outcome(results: DataFrame) -> DataFrame:

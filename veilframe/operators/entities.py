@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilframe.operators.lookup import json_equal_key
+from veilframe.plans.skew import mark_first
 
 SCOPE = ["project_id", "entity_type_id"]
 
@@ -19,8 +20,7 @@ def create_instances(requests: DataFrame, instances: DataFrame) -> DataFrame:
     """
     held = json_equal_key(instances.where("not is_deleted").select("id", *SCOPE, "data"), "data").groupBy(*SCOPE, "json_key").agg(F.min("id").alias("existing"))
     keyed = json_equal_key(requests, "data")
-    again = F.row_number().over(Window.partitionBy(*SCOPE, "json_key").orderBy("request")) > 1
-    marked = keyed.withColumn("_again", again & F.col("json_key").isNotNull()).join(held, [*SCOPE, "json_key"], "left")
+    marked = mark_first(keyed, [*SCOPE, "json_key"], "request", "_first").withColumn("_again", ~F.col("_first")).join(held, [*SCOPE, "json_key"], "left")
     status = F.when(F.col("json_key").isNull(), "rejected").when(F.col("existing").isNotNull() | F.col("_again"), "duplicate").otherwise("created")
     return marked.select(*requests.columns, status.alias("status"), "existing")
 

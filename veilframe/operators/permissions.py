@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilframe.functions.validity import valid_at
+from veilframe.plans.skew import mark_first
 
 KEY = ["subject_id", "resource_type", "resource_id", "action"]
 #: The actions of the groups of rights, by resource type.
@@ -55,11 +56,9 @@ def delegable(requests: DataFrame, grants: DataFrame, actions: DataFrame, as_of:
 def create(requests: DataFrame, grants: DataFrame, as_of: Column, creator: str = "UNKNOWN") -> tuple[DataFrame, DataFrame]:
     """New grants: (``request``, ``status``) and the rows to append. Held or repeated ones are duplicates (the first
     request wins); missing bounds become ``as_of`` and ten years after it."""
-    from pyspark.sql import Window
-
     known = grants.select(*KEY).distinct().withColumn("_known", F.lit(True))
-    again = F.row_number().over(Window.partitionBy(*KEY).orderBy("request")) > 1
-    marked = requests.join(known, KEY, "left").withColumn("status", F.when(F.col("_known").isNotNull() | again, "duplicate").otherwise("success"))
+    firsts = mark_first(requests, KEY, "request", "_first")
+    marked = firsts.join(known, KEY, "left").withColumn("status", F.when(F.col("_known").isNotNull() | ~F.col("_first"), "duplicate").otherwise("success"))
     start = F.coalesce("valid_from", as_of)
     rows = marked.where("status = 'success'").select(*KEY, F.lit("ALLOW").alias("decision"), start.alias("valid_from"), F.coalesce(F.col("valid_to"), start + F.make_dt_interval(F.lit(DEFAULT_DAYS))).alias("valid_to"), as_of.alias("created_at"), F.lit(creator).alias("created_by"))
     return marked.select("request", "status"), rows

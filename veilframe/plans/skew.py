@@ -35,3 +35,15 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "
     if how == "left_semi":
         salted_groups = salted_groups.select(*keys, "salt")
     return salted_rows.join(salted_groups, [*keys, "salt"], how).drop("salt")
+
+
+def mark_first(rows: DataFrame, keys: Sequence[str], order: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with ``name``: whether the row is the first (by ``order``, unique) of those with its keys.
+
+    The least order of each key is aggregated partially and looked up, instead of a window that would sort all rows of
+    a hot key in one task. Nulls in the keys equal each other.
+    """
+    keyed = rows.withColumn("_key", F.struct(*keys))
+    least = keyed.groupBy("_key").agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("_n"))
+    found = lookup(keyed, least, ["_key"], n="_n", spread=order, hot_rows=hot_rows)
+    return found.select(*rows.columns, (F.col(order) == F.col("_least")).alias(name))

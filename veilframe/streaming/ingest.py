@@ -85,14 +85,17 @@ def pseudonymized(rows: DataFrame, domains: DataFrame, as_of: Column) -> DataFra
 def batch(messages: DataFrame, domains: DataFrame, held: DataFrame, as_of: Column, defaults: dict[str, Column] | None = None, fields: Fields = Fields()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One batch of messages: (classified requests, rejected messages, new domains).
 
-    Messages delivered again find their pseudonym held and are classified as duplicates, so a replay changes nothing.
+    Messages of one content within the batch are one request with ``copies``; those delivered again later find their
+    pseudonym held and are classified as duplicates, so a replay changes nothing.
     """
     rows = parsed(messages, fields)
     fresh = new_domains(rows, domains, defaults or {})
     every = domains.unionByName(fresh)
     requests = pseudonymized(rows, every, as_of)
-    usable = requests.where("reject is null").withColumn("request", F.xxhash64("identifier", "idtype", "domainid", "pseudonym"))
-    results = create(usable.select("request", "domainid", "identifier", "idtype", "pseudonym", "validfrom", "validfrominherited", "validto", "validtoinherited"), held)
+    key, validity = ["identifier", "idtype", "domainid", "pseudonym"], ["validfrom", "validfrominherited", "validto", "validtoinherited"]
+    # messages of one content are one request, whatever the number of copies in this batch
+    usable = requests.where("reject is null").groupBy(*key).agg(F.min(F.struct(*validity)).alias("v"), F.count(F.lit(1)).alias("copies")).withColumn("request", F.xxhash64(*key))
+    results = create(usable.select("request", *key, "v.*", "copies"), held, order="request")
     rejects = rows.where("reject is not null").select("value", "reject").unionByName(requests.where("reject is not null").select("value", "reject"))
     return results, rejects, fresh
 
@@ -118,7 +121,7 @@ def run(messages: DataFrame, state: str, checkpoint: str, domains: Callable[[Spa
         if made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made):
             known = known.unionByName(spark.read.schema(known.schema.add("batch", "long")).parquet(f"{state}/domains").where(F.col("batch") < number).drop("batch"))
         results, rejects, fresh = batch(rows, known, held, as_of, fields=fields)
-        results.where(F.col("status") == SUCCESS).drop("request", "status").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        results.where(F.col("status") == SUCCESS).drop("request", "status", "copies").write.mode("overwrite").parquet(f"{path}/batch={number}")
         rejects.write.mode("overwrite").parquet(f"{state}/rejects/batch={number}")
         fresh.write.mode("overwrite").parquet(f"{state}/domains/batch={number}")
 
