@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from veilframe.plans.durable import durable
+
 #: Characters without a sign of their own (soft hyphen, joiners, marks of direction, variation selectors,
 #: tags, control characters other than tab and line breaks), as a class of a regular expression.
 INVISIBLE = (
@@ -94,7 +96,7 @@ def lookalikes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     form, and then their documents, so pairs of copies of one text are never made and the work follows the result.
     Documents of a text are spread over ``shares``. Null texts and texts without a visible sign take no part.
     """
-    docs = _keys(documents, doc_id, text)
+    docs = durable(_keys(documents, doc_id, text))
     texts = docs.groupBy("form", "own").agg(F.count(F.lit(1)).alias("n"))
     several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form")
     variants = texts.join(several, "form", "left_semi")
