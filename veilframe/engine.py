@@ -93,7 +93,7 @@ class Engine:
     def validate_pseudonyms(self, rows: DataFrame, domain_id: int) -> DataFrame:
         """``rows`` (``psn``) with whether the check digit fits the domain's algorithm."""
         d = self.domains.where(F.col("id") == domain_id).select("algorithm", "alphabet", "prefix").first()
-        return rows.withColumn("valid", luhn.valid(F.col("psn"), F.lit(d.prefix), F.lit(luhn.check_alphabet(d.algorithm, d.alphabet))))
+        return rows.withColumn("valid", luhn.valid(F.col("psn"), F.lit(d.prefix), luhn.check_alphabet(d.algorithm, d.alphabet)))
 
     def linked_pseudonyms(self, source: str, target: str, start: Column) -> DataFrame:
         """Pairs of source and target rows along the way between two domains; ``start`` chooses the source rows."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import secrets
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilframe.functions.hashing import java_trim
 
@@ -68,33 +68,65 @@ def standardized(c: Column, prefix: Column) -> Column:
     return F.when(F.startswith(c, p), F.upper(java_trim(F.substring(c, F.length(p) + 1, F.length(c)))))
 
 
-def _sum(text: Column, alphabet: Column, first: int) -> Column:
-    """Sum of the base-N digits of factor times index, factors alternating from the right; null at a foreign sign."""
-    n = F.length(alphabet)
-    signs = F.filter(F.split(F.reverse(text), ""), lambda x: x != "")
-    factor = lambda i: F.when(i % 2 == 0, first).otherwise(3 - first)
+def codes_of(text: Column, alphabet: str, first: int) -> Column:
+    """For every sign a character whose code is 48 plus the sign's addend: the base-N digit sum of factor times index,
+    factors alternating from the right. Null if a sign is outside the alphabet."""
+    n = len(alphabet)
+    coded = lambda factor: "".join(chr(48 + factor * v // n + factor * v % n) for v in range(n))
+    backwards = F.reverse(text)
+    odd = F.translate(F.regexp_replace(backwards, r"(?s)(.).?", "$1"), alphabet, coded(first))
+    even = F.translate(F.regexp_replace(backwards, r"(?s).(.?)", "$1"), alphabet, coded(3 - first))
+    return F.when(F.length(F.translate(text, alphabet, "")) == 0, F.concat(odd, even))
 
-    addends = F.transform(signs, lambda x, i: F.when(F.position(x, alphabet) > 0, F.floor(factor(i) * (F.position(x, alphabet) - 1) / n) + factor(i) * (F.position(x, alphabet) - 1) % n))
-    return F.aggregate(addends, F.lit(0).cast("long"), lambda a, x: a + x)
 
+def counted(codes: Column, n: int) -> Column:
+    """Sum of the addends in a column of codes: how often each addend occurs, times the addend; all of it compiled."""
+    total = F.lit(0).cast("long")
+    for addend in range(1, n):
+        total = total + (F.length(codes) - F.length(F.replace(codes, F.lit(chr(48 + addend)), F.lit("")))) * addend
+    return total
 
-def compute(c: Column, prefix: Column, alphabet: Column) -> Column:
+
+def _sum(text: Column, alphabet: str, first: int) -> Column:
+    """The same sum as one expression, code by code."""
+    return F.aggregate(F.split(codes_of(text, alphabet, first), ""), F.lit(0).cast("long"), lambda total, sign: total + F.greatest(F.lit(0), F.ascii(sign) - 48))
+
+
+def digit_of(text: Column, alphabet: str) -> Column:
+    """The check digit of a text in standard form; null if it has a sign outside the alphabet."""
+    n = len(alphabet)
+    return F.substring(F.lit(alphabet), ((n - _sum(text, alphabet, 2) % n) % n + 1).cast("int"), F.lit(1))
+
+
+def standard_or_whole(c: Column, prefix: Column) -> Column:
+    """In standard form, with the prefix left aside if it is there."""
+    return F.coalesce(standardized(c, prefix), F.upper(java_trim(c)))
+
+
+def compute(c: Column, prefix: Column, alphabet: str) -> Column:
     """The check digit of a pseudonym (prefix, if there, left aside); null if it has a sign outside the alphabet."""
-    text = F.coalesce(standardized(c, prefix), F.upper(java_trim(c)))
-    n = F.length(alphabet)
-    return F.substring(alphabet, ((n - _sum(text, alphabet, 2) % n) % n + 1).cast("int"), F.lit(1))
+    return digit_of(standard_or_whole(c, prefix), alphabet)
 
 
-def valid(c: Column, prefix: Column, alphabet: Column) -> Column:
+def valid(c: Column, prefix: Column, alphabet: str) -> Column:
     """Whether the last sign is the right check digit; false without the prefix, null at a foreign sign."""
     text = standardized(c, prefix)
-    return F.when(c.isNotNull() & text.isNull(), F.lit(False)).otherwise(_sum(text, alphabet, 1) % F.length(alphabet) == 0)
+    return F.when(c.isNotNull() & text.isNull(), F.lit(False)).otherwise(_sum(text, alphabet, 1) % len(alphabet) == 0)
+
 
+def with_check_digit(rows: DataFrame, psn: str, prefix: Column, alphabet: str, included: Column, consecutive: Column, name: str) -> DataFrame:
+    """``rows`` with the pseudonym of column ``psn`` and its check digit as ``name``; ``included`` first drops the last
+    sign, except of consecutive numbers; without a digit the pseudonym stays as it is.
 
-def with_check_digit(c: Column, prefix: Column, alphabet: Column, included: Column, consecutive: Column) -> Column:
-    """The pseudonym with its check digit; ``included`` first drops the last sign, except of consecutive numbers."""
+    What is used several times is a column of its own, so that it is worked out once.
+    """
+    c = F.col(psn)
     body = F.when(included & ~consecutive, F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
-    return F.coalesce(F.concat(body, compute(body, prefix, alphabet)), c)
+    n = len(alphabet)
+    staged = rows.withColumn("_body", body).withColumn("_standard", standard_or_whole(F.col("_body"), prefix)).withColumn("_codes", codes_of(F.col("_standard"), alphabet, 2))
+    staged = staged.withColumn("_sum", counted(F.col("_codes"), n))
+    digit = F.substring(F.lit(alphabet), ((n - F.col("_sum") % n) % n + 1).cast("int"), F.lit(1))
+    return staged.withColumn(name, F.coalesce(F.concat("_body", digit), c)).drop("_body", "_standard", "_codes", "_sum")
 
 
 def corrected_length(c: Column, length: Column, padding: Column, pad: bool = True) -> Column:

@@ -30,6 +30,7 @@ def create(requests: DataFrame, held: DataFrame, multiple: bool = False, order:
     else:
         firsts = mark_first(marked, ["domainid", "identifier", "idtype"], order, "_first", hot_rows)
         marked = firsts.withColumn("_same_id", F.col("_has_id").isNotNull() | ~F.col("_first")).drop("_first")
+    marked = durable(marked)  # the rest reads it several times
     fresh = ~F.col("_same_id") & F.col("_has_psn").isNull()
     winners = mark_first(marked.where(fresh), ["domainid", "pseudonym"], order, "_wins", hot_rows)
     settled = marked.where(~fresh).withColumn("status", F.when(F.col("_same_id"), SAME_IDENTIFIER).otherwise(SAME_PSEUDONYM))

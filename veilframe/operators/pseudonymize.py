@@ -42,14 +42,16 @@ def hashed(text: Column, scheme: Scheme) -> Column:
     return hashing.HASHES[scheme.name](text)
 
 
-def finished(raw: Column, scheme: Scheme, omit_prefix: bool = False) -> Column:
-    """Prefix, length and check digit put on a raw value."""
+def finished(rows: DataFrame, raw: Column, scheme: Scheme, omit_prefix: bool, name: str) -> DataFrame:
+    """``rows`` with prefix, length and check digit put on a raw value; each step is a column, worked out once."""
     prefix = "" if omit_prefix else scheme.prefix
-    psn = F.concat(F.lit(prefix), luhn.corrected_length(raw, F.lit(scheme.length), F.lit(scheme.padding)))
+    staged = rows.withColumn("_raw", raw)
+    psn = F.concat(F.lit(prefix), luhn.corrected_length(F.col("_raw"), F.lit(scheme.length), F.lit(scheme.padding)))
     if not scheme.check_digit:
-        return psn
+        return staged.withColumn(name, psn).drop("_raw")
     alphabet = luhn.check_alphabet(scheme.name, scheme.signs)
-    return luhn.with_check_digit(psn, F.lit(prefix), F.lit(alphabet), F.lit(scheme.digit_included), F.lit(scheme.name == "CONSECUTIVE"))
+    staged = staged.withColumn("_psn", psn)
+    return luhn.with_check_digit(staged, "_psn", F.lit(prefix), alphabet, F.lit(scheme.digit_included), F.lit(scheme.name == "CONSECUTIVE"), name).drop("_raw", "_psn")
 
 
 def numbered(rows: DataFrame, keys: list[str], start: int, name: str, parts: int | None = None) -> DataFrame:
@@ -97,14 +99,14 @@ def pseudonymize(rows: DataFrame, scheme: Scheme, identifier: str = "identifier"
     keys = [order] if order else [identifier, idtype]
     if scheme.name == "CONSECUTIVE":
         counted = numbered(rows, keys, scheme.counter, "_count")
-        return counted.withColumn(name, finished(F.col("_count").cast("string"), scheme, omit_prefix)).drop("_count")
+        return finished(counted, F.col("_count").cast("string"), scheme, omit_prefix, name).drop("_count")
     if scheme.name in hashing.HASHES or scheme.name == "XXHASH":
         if scheme.multiple:
             counted = numbered(rows, keys, scheme.counter - 1, "_count")
-            return counted.withColumn(name, finished(hashed(F.concat(text, F.col("_count").cast("string")), scheme), scheme, omit_prefix)).drop("_count")
-        return rows.withColumn(name, finished(hashed(text, scheme), scheme, omit_prefix))
+            return finished(counted, hashed(F.concat(text, F.col("_count").cast("string")), scheme), scheme, omit_prefix, name).drop("_count")
+        return finished(rows, hashed(text, scheme), scheme, omit_prefix, name)
     raw = secret_text(scheme.signs, scheme.length)(F.monotonically_increasing_id()) if secret else random_text(F.lit(scheme.signs), F.lit(scheme.length), seed)
-    return rows.withColumn(name, finished(raw, scheme, omit_prefix))
+    return finished(rows, raw, scheme, omit_prefix, name)
 
 
 def by_domain(rows: DataFrame, domains: DataFrame, name: str = "psn") -> DataFrame:
@@ -119,8 +121,8 @@ def by_domain(rows: DataFrame, domains: DataFrame, name: str = "psn") -> DataFra
     joined = rows.join(settings, "domainid", "left")
     raw = F.when(F.col("_a") == "MD5", hashing.md5(text)).when(F.col("_a") == "SHA1", hashing.sha1(text)).when(F.col("_a") == "SHA2", hashing.sha2(text)).when(F.col("_a") == "SHA3", hashing.sha3(text))
     joined = joined.withColumn("_raw", raw).withColumn("_psn", F.concat("_p", luhn.corrected_length(F.col("_raw"), F.col("_l"), F.col("_c"))))
-    digit = luhn.with_check_digit(F.col("_psn"), F.col("_p"), F.lit(luhn.MOD16), F.col("_i"), F.lit(False))
-    return joined.withColumn(name, F.when(F.col("_d"), digit).otherwise(F.col("_psn"))).drop("_a", "_p", "_s", "_l", "_c", "_d", "_i", "_raw", "_psn")
+    digits = luhn.with_check_digit(joined, "_psn", F.col("_p"), luhn.MOD16, F.col("_i"), F.lit(False), "_digit")
+    return digits.withColumn(name, F.when(F.col("_d"), F.col("_digit")).otherwise(F.col("_psn"))).drop("_a", "_p", "_s", "_l", "_c", "_d", "_i", "_raw", "_psn", "_digit")
 
 
 def supplied(psn: Column, prefix: Column, omit_prefix: bool = False) -> Column:

@@ -136,14 +136,14 @@ _BODY = "upper(trim(substr(p.pseudonym, length(d.prefix) + 1)))"
 @query(f"select p.id, case when not starts_with(p.pseudonym, d.prefix) then false else {digit_sql(_BODY, luhn.MOD16, 1)} % 16 = 0 end valid from pseudonym p join pseudonym_domain d on d.id = p.domainid")
 def luhn_validate(spark, folder):
     rows = pseudonyms(spark, folder).join(domains(spark, folder).select(F.col("id").alias("domainid"), "prefix"), "domainid")
-    return rows.select("id", luhn.valid(F.col("pseudonym"), F.col("prefix"), F.lit(luhn.MOD16)).alias("valid"))
+    return rows.select("id", luhn.valid(F.col("pseudonym"), F.col("prefix"), luhn.MOD16).alias("valid"))
 
 
 @query(f"select c_custkey, {check_sql('c_custkey::varchar', luhn.MOD10)} d10, {check_sql('upper(c_mktsegment)', luhn.MOD26)} d26, {check_sql('upper(md5(c_name))', luhn.MOD32)} d32, {check_sql('upper(md5(c_name))', luhn.MOD36)} d36 from customer")
 def luhn_alphabets(spark, folder):
     none = F.lit("")
     hashed = F.upper(F.md5("c_name"))
-    return table(spark, folder, "customer").select("c_custkey", luhn.compute(F.col("c_custkey").cast("string"), none, F.lit(luhn.MOD10)).alias("d10"), luhn.compute(F.col("c_mktsegment"), none, F.lit(luhn.MOD26)).alias("d26"), luhn.compute(hashed, none, F.lit(luhn.MOD32)).alias("d32"), luhn.compute(hashed, none, F.lit(luhn.MOD36)).alias("d36"))
+    return table(spark, folder, "customer").select("c_custkey", luhn.compute(F.col("c_custkey").cast("string"), none, luhn.MOD10).alias("d10"), luhn.compute(F.col("c_mktsegment"), none, luhn.MOD26).alias("d26"), luhn.compute(hashed, none, luhn.MOD32).alias("d32"), luhn.compute(hashed, none, luhn.MOD36).alias("d36"))
 
 
 @query("select p_partkey, lpad(p_name, 12, '*') padded, substr(p_name, 1, 12) cut from part")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veilframe.functions import fulltext, normalize as N, pprl as B
 from veilframe.functions.phonetics import encode_distinct
 from veilframe.operators import audit, entities, linkage as L, lookup, permissions as M, present, schema, search
+from veilframe.plans.durable import durable
 from veilframe.queries.registry import Registry
 from veilframe.sources.tables import table
 from veilframe.streaming import ingest
@@ -163,7 +164,7 @@ _ASK = _CUST + f", t as (select distinct * from ({_tokens_sql(EXACT)})), q as (s
 
 
 def _asked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    index = L.tokens(customers(spark, folder), EXACT, COLUMNS)
+    index = durable(L.tokens(customers(spark, folder), EXACT, COLUMNS))
     return index.where("id % 20 = 0"), index
 
 
@@ -283,7 +284,7 @@ def pprl_linkage(spark, folder):
     """Candidates and scores over protected tokens only."""
     rules = [L.Rule("person.segment", tag="generic.segment", encoders=("doubleMetaphone",), blocking=("bloomBands", "phonetic"), weight=1.0), L.Rule("person.birth", kind="date", tag="date.birth", normalizers=(), blocking=("exact",), weight=3.0)]
     config = L.Config(private=True, pprl=SECRET, min_score=2.0, min_normalized=0.5, limit=50)
-    index = L.tokens(customers(spark, folder), rules, COLUMNS, config, 1, 7)
+    index = durable(L.tokens(customers(spark, folder), rules, COLUMNS, config, 1, 7))
     return L.find(index.where("id % 20 = 0"), index, config).select("query", "id", "score", "normalized", "rank")
 
 

@@ -11,6 +11,7 @@ from veilframe.functions.normalize import blank
 from veilframe.functions.validity import clamp_end, clamp_start, parse, wanted_end
 from veilframe.operators.classify import SUCCESS, create
 from veilframe.operators.pseudonymize import by_domain
+from veilframe.plans.durable import durable
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ def batch(messages: DataFrame, domains: DataFrame, held: DataFrame, as_of: Colum
     rows = parsed(messages, fields)
     fresh = new_domains(rows, domains, defaults or {})
     every = domains.unionByName(fresh)
-    requests = pseudonymized(rows, every, as_of)
+    requests = durable(pseudonymized(rows, every, as_of))
     key, validity = ["identifier", "idtype", "domainid", "pseudonym"], ["validfrom", "validfrominherited", "validto", "validtoinherited"]
     # messages of one content are one request, whatever the number of copies in this batch
     usable = requests.where("reject is null").groupBy(*key).agg(F.min(F.struct(*validity)).alias("v"), F.count(F.lit(1)).alias("copies")).withColumn("request", F.xxhash64(*key))
