@@ -251,12 +251,14 @@ def pprl_bloom_positions(spark, folder):
     return B.bloom_by_value(rows, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v").select("c_custkey", F.array_join(F.col("bloom").cast("array<string>"), ",").alias("bits"))
 
 
-@query(_BITS + " select x.name a, y.name b, 2.0 * len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits)) alike from b x join b y on x.name < y.name")
+@query(_BITS + " select c_custkey, 2.0 * len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits)) alike from customer join b x on x.name = lower(c_mktsegment) join b y on y.name = 'building'")
 def pprl_dice(spark, folder):
-    """Similarity of the five market segments with each other."""
-    some = table(spark, folder, "customer").select(F.lower("c_mktsegment").alias("v")).distinct()
-    b = B.bloom_by_value(some, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v").select("v", "bloom", F.lit(1).alias("k"))
-    return b.select(F.col("v").alias("a"), F.col("bloom").alias("x"), "k").join(b.select(F.col("v").alias("b"), F.col("bloom").alias("y"), "k"), "k").where("a < b").select("a", "b", B.dice(F.col("x"), F.col("y")).alias("alike"))
+    """Similarity of every customer's market segment with one value."""
+    one, kind, tag = F.lit(1), F.lit(7), F.lit("name.full")
+    rows = table(spark, folder, "customer").select("c_custkey", F.lower("c_mktsegment").alias("v"))
+    fixed = B.bloom_positions(SECRET, one, kind, tag, F.lit("building"))
+    values = B.bloom_by_value(rows.select("v").distinct(), SECRET, one, kind, tag, "v").select("v", B.dice(F.col("bloom"), fixed).alias("alike"))
+    return rows.join(values, "v").select("c_custkey", "alike")
 
 
 _BANDS = _BITS + f""", w as (select name, k::int k, array_to_string(list_transform(range(k * 32, k * 32 + 32), lambda i: case when list_contains(bits, i::int) then '1' else '0' end), '') t from b, range(0, 16) r(k))

@@ -60,9 +60,9 @@ def new_domains(rows: DataFrame, domains: DataFrame, defaults: dict[str, Column]
     names = rows.where("reject is null").select(F.trim("domain").alias("name")).distinct()
     unknown = names.join(domains.select(F.lower("name").alias("_l")), F.lower("name") == F.col("_l"), "left_anti")
     unknown = unknown.groupBy(F.lower("name").alias("_l")).agg(F.min("name").alias("name")).drop("_l")
-    top = domains.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    top = domains.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # few names: new domains of one batch
-    numbered = unknown.crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + F.row_number().over(Window.orderBy("name"))).cast("int"))
+    numbered = unknown.withColumn("id", (F.lit(top) + F.row_number().over(Window.orderBy("name"))).cast("int"))
     row = numbered.withColumn("prefix", F.concat(F.upper(F.substring("name", 1, 2)), F.lit("-")))
     return row.select(*[(F.col(f.name) if f.name in ("id", "name", "prefix") else defaults[f.name] if f.name in defaults else F.lit(None)).cast(f.dataType).alias(f.name) for f in domains.schema])
 
