@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import audit, classify, entities, linkage as L, linked, lookup, permissions as M, present, pseudonymize as P, schema, search, tree
 from veilframe.functions import luhn
+from veilframe.queries import records
 
 HELD = "domainid int, identifier string, idtype string, pseudonym string"
 FOREST = [(1, "Root", None), (2, "A", 1), (3, "B", 1), (4, "AA", 2), (9, "Other", None), (10, "Orphan", 77)]
@@ -240,6 +241,16 @@ def test_phonetic_matches_reach_three_quarters(spark):
     assert L.without_instances(index, spark.createDataFrame([(1,)], "id long")).where("id = 1").count() == 0
 
 
+def test_protected_candidates_are_all_scored(spark, tmp_path):
+    """Records with the query's segment share many bands, but only those with its birth date qualify."""
+    spark.range(1, 2201).selectExpr("id c_custkey", "concat('Customer#', id) c_name", "element_at(array('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'), cast(1 + (id div 7) % 5 as int)) c_mktsegment", "id % 7 c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.query, r.id): r for r in records.pprl_linkage(spark, str(tmp_path)).collect()}
+    same_birth = {(q, i) for q in range(20, 2201, 20) for i in range(1, 2201) if i != q and (i - q) % 997 == 0}
+    assert same_birth <= set(got) and all(got[k].score >= 3.0 for k in same_birth)
+    best = {q: max(r.normalized for (k, _), r in got.items() if k == q) for q, _ in got}
+    assert all(r.normalized == best[q] for (q, _), r in got.items() if r.rank == 1)
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_hot_blocks_are_salted_without_loss(spark, hot):
     rules = [L.Rule("a", tag="t", blocking=("exact",), weight=1.0)]

@@ -42,7 +42,8 @@ class Config:
     min_score: float = 4.0
     min_normalized: float = 0.5
     bloom_min: float = 0.75
-    limit: int = 250
+    #: Candidates per query that are scored at all (by votes), as the service does; None scores every candidate.
+    limit: int | None = 250
     auto_link: bool = False
     on_match: str = "reject"
     extra: Mapping[str, Any] = field(default_factory=dict)
@@ -230,7 +231,8 @@ def scored(pairs: DataFrame, query_tokens: DataFrame, index: DataFrame, config:
 
 def find(query_tokens: DataFrame, index: DataFrame, config: Config = Config(), deleted: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Candidates that reach both least scores, best first within a query (``rank``), with ``status`` ACTIVE or
-    DELETED (``deleted``: ids). No rows for a query without tokens or when linkage is off."""
+    DELETED (``deleted``: ids). No rows for a query without tokens or when linkage is off. ``limit`` cuts the ranked
+    result only; ``config.limit`` cuts before scoring as well."""
     if not config.enabled:
         return scored(candidates(query_tokens.limit(0), index), query_tokens, index, config).withColumn("status", F.lit("ACTIVE")).withColumn("rank", F.lit(0))
     found = scored(candidates(query_tokens, index, config.limit), query_tokens, index, config)
@@ -238,7 +240,8 @@ def find(query_tokens: DataFrame, index: DataFrame, config: Config = Config(), d
     gone = (deleted.select("id").distinct() if deleted is not None else found.select("id").limit(0)).withColumn("_gone", F.lit(True))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("normalized").desc(), F.col("score").desc(), "id"))
     ranked = found.join(gone, "id", "left").withColumn("status", F.when(F.col("_gone"), "DELETED").otherwise("ACTIVE")).drop("_gone").withColumn("rank", rank)
-    return ranked.where(F.col("rank") <= (limit or config.limit)).select("query", "id", "score", "normalized", "matched_on", "status", "rank")
+    most = limit or config.limit
+    return (ranked if most is None else ranked.where(F.col("rank") <= most)).select("query", "id", "score", "normalized", "matched_on", "status", "rank")
 
 
 def auto_link(requests: DataFrame, found: DataFrame, config: Config) -> DataFrame:
