@@ -1,6 +1,7 @@
 """The general problems against brute force, on hard small cases."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -158,6 +159,54 @@ def test_flat_tables_link_up(spark):
     assert scalars[4, "other.deep[1].x"] == "y" and scalars[1, "visits[2].at"] is None and scalars[1, "no"] == "a"
 
 
+def defined_fields(attributes, group="", repeatable=False):
+    """(group, field, whether it is repeatable) of every attribute within a repeatable group."""
+    for a in attributes:
+        if "attributes" not in a:
+            if repeatable:
+                yield group, a["name"], bool(a.get("repeatable"))
+        elif a.get("layout") == "group":
+            yield from defined_fields(a["attributes"], f"{group}.{a['name']}".lstrip("."), repeatable or bool(a.get("repeatable")))
+        else:
+            yield from defined_fields(a["attributes"], group, repeatable)
+
+
+def test_flat_tables_have_every_defined_field(spark, data):
+    texts = [r[0] for r in spark.read.parquet(f"{data}/entity_type.parquet").select("type_definition").collect()]
+    want = {f for t in texts for f in defined_fields((parse(t) or {}).get("attributes", []))}
+    assert want == {(g, f, False) for g, some in problems.GROUPS.items() for f in some} | {(g, f, True) for g, some in problems.REPEATED.items() for f in some}
+
+
+def test_repeatable_attributes_become_arrays(spark):
+    kind = '{"attributes": [{"layout": "group", "name": "labs", "repeatable": true, "attributes": [{"name": "v"}, {"name": "flags", "repeatable": true}]}]}'
+    labs = ['{"v": 1, "flags": ["b", "a", null, "b"]}', '{"flags": []}', '{"v": 3}', '{"v": 4, "flags": "x"}', '{"flags": null}', '{"v": 6, "other": ["z"], "flags": [' + ",".join(f'"{k}"' for k in range(12)) + "]}"]
+    rows = spark.createDataFrame([(1, 1, '{"flags": ["top"], "labs": [' + ",".join(labs) + "]}")], "id long, entity_type_id int, data string")
+    table = nodes(rows, spark.createDataFrame([(1, kind)], "id int, type_definition string"))
+    got = {x.ordinal: (x.v, x.flags) for x in flat_table(table, "labs", ["v"], ["flags"]).collect()}
+    assert got == {0: ("1", ["b", "a", None, "b"]), 1: (None, []), 2: ("3", None), 3: ("4", ["x"]), 4: (None, None), 5: ("6", [str(k) for k in range(12)])}
+
+
+def test_lab_flags_of_the_whole_table(spark, data):
+    got = {(x.id, x.path): x.flags for x in problems.queries()["p6_encounters_labs"](spark, data).collect()}
+    groups = definitions([tuple(r) for r in spark.read.parquet(f"{data}/entity_type.parquet").select("id", "type_definition").collect()])
+    documents = [(r.id, d) for r in spark.read.parquet(f"{data}/entity_instance.parquet").where("entity_type_id = 201").collect() if (d := parse(r.data)) is not None]
+    paths = {(i, p) for i, d in documents for p in brute_elements(d, groups[201]) if ".labs[" in p and p.startswith("encounters[")}
+    assert set(got) == paths
+
+    def at(d, path):
+        import json
+
+        for name, k in re.findall(r"(\w+)\[(\d+)\]", path):
+            d = json.loads(d[name]) if isinstance(d[name], str) else d[name]
+            d = d[int(k)] if isinstance(d, list) else d
+        return d
+
+    for i, d in documents:
+        for path in (p for j, p in paths if j == i):
+            assert got[i, path] == at(d, path).get("flags")
+    assert any(got.values())
+
+
 def brute_elements(document, groups, path=""):
     for name, value in document.items():
         repeatable, inner = groups.get(name, (False, {}))

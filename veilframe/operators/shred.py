@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilframe.functions.jsondoc import clean, definitions, parse, parse_any, text_of
+from veilframe.plans.durable import durable
 
 #: group: name path of the repeatable group whose element a node is ("encounters.labs"), null for other nodes.
 NODE_SCHEMA = "id bigint, type_id int, node int, parent int, label string, ordinal int, kind string, scalar string, grp string, path string"
@@ -108,13 +109,32 @@ def elements(node_table: DataFrame) -> DataFrame:
     return node_table.where("kind = 'element'")
 
 
-def flat_table(node_table: DataFrame, group: str, fields: Sequence[str]) -> DataFrame:
-    """The flat table of one group: ``id``, ``node``, ``parent``, ``ordinal``, ``path`` and one column per field.
+def flat_table(node_table: DataFrame, group: str, fields: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
+    """The flat table of one group: ``id``, ``node``, ``parent``, ``ordinal``, ``path``, one column per field and one
+    array column per repeatable attribute in ``lists``.
 
     Element nodes of the group are joined with their scalar children (one shuffle on instance and node) and pivoted
-    over the given fields; an absent field is null. ``parent`` links to ``node`` of the parent group's table.
+    over the given fields; an absent field is null. ``parent`` links to ``node`` of the parent group's table. An array
+    holds the scalar items in their order, a lone scalar is an array of one, an empty array stays empty. With
+    ``lists`` the nodes needed are written out, since items are two steps away from their element.
     """
+    if lists:
+        kinds = F.when(F.col("kind") == "element", F.col("grp") == group).when(F.col("kind") == "array", F.col("label").isin(list(lists))).otherwise((F.col("kind") == "scalar") & F.col("label").isin([*fields, *lists]))
+        node_table = durable(node_table.where(kinds))
     own = node_table.where((F.col("kind") == "element") & (F.col("grp") == group)).select("id", "node", "parent", "ordinal", "path")
     values = node_table.where((F.col("kind") == "scalar") & F.col("label").isin(list(fields))).select("id", F.col("parent").alias("node"), "label", "scalar")
     wide = own.join(values, ["id", "node"], "left").groupBy("id", "node", "parent", "ordinal", "path")
-    return wide.agg(*[F.max(F.when(F.col("label") == f, F.col("scalar"))).alias(f) for f in fields])
+    flat = wide.agg(*[F.max(F.when(F.col("label") == f, F.col("scalar"))).alias(f) for f in fields])
+    return flat.join(_repeated(node_table, lists), ["id", "node"], "left") if lists else flat
+
+
+def _repeated(node_table: DataFrame, lists: Sequence[str]) -> DataFrame:
+    """``id``, ``node`` and one array of texts per name: the arrays (or lone scalars) of these names below a node."""
+    scalars = node_table.where((F.col("kind") == "scalar") & F.col("label").isin(list(lists))).select("id", "parent", "label", "ordinal", "scalar")
+    arrays = node_table.where((F.col("kind") == "array") & F.col("label").isin(list(lists))).select("id", F.col("parent").alias("node"), "label", F.col("node").alias("array"))
+    items = scalars.where("ordinal is not null").select("id", F.col("parent").alias("array"), F.struct("ordinal", "scalar").alias("item"))
+    lone = scalars.where("ordinal is null and scalar is not null").select("id", F.col("parent").alias("node"), "label", F.struct(F.lit(0).alias("ordinal"), "scalar").alias("item"))
+    every = arrays.join(items, ["id", "array"], "left").select("id", "node", "label", "item").unionByName(lone)
+    gathered = [F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == name, F.col("item")))), lambda i: i["scalar"]) for name in lists]
+    present = [F.count(F.when(F.col("label") == name, 1)) > 0 for name in lists]
+    return every.groupBy("id", "node").agg(*[F.when(p, g).alias(name) for p, g, name in zip(present, gathered, lists)])

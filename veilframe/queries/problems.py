@@ -65,7 +65,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _flat(group: str, fields: list[str]) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return flat_table(_nodes(spark, folder, False), group, fields)
+        return flat_table(_nodes(spark, folder, False), group, fields, REPEATED.get(group, ()))
 
     query.__doc__ = f"The flat table of group {group}."
     return query
@@ -89,6 +89,8 @@ GROUPS = {
     "steps": ["step", "at", "operator"],
     "steps.readings": ["k", "v"],
 }
+#: Their repeatable attributes, each an array column; a test compares both lists with the type definitions.
+REPEATED = {"encounters.labs": ["flags"]}
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
