@@ -206,6 +206,16 @@ def test_assignment_maximises_the_total(spark):
     assert want - len(got) * 2 <= sum(e.weight for e in got) <= want
 
 
+def test_assignment_settles_ties(spark):
+    """Three records compete for two partners at equal weight; the one with another link must get it."""
+    edges = [(f"x{i}", f"y{j}", 15000) for i in (1, 2, 3) for j in (1, 2)] + [("x2", "y3", 9500)]
+    edges += [(f"c{k}", f"d{k + s}", 12000) for k in range(40) for s in (0, 1)]  # one long chain
+    df = spark.createDataFrame(edges, "x string, y string, weight long").select(F.encode("x", "utf-8").alias("x"), F.encode("y", "utf-8").alias("y"), F.lit(1).alias("px"), F.lit(2).alias("py"), "weight")
+    got = {bytes(e.x).decode(): bytes(e.y).decode() for e in assign(df).collect()}
+    assert got["x2"] == "y3" and {got["x1"], got["x3"]} == {"y1", "y2"} and len(got) == len(set(got.values())) == 43
+    assert assign(df.limit(0)).count() == 0
+
+
 def test_implied_pairs(spark):
     rows = [("a", 1, "b", 2, 15000), ("b", 2, "c", 3, 12000), ("c", 3, "d", 4, 11000), ("e", 1, "f", 2, 9000), ("g", 2, "h", 3, 9000)]
     df = spark.createDataFrame(rows, "x string, px int, y string, py int, weight long").select(F.encode("x", "utf-8").alias("x"), "px", F.encode("y", "utf-8").alias("y"), "py", "weight")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veilframe.llm.assignment import choose
 from veilframe.llm.persons import ATTRIBUTES
 from veilframe.llm.sliding import EDGE, OUT_DDL, PAIR, PAIRED, RECORD, SIZE, slide
 from veilframe.plans.durable import durable
@@ -146,36 +147,21 @@ def links(records: DataFrame, least: float = LEAST, window: int = WINDOW, stretc
     return sided.groupBy(F.col("x.r").alias("x"), F.col("y.r").alias("y"), F.col("x.p").alias("px"), F.col("y.p").alias("py")).agg(F.max("weight").alias("weight"))
 
 
-def assign(found: DataFrame, rounds: int = 40) -> DataFrame:
-    """A one-to-one assignment within each pair of projects that maximises the total weight.
+def assign(found: DataFrame) -> DataFrame:
+    """A one-to-one assignment within each pair of projects that maximises the total weight, exactly.
 
     Links whose two records have no other link in that pair of projects are settled at once. The contested rest, few
-    links by nature, goes through an auction: every free record of the one side bids for its best partner at present
-    prices, a partner goes to the highest bid and its price rises by at least one thousandth, so after the auction the
-    total is within a thousandth per record of the maximum. A record drops out when no partner is worth its price.
-    Each round is a join and two aggregations over the contested links only and is written out; should the rounds end
-    early, remaining records keep their best free partner.
+    links by nature, falls into components of connected links, which are found by spreading labels until none changes;
+    each is solved by shortest augmenting paths (``assignment.best``).
     """
     left, right = ["x", "py"], ["y", "px"]
     degree = found.withColumn("dx", F.count(F.lit(1)).over(Window.partitionBy(*left))).withColumn("dy", F.count(F.lit(1)).over(Window.partitionBy(*right)))
     graph = durable(degree)
     settled = graph.where("dx = 1 and dy = 1").drop("dx", "dy")
-    open_links = durable(graph.where("dx > 1 or dy > 1").drop("dx", "dy"))
+    open_links = graph.where("dx > 1 or dy > 1").drop("dx", "dy")
     if open_links.isEmpty():
         return settled
-    prices = durable(open_links.select(*right, "py").distinct().select(*right, "py", F.lit(0).cast("long").alias("price"), F.lit(None).cast("binary").alias("owner")))
-    for _ in range(rounds):
-        owners = prices.where("owner is not null").select(F.col("owner").alias("x"), "py")
-        offers = open_links.join(owners, left, "left_anti").join(prices.select(*right, "price"), right).withColumn("value", F.col("weight") - F.col("price")).where("value > 0")
-        best = offers.groupBy(*left).agg(F.max(F.struct("value", "y", "px", "price")).alias("b"), F.sort_array(F.collect_list("value"), asc=False).alias("values"))
-        margin = F.col("b.value") - F.coalesce(F.try_element_at("values", F.lit(2)), F.lit(0)) + 1
-        bids = best.select("x", "b.y", "b.px", (F.col("b.price") + margin).alias("bid"))
-        won = durable(bids.groupBy(*right).agg(F.max(F.struct("bid", "x")).alias("w")))
-        if won.isEmpty():
-            break
-        prices = durable(prices.join(won, right, "left").select(*right, "py", F.coalesce("w.bid", "price").alias("price"), F.coalesce("w.x", "owner").alias("owner")))
-    taken = prices.where("owner is not null").select(F.col("owner").alias("x"), "y", "px")
-    return settled.unionByName(open_links.join(taken, ["x", "y", "px"], "left_semi"))
+    return settled.unionByName(durable(choose(open_links, left, right)))
 
 
 def closed(matched: DataFrame) -> DataFrame:
