@@ -266,6 +266,17 @@ def test_instance_creation(spark):
     assert got == {1: ("duplicate", 1), 2: ("created", None), 3: ("duplicate", None), 4: ("rejected", None), 5: ("rejected", None), 6: ("created", None)}
 
 
+def test_dedup_meets_held_documents_and_earlier_requests(spark, data):
+    rows = records.instances(spark, data)
+    keyed = lookup.json_equal_key(rows.select("id", "project_id", "entity_type_id", "is_deleted", "data"), "data").collect()
+    scope = lambda r: (r.project_id, r.entity_type_id, r.json_key)
+    held = {scope(r) for r in keyed if r.json_key is not None and r.id % 2 == 0 and not r.is_deleted}
+    asked = [scope(r) for r in keyed if r.json_key is not None]
+    new = {k for k in asked if k not in held}
+    want = {"created": len(new), "duplicate": len(asked) - len(new), "rejected": len(keyed) - len(asked)}
+    assert held and {r.status: r.n for r in records.instance_dedup(spark, data).collect()} == {k: n for k, n in want.items() if n}
+
+
 def test_algorithms(spark):
     table = spark.createDataFrame([(1, "MD5", 32)], "id int, name string, pseudonymlength int")
     same, new = entities.get_or_create_algorithm(table, {"name": "MD5", "pseudonymlength": 32})

@@ -337,10 +337,11 @@ def instance_top_level(spark, folder):
 
 @query()
 def instance_dedup(spark, folder):
-    """Creating every instance anew: what would be created, what is a duplicate, what is no JSON."""
+    """Creating every instance anew where the live ones of even id are held: what would be created, what is a duplicate
+    of a held one or of an earlier request, what is no JSON."""
     rows = instances(spark, folder)
     requests = rows.select(F.col("id").alias("request"), "project_id", "entity_type_id", "data")
-    return entities.create_instances(requests, rows.where("is_deleted")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return entities.create_instances(requests, rows.where("id % 2 = 0 and not is_deleted")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select id, sha256(data) data_sha256 from entity_instance")
