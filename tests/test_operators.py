@@ -277,6 +277,13 @@ def test_dedup_meets_held_documents_and_earlier_requests(spark, data):
     assert held and {r.status: r.n for r in records.instance_dedup(spark, data).collect()} == {k: n for k, n in want.items() if n}
 
 
+def test_encoders_see_many_values(spark, data):
+    rows = spark.read.parquet(f"{data}/customer.parquet").count()
+    stored = records.pprl_stored(spark, data).collect()
+    # Names with the same set of n-grams ("...011", "...111") share a filter.
+    assert len(stored) == rows and all(r.same for r in stored) and len({r.stored for r in stored}) > rows / 2
+
+
 def test_algorithms(spark):
     table = spark.createDataFrame([(1, "MD5", 32)], "id int, name string, pseudonymlength int")
     same, new = entities.get_or_create_algorithm(table, {"name": "MD5", "pseudonymlength": 32})

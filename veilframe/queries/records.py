@@ -273,10 +273,38 @@ def pprl_bands(spark, folder):
     return rows.join(tokens, "v").select("c_custkey", "token")
 
 
+# The same encoders over names, of which there are as many as rows; the segments above are five.
+
+_NAME = "c_name"
+
+
+@query(_BITS.replace("c_mktsegment", _NAME) + " select c_custkey, array_to_string(bits, ',') bits from customer join b on b.name = lower(c_name)")
+def pprl_bloom_names(spark, folder):
+    rows = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
+    return B.bloom_by_value(rows, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v").select("c_custkey", F.array_join(F.col("bloom").cast("array<string>"), ",").alias("bits"))
+
+
+@query(_BITS.replace("c_mktsegment", _NAME) + " select x.c_custkey, 2.0 * len(list_intersect(p.bits, q.bits)) / (len(p.bits) + len(q.bits)) alike from customer x join customer y on y.c_custkey = x.c_custkey + 1 join b p on p.name = lower(x.c_name) join b q on q.name = lower(y.c_name)")
+def pprl_dice_names(spark, folder):
+    """Similarity of every customer's name with that of the next customer."""
+    rows = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
+    bloomed = durable(B.bloom_by_value(rows, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v"))
+    following = bloomed.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("bloom").alias("other"))
+    return bloomed.join(following, "c_custkey").select("c_custkey", B.dice(F.col("bloom"), F.col("other")).alias("alike"))
+
+
+@query(_BANDS.replace("c_mktsegment", _NAME).replace("select c_custkey, k,", "select c_custkey,"))
+def pprl_bands_names(spark, folder):
+    rows = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
+    bloomed = B.bloom_by_value(rows.select("v").distinct(), SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v")
+    tokens = bloomed.select("v", F.explode(B.band_tokens(SECRET, F.lit(1), F.lit(7), F.lit("name.full"), F.col("bloom"))).alias("token"))
+    return rows.join(tokens, "v").select("c_custkey", "token")
+
+
 @query()
 def pprl_stored(spark, folder):
     """Bloom filters in their stored form and back again; the two agree for every row."""
-    some = table(spark, folder, "customer").select("c_custkey", F.lower("c_mktsegment").alias("v"))
+    some = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
     b = B.bloom_by_value(some, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v").withColumn("stored", B.encode_bits(512)("bloom"))
     return b.select("c_custkey", "stored", (B.decode_bits("stored") == F.col("bloom")).alias("same"))
 
