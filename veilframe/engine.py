@@ -7,19 +7,32 @@ is one writer per folder.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilframe.functions import luhn
-from veilframe.operators import audit, classify, entities, linkage, linked, lookup, permissions, present, pseudonymize, schema, search, tree
+from veilframe.operators import audit, classify, creation, entities, linkage, linked, lookup, permissions, present, pseudonymize, schema, search, tree
 from veilframe.plans.durable import durable
 from veilframe.sources.tables import table, write
 
 NAMES = ("pseudonym_domain", "pseudonym", "project", "entity_type", "entity_instance", "audit_event")
 
 
+@dataclass
+class Linkage:
+    """What creating instances needs in order to link them: ``fields`` turns (``id``, ``data``, ...) into a table with the
+    ``columns`` of the rules; ``index`` holds the tokens of what is there and grows with what is created."""
+
+    rules: Sequence[linkage.Rule]
+    columns: Mapping[str, str]
+    fields: Callable[[DataFrame], DataFrame]
+    index: DataFrame
+    config: linkage.Config = linkage.Config()
+
+
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, as_of: Column | None = None, names: Sequence[str] = NAMES) -> None:
         self.spark, self.folder = spark, folder
@@ -59,20 +72,31 @@ class Engine:
 
     # pseudonyms
 
-    def create_pseudonyms(self, requests: DataFrame, multiple: bool = False) -> DataFrame:
-        """Creates a batch (``request``, ``identifier``, ``idtype``, ``domainid``, optional ``pseudonym``) by the
-        settings of each domain; returns ``request``, ``pseudonym``, ``status``."""
-        given = requests if "pseudonym" in requests.columns else requests.withColumn("pseudonym", F.lit(None).cast("string"))
-        made = pseudonymize.by_domain(given.select("request", "identifier", "idtype", "domainid", "pseudonym"), self.domains, "_made")
-        ready = made.withColumn("pseudonym", F.coalesce(F.trim("pseudonym"), F.col("_made"))).drop("_made")
-        results = durable(classify.create(ready, self.pseudonyms, multiple))
+    def create_pseudonyms(self, requests: DataFrame, add_prefix: bool = True) -> DataFrame:
+        """Creates a batch (``request``, ``identifier``, ``idtype``, ``domainid``; optional ``pseudonym`` of the caller's
+        own, ``given_from``, ``given_to``, ``period``) by the settings of each domain: validity within the domain's,
+        collisions of drawn pseudonyms drawn again, counters advanced. Returns ``request``, ``pseudonym``, ``status``."""
+        asked = requests.withColumnRenamed("pseudonym", "given") if "pseudonym" in requests.columns else requests
+        results, domains = creation.create(asked, self.domains, self.pseudonyms, self.as_of, add_prefix)
         top = self.pseudonyms.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = pseudonymize.numbered(results.where(F.col("status") == classify.SUCCESS), ["request"], top, "id")
-        bounds = self.domains.select(F.col("id").alias("domainid"), "validfrom", "validto")
-        rows = fresh.join(bounds, "domainid", "left").withColumn("validfrominherited", F.lit(True)).withColumn("validtoinherited", F.lit(True))
+        rows = pseudonymize.numbered(results.where(F.col("status") == classify.SUCCESS), ["request"], top, "id")
         self._set("pseudonym", self.pseudonyms.unionByName(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.pseudonyms.schema])))
+        self._set("pseudonym_domain", domains)
         return results.select("request", "pseudonym", "status")
 
+    def complete_update(self, changes: DataFrame) -> DataFrame:
+        """Updates of held pseudonyms (``id``, ``new_...`` values; null keeps the old): one whose identifier, type or
+        domain changes is made anew by its domain, unless ``new_pseudonym`` brings one. Returns ``id``, ``pseudonym``."""
+        held = self.pseudonyms
+        made = lambda rows: durable(pseudonymize.by_domain(rows, self.domains, "psn", "id"))
+        state = durable(classify.complete(changes, held, made))
+        touched = state.join(changes.select("id").distinct(), "id", "left_semi")
+        before = held.select("id", F.struct("identifier", "idtype", "domainid").alias("_old"))
+        moved = touched.join(before, "id").where(F.struct("identifier", "idtype", "domainid") != F.col("_old"))
+        self._set("pseudonym_domain", pseudonymize.advanced(self.domains, moved.select("domainid")))
+        self._set("pseudonym", state)
+        return touched.select("id", "pseudonym")
+
     def read_pseudonyms(self, domain_id: int, most: int = 50_000) -> DataFrame:
         return lookup.export(self.pseudonyms, domain_id, most)
 
@@ -97,11 +121,11 @@ class Engine:
 
     def linked_pseudonyms(self, source: str, target: str, start: Column) -> DataFrame:
         """Pairs of source and target rows along the way between two domains; ``start`` chooses the source rows."""
-        way = tree.path_names([tuple(r) for r in self.domains.select("id", "name", "superdomainid").collect()], source, target)
+        rows = self.domains.select("id", "name", "superdomainid").collect()  # configuration
+        way = tree.path_names([tuple(r) for r in rows], source, target)
         if not way:
             return linked.linked(self.pseudonyms, F.lit(False), 0, -1)
-        ids = {r.name: r.id for r in self.domains.select("id", "name").collect()}
-        return linked.linked(self.pseudonyms, start, len(way) - 1, ids[target])
+        return linked.linked(self.pseudonyms, start, len(way) - 1, {r.name: r.id for r in rows}[target])
 
     def search_pseudonyms(self, query: str, domain_id: int, most: int = 30) -> tuple[DataFrame, bool]:
         return search.truncated(search.pseudonyms(self.pseudonyms, query, domain_id, self.as_of.cast("timestamp_ntz")), most)
@@ -119,18 +143,23 @@ class Engine:
         return results.select("request", "status")
 
     def update_domain(self, domain_id: int, **values: Any) -> None:
-        """Sets properties of a domain and hands them on to those below that inherit them."""
+        """Sets properties of a domain and hands them on to the domains below that inherit them; pseudonyms whose
+        validity is inherited take over that of their domain."""
         domains = entities.set_domain(self.domains, domain_id, **values)
         for name, value in values.items():
             if f"{name}inherited" in domains.columns:
                 effective = tree.cascade(self.domains, name, {domain_id: value}).withColumnRenamed("value", f"_{name}")
                 domains = domains.join(effective, "id", "left").withColumn(name, F.coalesce(f"_{name}", name)).drop(f"_{name}")
         self._set("pseudonym_domain", domains.select(*self.domains.columns))
+        if {"validfrom", "validto"} & set(values):
+            self._set("pseudonym", tree.inherited_validity(self.pseudonyms, self.domains))
 
     def delete_domain(self, name: str) -> None:
-        kept = tree.without(self.domains, name, pseudonym=self.pseudonyms)
-        self._set("pseudonym_domain", kept["domains"])
-        self._set("pseudonym", kept["pseudonym"])
+        """Deletes a domain with all below it, their pseudonyms and, if the table ``grant`` is held, their grants."""
+        kept = tree.without(self.domains, name, **{t: self.tables[t] for t in ("pseudonym", "grant") if t in self.tables})
+        self._set("pseudonym_domain", kept.pop("domains"))
+        for label, rows in kept.items():
+            self._set(label, rows)
 
     def new_salt(self, domain_id: int, length: int = 32) -> str:
         salt = luhn.generate_salt(length)
@@ -151,17 +180,36 @@ class Engine:
 
     # entities
 
-    def create_instances(self, requests: DataFrame) -> DataFrame:
-        """Creates instances (``request``, project, type, ``data``) that fit their type and aren't there yet;
-        returns ``request`` and ``status`` (created, duplicate, rejected)."""
+    def create_instances(self, requests: DataFrame, link: Linkage | None = None, idtype: str = "entity-id") -> DataFrame:
+        """Creates instances (``request``, project, type, ``data``) in one operation: documents that fit their type are
+        linked to what is there (``link``, if given), stored unless an equal one is held, get a pseudonym of their uid
+        (under ``idtype``) in the domain of their type, if it has one, and are indexed.
+
+        Returns ``request``, ``status`` (created, duplicate, rejected; by linkage returned or conflict), ``id`` (new or
+        existing) and ``pseudonym``.
+        """
         fits = schema.validate(requests.withColumnRenamed("request", "id"), self.types).select(F.col("id").alias("request"), (F.size("errors") == 0).alias("_fits"))
-        checked = entities.create_instances(requests, self.instances).join(fits, "request")
-        results = durable(checked.withColumn("status", F.when(~F.col("_fits"), "rejected").otherwise(F.col("status"))))
+        checked = entities.create_instances(requests, self.instances).join(fits, "request").withColumn("status", F.when(~F.col("_fits"), "rejected").otherwise(F.col("status")))
+        if link is not None:
+            # requests get ids of their own, below those of instances
+            asked = linkage.tokens(link.fields(requests.select((-1 - F.col("request")).alias("id"), *[c for c in requests.columns if c != "request"])), link.rules, link.columns, link.config)
+            gone = self.instances.where("is_deleted").select("id")
+            actions = linkage.auto_link(requests.select((-1 - F.col("request")).alias("query")), linkage.find(asked, link.index, link.config, gone), link.config)
+            linked_to = actions.where("action <> 'created'").select((-1 - F.col("query")).alias("request"), "action", F.col("id").alias("_linked"))
+            checked = checked.join(linked_to, "request", "left").withColumn("_hit", F.col("action").isNotNull() & (F.col("status") == "created"))
+            checked = checked.withColumn("status", F.when(F.col("_hit"), F.col("action")).otherwise(F.col("status"))).withColumn("existing", F.when(F.col("_hit"), F.col("_linked")).otherwise(F.col("existing"))).drop("action", "_linked", "_hit")
+        results = durable(checked.drop("_fits"))
         top = self.instances.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = pseudonymize.numbered(results.where("status = 'created'").withColumn("instance_uid", F.expr("uuid()")), ["request"], top, "id")
+        fresh = durable(pseudonymize.numbered(results.where("status = 'created'").withColumn("instance_uid", F.expr("uuid()")), ["request"], top, "id"))
         rows = fresh.withColumn("is_deleted", F.lit(False)).withColumn("created_at", self.as_of).withColumn("updated_at", self.as_of).withColumn("data_sha256", F.sha2("data", 256))
         self._set("entity_instance", self.instances.unionByName(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.instances.schema])))
-        return results.select("request", "status")
+        homes = self.types.where("associated_domain_id is not null").select(F.col("id").alias("entity_type_id"), F.col("associated_domain_id").alias("domainid"))
+        asks = fresh.join(homes, "entity_type_id").select("request", F.col("instance_uid").alias("identifier"), F.lit(idtype).alias("idtype"), "domainid")
+        named = self.create_pseudonyms(asks).where(F.col("status") == classify.SUCCESS).select("request", "pseudonym")
+        if link is not None:
+            new = linkage.tokens(link.fields(fresh.select("id", "project_id", "entity_type_id", "data")), link.rules, link.columns, link.config)
+            link.index = durable(linkage.rebuild_index(link.index, linkage.deduplicated(new, link.rules).select(*link.index.columns)))
+        return results.join(fresh.select("request", F.col("id").alias("_new")), "request", "left").join(named, "request", "left").select("request", "status", F.coalesce("_new", "existing").alias("id"), "pseudonym")
 
     def update_instances(self, changes: DataFrame) -> DataFrame:
         flags, state = entities.update_instances(changes, self.instances, self.as_of)

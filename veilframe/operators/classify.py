@@ -13,11 +13,30 @@ SUCCESS, SAME_IDENTIFIER, SAME_PSEUDONYM = "success", "duplicate identifier", "d
 FULL_KEY = ["identifier", "idtype", "pseudonym", "domainid"]
 
 
-def create(requests: DataFrame, held: DataFrame, multiple: bool = False, order: str = "request", hot_rows: int = HOT_ROWS) -> DataFrame:
+#: Up to so many requests are broadcast to the scan of what is held (about 100 bytes each, so 20 MB at most).
+FEW_REQUESTS = 200_000
+
+
+def near(held: DataFrame, requests: DataFrame, few: int = FEW_REQUESTS) -> DataFrame:
+    """The held rows (full key) that share identifier and type, or pseudonym, with a request of their domain.
+
+    The requests are counted: few of them are broadcast, so that a long history is only scanned and never shuffled;
+    beyond ``few`` the rows are left as they are, since then the classification's own joins are as cheap.
+    """
+    keys = requests.select(*FULL_KEY)
+    if keys.limit(few + 1).count() > few:
+        return held.select(*FULL_KEY)
+    rows = held.select(*FULL_KEY)
+    by_id, by_psn = ["domainid", "identifier", "idtype"], ["domainid", "pseudonym"]
+    same_id = rows.join(F.broadcast(keys.select(*by_id).distinct()), by_id, "left_semi").select(*FULL_KEY)
+    return same_id.unionByName(rows.join(F.broadcast(keys.select(*by_psn).distinct()), by_psn, "left_semi").select(*FULL_KEY))
+
+
+def create(requests: DataFrame, held: DataFrame, multiple: bool | str = False, order: str = "request", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``requests`` (``request``, identifier, idtype, pseudonym, domainid) with ``status``.
 
-    A request whose identifier and type the domain holds is a duplicate identifier (unless ``multiple``), else one
-    whose pseudonym the domain holds a duplicate pseudonym, else a success. Within a batch the first request (by
+    A request whose identifier and type the domain holds is a duplicate identifier (unless ``multiple``, which may name
+    a boolean column of the requests), else one whose pseudonym the domain holds a duplicate pseudonym, else a success. Within a batch the first request (by
     ``order``) of an identifier, and then of a pseudonym, wins and later ones are duplicates likewise. Rows to append
     are those with success. Held keys are made distinct before they meet the batch, so a key held often adds nothing, and
     a key that a large part of the batch shares is salted.
@@ -25,11 +44,12 @@ def create(requests: DataFrame, held: DataFrame, multiple: bool = False, order:
     ids = held.select("domainid", "identifier", "idtype").distinct().withColumn("_has_id", F.lit(True))
     psns = held.select("domainid", "pseudonym").distinct().withColumn("_has_psn", F.lit(True))
     marked = requests.join(ids, ["domainid", "identifier", "idtype"], "left").join(psns, ["domainid", "pseudonym"], "left")
-    if multiple:
+    if multiple is True:
         marked = marked.withColumn("_same_id", F.lit(False))
     else:
         firsts = mark_first(marked, ["domainid", "identifier", "idtype"], order, "_first", hot_rows)
-        marked = firsts.withColumn("_same_id", F.col("_has_id").isNotNull() | ~F.col("_first")).drop("_first")
+        several = F.coalesce(F.col(multiple), F.lit(False)) if multiple else F.lit(False)
+        marked = firsts.withColumn("_same_id", (F.col("_has_id").isNotNull() | ~F.col("_first")) & ~several).drop("_first")
     marked = durable(marked)  # the rest reads it several times
     fresh = ~F.col("_same_id") & F.col("_has_psn").isNull()
     winners = mark_first(marked.where(fresh), ["domainid", "pseudonym"], order, "_wins", hot_rows)

@@ -121,6 +121,18 @@ def get_or_create_algorithm(algorithms: DataFrame, wanted: Mapping[str, object])
     return algorithms.unionByName(row), True
 
 
+def update_algorithm(algorithms: DataFrame, algorithm_id: int, **values: object) -> tuple[DataFrame, bool]:
+    """The table with values of one algorithm replaced (its counter among them) and whether the algorithm is there."""
+    found = not algorithms.where(F.col("id") == algorithm_id).isEmpty()
+    here = F.col("id") == algorithm_id
+    return algorithms.select(*[F.when(here, F.lit(values[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in values else F.col(f.name) for f in algorithms.schema]), found
+
+
+def delete_algorithm(algorithms: DataFrame, algorithm_id: int) -> tuple[DataFrame, bool]:
+    """The table without one algorithm and whether it was there."""
+    return algorithms.where(F.col("id") != algorithm_id), not algorithms.where(F.col("id") == algorithm_id).isEmpty()
+
+
 def create_domains(requests: DataFrame, domains: DataFrame) -> DataFrame:
     """``requests`` (``request``, ``name``) with ``status``; a name that exists, case ignored, is a duplicate."""
     held = domains.select(F.lower("name").alias("_name")).distinct().withColumn("_held", F.lit(True))

@@ -70,6 +70,21 @@ def delete(requests: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame
     return requests.join(known, KEY, "left").select("request", F.coalesce("_known", F.lit(False)).alias("deleted")), grants.join(requests.select(*KEY).distinct(), KEY, "left_anti")
 
 
+def update(changes: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New bounds or decisions (``request``, key, ``valid_from``, ``valid_to``, ``decision``; null keeps the old) for held
+    grants: (``request``, ``updated``) and the new state. Of several changes of one grant the first counts; a grant
+    held several times changes everywhere; an end before the start is moved to it."""
+    news = [c for c in ("valid_from", "valid_to", "decision") if c in changes.columns]
+    first = changes.groupBy(*KEY).agg(F.min(F.struct("request", *news)).alias("_f"))
+    held = grants.select(*KEY).distinct()
+    done = first.join(held, KEY, "left_semi").select(F.col("_f.request").alias("request"), F.lit(True).alias("_done"))
+    flags = changes.select("request").join(done, "request", "left").select("request", F.coalesce("_done", F.lit(False)).alias("updated"))
+    joined = grants.join(first, KEY, "left")
+    for c in news:
+        joined = joined.withColumn(c, F.coalesce(F.col(f"_f.{c}"), F.col(c)))
+    return flags, joined.withColumn("valid_to", F.greatest("valid_to", "valid_from")).select(*grants.columns)
+
+
 def replace(grants: DataFrame, desired: DataFrame) -> DataFrame:
     """What has to change so that resources have just the desired actions: key and ``op`` insert or delete.
 

@@ -7,30 +7,46 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-
-def _recursive(domains: DataFrame, sql: str) -> DataFrame:
-    """Runs a recursive statement over the table ``{d}``."""
-    return domains.sparkSession.sql(sql, d=domains)
-
-
-def subtree(domains: DataFrame, name: str, depth_limit: int = 100) -> DataFrame:
+from veilframe.plans.durable import durable, release
+
+
+def ancestors(domains: DataFrame) -> DataFrame:
+    """Every domain with each of its ancestors and itself: ``id``, ``ancestor``, ``distance``, at any depth.
+
+    Ways double in length each round, so a tree of depth d takes log2(d) joins; every round is written out. A parent
+    that isn't there ends the way like a missing one; domains that are their own ancestors raise ``ValueError``.
+    """
+    known = domains.where("id is not null").select("id").distinct()
+    kind = domains.schema["id"].dataType
+    there = known.select(F.col("id").alias("ancestor"))
+    jumps = durable(domains.where("id is not null").select("id", F.col("superdomainid").cast(kind).alias("ancestor")).join(there, "ancestor", "left_semi").select("id", "ancestor").distinct())
+    found = known.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    length, most = 1, None
+    while not jumps.isEmpty():
+        most = known.count() if most is None else most
+        if length > most:
+            raise ValueError("some domains are their own ancestors")
+        onward = found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_next"), (F.col("distance") + length).alias("distance"))
+        further = jumps.join(onward, "ancestor").select("id", F.col("_next").alias("ancestor"), "distance")
+        last, found = found, durable(found.unionByName(further))
+        twice = jumps.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_next"))
+        before, jumps = jumps, durable(jumps.join(twice, "ancestor").select("id", F.col("_next").alias("ancestor")))
+        release(last, before)
+        length *= 2
+    release(jumps)
+    return found
+
+
+def _start(domains: DataFrame, name: str) -> DataFrame:
+    """``ancestor``: the id of the domain of this name, trimmed, case ignored; the name is a value, never SQL text."""
+    return domains.where(F.lower("name") == F.lit(name.strip().lower())).select(F.col("id").alias("ancestor"))
+
+
+def subtree(domains: DataFrame, name: str) -> DataFrame:
     """The domain of this name (trimmed, case ignored) and all below it: ``id``, ``name``, ``superdomainid``,
     ``depth``."""
-    start = name.strip().lower().replace("'", "''")
-    return _recursive(domains, f"""
-        with recursive t(id, name, superdomainid, depth) as (
-            select id, name, superdomainid, 0 from {{d}} where lower(name) = '{start}'
-            union all select c.id, c.name, c.superdomainid, t.depth + 1 from {{d}} c join t on c.superdomainid = t.id where t.depth < {depth_limit})
-        select * from t""")
-
-
-def ancestors(domains: DataFrame, depth_limit: int = 100) -> DataFrame:
-    """Every domain with each of its ancestors and itself: ``id``, ``ancestor``, ``distance``."""
-    return _recursive(domains, f"""
-        with recursive t(id, ancestor, distance) as (
-            select id, id, 0 from {{d}}
-            union all select t.id, d.superdomainid, t.distance + 1 from t join {{d}} d on d.id = t.ancestor where d.superdomainid is not null and t.distance < {depth_limit})
-        select * from t""")
+    below = ancestors(domains).join(_start(domains, name), "ancestor", "left_semi").select("id", F.col("distance").alias("depth"))
+    return domains.select("id", "name", "superdomainid").join(below, "id")
 
 
 def roots(domains: DataFrame) -> DataFrame:
@@ -42,7 +58,7 @@ def roots(domains: DataFrame) -> DataFrame:
 def whole_tree(domains: DataFrame, name: str) -> DataFrame:
     """All domains of the tree that the named one belongs to."""
     root = roots(domains)
-    here = domains.where(F.lower("name") == name.strip().lower()).select("id").join(root, "id").select("root")
+    here = domains.where(F.lower("name") == F.lit(name.strip().lower())).select("id").join(root, "id").select("root")
     return domains.join(root.join(here, "root", "left_semi").select("id"), "id", "left_semi")
 
 
@@ -53,13 +69,9 @@ def flat_names(domains: DataFrame, name: str) -> DataFrame:
 
 def hierarchy(domains: DataFrame) -> DataFrame:
     """Every domain with its depth and the path of names from its root; a domain whose parent is missing is a root."""
-    known = domains.select(F.col("id").alias("_p"))
-    fixed = domains.join(known, domains["superdomainid"] == known["_p"], "left").withColumn("superdomainid", F.col("_p")).drop("_p")
-    return _recursive(fixed, """
-        with recursive t(id, name, depth, path) as (
-            select id, name, 0, cast(name as string) from {d} where superdomainid is null
-            union all select c.id, c.name, t.depth + 1, t.path || '/' || c.name from {d} c join t on c.superdomainid = t.id where t.depth < 100)
-        select * from t""")
+    names = domains.select(F.col("id").alias("ancestor"), F.col("name").alias("_name"))
+    line = ancestors(domains).join(names, "ancestor").groupBy("id").agg(F.max("distance").alias("depth"), F.sort_array(F.collect_list(F.struct("distance", "_name")), asc=False).alias("l"))
+    return domains.select("id", "name").join(line, "id").select("id", "name", "depth", F.array_join(F.transform("l", lambda x: x["_name"]), "/").alias("path"))
 
 
 def paths(domains: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -128,24 +140,32 @@ def cascade(domains: DataFrame, property: str, changed: dict[int, Any]) -> DataF
     given = F.lit(None).cast(kind)
     for i, value in changed.items():
         given = F.when(F.col("id") == i, F.lit(value).cast(kind)).otherwise(given)
-    rows = domains.select("id", "superdomainid", F.col(property).alias("own"), (F.coalesce(F.col(flag), F.lit(False)) & ~F.col("id").isin(list(changed))).alias("takes"), given.alias("given")).withColumn("own", F.coalesce("given", "own"))
-    return _recursive(rows, """
-        with recursive t(id, value, depth) as (
-            select id, own, 0 from {d} where superdomainid is null
-            union all select c.id, case when c.takes then t.value else c.own end, t.depth + 1 from {d} c join t on c.superdomainid = t.id where t.depth < 100)
-        select id, value from t""")
+    own = domains.select(F.col("id").alias("ancestor"), F.coalesce(given, F.col(property)).alias("own"), (F.coalesce(F.col(flag), F.lit(False)) & ~F.col("id").isin(list(changed))).alias("takes"))
+    up = ancestors(domains).join(own, "ancestor")
+    # the nearest that keeps its own value, else the root
+    nearest = F.min(F.when(~F.col("takes"), F.struct("distance", "own")))
+    return up.groupBy("id").agg(nearest.alias("_n"), F.max(F.struct("distance", "own")).alias("_r")).select("id", F.when(F.col("_n").isNotNull(), F.col("_n.own")).otherwise(F.col("_r.own")).alias("value"))
+
+
+def inherited_validity(pseudonyms: DataFrame, domains: DataFrame) -> DataFrame:
+    """Pseudonyms whose start or end is inherited with that of their domain; others, and those of unknown domains, as
+    they are."""
+    d = domains.select(F.col("id").alias("domainid"), F.col("validfrom").alias("_from"), F.col("validto").alias("_to"), F.lit(True).alias("_found"))
+    joined = pseudonyms.join(d, "domainid", "left")
+    taken = lambda c: F.when(F.col("_found") & F.coalesce(F.col(f"{c}inherited"), F.lit(False)), F.col("_from" if c == "validfrom" else "_to")).otherwise(F.col(c)).alias(c)
+    return joined.select(*[taken(c) if c in ("validfrom", "validto") else F.col(c) for c in pseudonyms.columns])
 
 
 def without(domains: DataFrame, name: str, **tables: DataFrame) -> dict[str, DataFrame]:
     """What remains after a domain and all below it are deleted: ``domains`` and the given tables, which name their
     domain in ``domainid`` or, as grants, in ``resource_id`` with type DOMAIN."""
     gone = subtree(domains, name).select(F.col("id").alias("_gone"))
-    kept = {"domains": domains.join(F.broadcast(gone), domains["id"] == gone["_gone"], "left_anti")}
+    kept = {"domains": domains.join(gone, domains["id"] == gone["_gone"], "left_anti")}
     for label, rows in tables.items():
         if "domainid" in rows.columns:
-            kept[label] = rows.join(F.broadcast(gone), rows["domainid"] == gone["_gone"], "left_anti")
+            kept[label] = rows.join(gone, rows["domainid"] == gone["_gone"], "left_anti")
         else:
-            kept[label] = rows.join(F.broadcast(gone), (rows["resource_type"] == "DOMAIN") & (rows["resource_id"] == gone["_gone"]), "left_anti")
+            kept[label] = rows.join(gone, (rows["resource_type"] == "DOMAIN") & (rows["resource_id"] == gone["_gone"]), "left_anti")
     return kept
 
 

@@ -19,7 +19,7 @@ def moment():
     return F.expr(f"timestamp_ntz'{AS_OF}'")
 
 
-SALT = "azMPTIQXJsept"
+SALT = "north-sea-grain-17"
 
 
 def digit_sql(text: str, alphabet: str, first: int = 2) -> str:
@@ -53,9 +53,9 @@ def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 _MD5 = f"upper(md5(c_custkey::varchar || 'CUST' || '{SALT}'))"
 
 
-@query(f"with h as (select c_custkey, {_MD5} h from customer) select c_custkey, 'TS-' || h || {check_sql('h', luhn.MOD16)} psn from h")
+@query(f"with h as (select c_custkey, {_MD5} h from customer) select c_custkey, 'CU-' || h || {check_sql('h', luhn.MOD16)} psn from h")
 def psn_md5_luhn(spark, folder):
-    scheme = P.Scheme("MD5", prefix="TS-", salt=SALT, check_digit=True)
+    scheme = P.Scheme("MD5", prefix="CU-", salt=SALT, check_digit=True)
     return P.pseudonymize(customers(spark, folder), scheme).select("c_custkey", "psn")
 
 
@@ -118,16 +118,29 @@ def psn_retry(spark, folder):
     return classify.create_with_retries(rows, held, draw).select("request", "status")
 
 
-_DOMAIN_HASH = "case upper(trim(d.algorithm)) when 'MD5' then upper(md5(p.identifier || p.idtype || coalesce(d.salt, ''))) when 'SHA1' then upper(sha1(p.identifier || p.idtype || coalesce(d.salt, ''))) end"
+_DOMAIN_HASH = "case upper(trim(d.algorithm)) when 'MD5' then upper(md5(t)) when 'SHA1' then upper(sha1(t)) when 'CONSECUTIVE' then n::varchar end"
+#: What is known in SQL of every row's pseudonym: the text in domains of MD5, SHA1 and numbers, the number of signs in all.
+_BY_DOMAIN = f"""with c as (select p.id, p.domainid, coalesce(d.consecutivevaluecounter, 0) + row_number() over (partition by p.domainid order by p.id) n, p.identifier || p.idtype || coalesce(d.salt, '') k from pseudonym p join pseudonym_domain d on d.id = p.domainid where p.identifier is not null and p.idtype is not null),
+k as (select c.*, d.*, case when d.multiplepsnallowed then k || (n - 1)::varchar else k end t from c join pseudonym_domain d on d.id = c.domainid),
+h as (select k.id, d.prefix, d.algorithm, d.addcheckdigit c, d.lengthincludescheckdigit and d.algorithm <> 'CONSECUTIVE' i, d.pseudonymlength l, lpad({_DOMAIN_HASH}, d.pseudonymlength, d.paddingcharacter) h from k join pseudonym_domain d on d.id = k.domainid),
+b as (select *, case when c and i then substr(h, 1, length(h) - 1) else h end b from h)
+"""
 
 
-@query(f"""with h as (select p.id, d.prefix, d.addcheckdigit c, d.lengthincludescheckdigit i, lpad({_DOMAIN_HASH}, d.pseudonymlength, d.paddingcharacter) h from pseudonym p join pseudonym_domain d on d.id = p.domainid where upper(trim(d.algorithm)) in ('MD5', 'SHA1')),
-b as (select *, case when c and i then substr(h, 1, length(h) - 1) else h end b from h)
-select id, prefix || case when c then b || {check_sql('b', luhn.MOD16)} else h end psn from b""")
+@query(_BY_DOMAIN.replace("select c.*, d.*,", "select c.*,") + f"select id, case when h is not null then prefix || case when c then b || case algorithm when 'CONSECUTIVE' then {check_sql('b', luhn.MOD10)} else {check_sql('b', luhn.MOD16)} end else h end end psn, length(prefix) + l + case when c and not i then 1 else 0 end signs from b")
 def psn_by_domain(spark, folder):
-    some = domains(spark, folder).where("upper(trim(algorithm)) in ('MD5', 'SHA1')")
-    rows = pseudonyms(spark, folder).join(some.select(F.col("id").alias("domainid")), "domainid", "left_semi")
-    return P.by_domain(rows, some).select("id", "psn")
+    """Pseudonyms of all rows by their domain's own algorithm; text where SQL knows the hash, the length everywhere. The
+    texts of the other algorithms are tested row by row."""
+    made = P.by_domain(pseudonyms(spark, folder).where("identifier is not null and idtype is not null"), domains(spark, folder), order="id")
+    kinds = domains(spark, folder).select(F.col("id").alias("domainid"), F.upper(F.trim("algorithm")).isin("MD5", "SHA1", "CONSECUTIVE").alias("known"))
+    return made.join(kinds, "domainid").select("id", F.when(F.col("known"), F.col("psn")).alias("psn"), F.length("psn").alias("signs"))
+
+
+@query("with u as (select domainid, count(*) n from pseudonym where identifier is not null and idtype is not null group by 1) select d.id, coalesce(consecutivevaluecounter, 0) + case when algorithm = 'CONSECUTIVE' or (multiplepsnallowed and algorithm in ('MD5', 'SHA1', 'SHA2', 'SHA3', 'BLAKE3', 'XXHASH')) then coalesce(n, 0) else 0 end counter from pseudonym_domain d left join u on u.domainid = d.id")
+def psn_counters(spark, folder):
+    """Counters of the domains after a pseudonym was made for every row."""
+    made = pseudonyms(spark, folder).where("identifier is not null and idtype is not null")
+    return P.advanced(domains(spark, folder), made).select("id", F.coalesce("consecutivevaluecounter", F.lit(0)).alias("counter"))
 
 
 _BODY = "upper(trim(substr(p.pseudonym, length(d.prefix) + 1)))"
@@ -491,13 +504,20 @@ def validity_update(spark, folder):
     return rows.select("id", validity.updated_start(start, F.col("validfrom"), F.col("df"), F.col("es")).alias("start"), validity.updated_end(end, F.col("validto"), F.col("dt"), F.col("ee")).alias("end"))
 
 
-@query(f"select p.id, case when p.id % 2 = 0 then p.identifier || '-2' else p.identifier end identifier, case when p.id % 2 = 0 and d.algorithm in ('MD5', 'SHA1') and not d.addcheckdigit then d.prefix || lpad(case d.algorithm when 'MD5' then upper(md5(p.identifier || '-2' || p.idtype || d.salt)) else upper(sha1(p.identifier || '-2' || p.idtype || d.salt)) end, d.pseudonymlength, d.paddingcharacter) else p.pseudonym end pseudonym from pseudonym p join pseudonym_domain d on d.id = p.domainid where d.algorithm in ('MD5', 'SHA1') and not d.addcheckdigit")
+_COMPLETE = _BY_DOMAIN.replace("select c.*, d.*,", "select c.*,").replace("p.identifier || p.idtype", "p.identifier || '-2' || p.idtype").replace("where p.identifier is not null", "where p.id % 2 = 0 and p.identifier is not null")
+
+
+@query(_COMPLETE + f"""select p.id, case when p.id % 2 = 0 then p.identifier || '-2' else p.identifier end identifier,
+case when p.id % 2 = 1 or p.identifier is null or p.idtype is null then p.pseudonym when b.h is not null then b.prefix || case when c then b.b || case b.algorithm when 'CONSECUTIVE' then {check_sql('b.b', luhn.MOD10)} else {check_sql('b.b', luhn.MOD16)} end else h end end pseudonym
+from pseudonym p left join b on b.id = p.id""")
 def update_complete(spark, folder):
-    """Complete updates of identifiers in domains that hash without a check digit: the pseudonym is made anew."""
-    some = domains(spark, folder).where("algorithm in ('MD5', 'SHA1') and not addcheckdigit")
-    held = pseudonyms(spark, folder).join(some.select(F.col("id").alias("domainid")), "domainid", "left_semi")
-    changes = held.where("id % 2 = 0").select("id", F.concat("identifier", F.lit("-2")).alias("new_identifier"))
-    return classify.complete(changes, held, lambda rows: P.by_domain(rows, some)).select("id", "identifier", "pseudonym")
+    """Complete updates of every other row's identifier: its domain makes the pseudonym anew, whatever the algorithm.
+    What SQL can't hash (or is drawn) is null here and tested by itself."""
+    held = pseudonyms(spark, folder)
+    changes = held.where("id % 2 = 0 and identifier is not null and idtype is not null").select("id", F.concat("identifier", F.lit("-2")).alias("new_identifier"))
+    made = classify.complete(changes, held, lambda rows: P.by_domain(rows, domains(spark, folder), order="id"))
+    kinds = domains(spark, folder).select(F.col("id").alias("domainid"), F.upper(F.trim("algorithm")).isin("MD5", "SHA1", "CONSECUTIVE").alias("known"))
+    return made.join(kinds, "domainid", "left").select("id", "identifier", F.when(F.col("known") | (F.col("id") % 2 == 1), F.col("pseudonym")).alias("pseudonym"))
 
 
 @query("select d.id, p.name parent_name from pseudonym_domain d left join pseudonym_domain p on p.id = d.superdomainid")

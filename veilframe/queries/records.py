@@ -671,18 +671,48 @@ def stream_parse(spark, folder):
     return ingest.parsed(_messages(spark, folder)).select("id", "identifier", "idtype", "domain", "reject")
 
 
-@query(_MESSAGES + " select distinct trim(domain) as name, upper(substr(trim(domain), 1, 2)) || '-' prefix from f where j is not null and trim(domain) <> '' and trim(identifier) <> '' and trim(idtype) <> '' and lower(trim(domain)) not in (select lower(name) from pseudonym_domain where id % 2 = 0)")
+@query(_MESSAGES + " select min(trim(domain)) as name, upper(substr(min(trim(domain)), 1, 2)) || '-' prefix, 'RANDOM_LET' algorithm, 16 pseudonymlength, true addcheckdigit, false multiplepsnallowed, 32 signs, to_days(0) + least(min(case when try_cast(json_extract_string(j, '$.validFrom') as timestamp) <= timestamp '2024-06-01' then try_cast(json_extract_string(j, '$.validFrom') as timestamp) end), timestamp '2024-06-01') validfrom from f where j is not null and trim(domain) <> '' and trim(identifier) <> '' and trim(idtype) <> '' and lower(trim(domain)) not in (select lower(name) from pseudonym_domain where id % 2 = 0) group by lower(trim(domain))")
 def stream_new_domains(spark, folder):
     known = table(spark, folder, "pseudonym_domain").where("id % 2 = 0")
-    return ingest.new_domains(ingest.parsed(_messages(spark, folder)), known, {}).select("name", "prefix")
+    fresh = ingest.new_domains(ingest.parsed(_messages(spark, folder)), known, F.expr("timestamp_ntz'2024-06-01 00:00:00'"))
+    return fresh.select("name", "prefix", "algorithm", "pseudonymlength", "addcheckdigit", "multiplepsnallowed", F.length("salt").alias("signs"), "validfrom")
 
 
-@query()
+#: Rows of the stream in domains known beforehand, with what each must end as; the first half of the pseudonyms is held.
+_STREAM = _MESSAGES + """, held as (select * from pseudonym where id % 2 = 0),
+r as (select distinct identifier, idtype, d.id domainid from f join pseudonym_domain d on lower(d.name) = lower(trim(f.domain)) where j is not null and trim(identifier) <> '' and trim(idtype) <> ''),
+q as (select r.*, d.*, exists (select 1 from held h where h.domainid = r.domainid and h.identifier = r.identifier and h.idtype = r.idtype) same_id from r join (select id, algorithm, prefix, salt, addcheckdigit c, lengthincludescheckdigit i, pseudonymlength l, paddingcharacter p, multiplepsnallowed m, validto from pseudonym_domain) d on d.id = r.domainid),
+h as (select *, lpad(case algorithm when 'MD5' then upper(md5(identifier || idtype || salt)) when 'SHA1' then upper(sha1(identifier || idtype || salt)) end, l, p) h from q)
+"""
+
+
+def _streamed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    held = table(spark, folder, "pseudonym").where("id % 2 = 0").select("domainid", "identifier", "idtype", "pseudonym")
+    return ingest.batch(_messages(spark, folder).select("value"), table(spark, folder, "pseudonym_domain"), held, F.expr("timestamp_ntz'2025-06-01 00:00:00'"))
+
+
+@query(_STREAM + "select identifier, idtype, domainid, case when validto < timestamp '2025-06-01' then 'domain expired' when same_id and not m then 'duplicate identifier' else 'success' end status, case when not m and h is not null and validto >= timestamp '2025-06-01' then prefix || h end body, validto >= timestamp '2025-06-01' made from h")
+def stream_rows(spark, folder):
+    """Every request of the stream's messages with its domain, status and pseudonym: the text before its check digit
+    where SQL knows the hash, and whether there is one at all."""
+    results, _, domains = _streamed(spark, folder)
+    d = domains.select(F.col("id").alias("domainid"), "prefix", "algorithm", "pseudonymlength", "multiplepsnallowed")
+    known = F.col("algorithm").isin("MD5", "SHA1") & ~F.col("multiplepsnallowed")
+    body = F.when(known, F.substring(F.col("pseudonym"), F.lit(1), F.length("prefix") + F.col("pseudonymlength")))
+    return results.join(d, "domainid").select("identifier", "idtype", "domainid", "status", body.alias("body"), F.col("pseudonym").isNotNull().alias("made"))
+
+
+@query(_STREAM + ", n as (select domainid, count(*) n from h where validto >= timestamp '2025-06-01' group by 1) select d.id, consecutivevaluecounter + case when algorithm = 'CONSECUTIVE' or (multiplepsnallowed and algorithm not like 'RANDOM%') then coalesce(n, 0) else 0 end counter from pseudonym_domain d left join n on n.domainid = d.id")
+def stream_counters(spark, folder):
+    """Counters of the domains after the batch."""
+    return _streamed(spark, folder)[2].select("id", F.col("consecutivevaluecounter").alias("counter"))
+
+
+@query(_STREAM + ", s as (select case when validto < timestamp '2025-06-01' then 'domain expired' when same_id and not m then 'duplicate identifier' else 'success' end status from h), x as (select case when j is null then 'malformed' when coalesce(trim(identifier), '') = '' then 'no identifier' when coalesce(trim(idtype), '') = '' then 'no type' when coalesce(trim(domain), '') = '' then 'no domain' end status from f) select status, count(*) n from (select status from s union all select status from x where status is not null) group by 1")
 def stream_batch(spark, folder):
-    """A whole batch: parsed, validated, pseudonymised and classified; streaming and batch are compared in the tests."""
-    domains = table(spark, folder, "pseudonym_domain")
-    held = table(spark, folder, "pseudonym").select("domainid", "identifier", "idtype", "pseudonym")
-    results, rejects, _ = ingest.batch(_messages(spark, folder).select("value"), domains, held, F.expr("timestamp_ntz'2025-06-01 00:00:00'"))
+    """How a whole batch ends: parsed, validated, pseudonymised and classified; streaming and batch are compared in the
+    tests."""
+    results, rejects, _ = _streamed(spark, folder)
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n")).unionByName(rejects.groupBy(F.col("reject").alias("status")).agg(F.count(F.lit(1)).alias("n")))
 
 

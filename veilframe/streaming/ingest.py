@@ -7,11 +7,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from veilframe.functions.luhn import SALT_CHARACTERS
 from veilframe.functions.normalize import blank
-from veilframe.functions.validity import clamp_end, clamp_start, parse, wanted_end
-from veilframe.operators.classify import SUCCESS, create
-from veilframe.operators.pseudonymize import by_domain
-from veilframe.plans.durable import durable
+from veilframe.functions.validity import parse, plus
+from veilframe.operators.classify import SUCCESS
+from veilframe.operators.creation import VALIDITY, create
+from veilframe.operators.pseudonymize import numbered, random_text
+from veilframe.plans.durable import durable, temporary
+
+#: The settings of a domain that a message brings into being.
+DOMAIN_DEFAULTS = {
+    "enforcestartdatevalidity": True, "enforceenddatevalidity": True, "algorithm": "RANDOM_LET", "alphabet": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "randomalgorithmdesiredsize": 100_000_000, "randomalgorithmdesiredsuccessprobability": 0.99999998, "multiplepsnallowed": False, "pseudonymlength": 16,
+    "paddingcharacter": "0", "addcheckdigit": True, "lengthincludescheckdigit": False, "consecutivevaluecounter": 0, "saltlength": 32,
+}
+DOMAIN_YEARS = "30 years"
 
 
 @dataclass(frozen=True)
@@ -52,78 +62,95 @@ def parsed(messages: DataFrame, fields: Fields = Fields(), value: str = "value")
     return rows.withColumn("reject", reason).drop("_bad")
 
 
-def new_domains(rows: DataFrame, domains: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """A domain with default settings for each unknown domain name; its prefix is the first two signs and a hyphen.
-    Ids follow the greatest in use, by name."""
-    from pyspark.sql import Window
-
-    names = rows.where("reject is null").select(F.trim("domain").alias("name")).distinct()
-    unknown = names.join(domains.select(F.lower("name").alias("_l")), F.lower("name") == F.col("_l"), "left_anti")
-    unknown = unknown.groupBy(F.lower("name").alias("_l")).agg(F.min("name").alias("name")).drop("_l")
+def new_domains(rows: DataFrame, domains: DataFrame, as_of: Column, seed: int | None = None) -> DataFrame:
+    """A domain for each unknown domain name (case ignored): prefix of its first two signs and a hyphen, the settings of
+    ``DOMAIN_DEFAULTS``, nothing inherited, a salt of its own, valid from the earliest start a message gives (now, if
+    none does or it lies ahead) for thirty years. Ids follow the greatest in use, by name."""
+    usable = rows.where("reject is null").select(F.trim("domain").alias("name"), parse(F.col("valid_from")).cast("timestamp_ntz").alias("_start"))
+    names = usable.groupBy(F.lower("name").alias("_l")).agg(F.min("name").alias("name"), F.min("_start").alias("_start"))
+    unknown = names.join(domains.select(F.lower("name").alias("_l")), "_l", "left_anti").drop("_l")
     top = domains.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # few names: new domains of one batch
-    numbered = unknown.withColumn("id", (F.lit(top) + F.row_number().over(Window.orderBy("name"))).cast("int"))
-    row = numbered.withColumn("prefix", F.concat(F.upper(F.substring("name", 1, 2)), F.lit("-")))
-    return row.select(*[(F.col(f.name) if f.name in ("id", "name", "prefix") else defaults[f.name] if f.name in defaults else F.lit(None)).cast(f.dataType).alias(f.name) for f in domains.schema])
-
-
-def pseudonymized(rows: DataFrame, domains: DataFrame, as_of: Column) -> DataFrame:
-    """Usable messages as creation requests: domain id, validity within the domain's, and the pseudonym, generated or
-    (without a prefix put on) supplied. Messages of expired domains get ``reject``."""
-    d = domains.select(F.lower("name").alias("_l"), F.col("id").alias("domainid"), F.col("validfrom").alias("_from"), F.col("validto").alias("_to"), F.col("enforcestartdatevalidity").alias("_es"), F.col("enforceenddatevalidity").alias("_ee"))
-    joined = rows.where("reject is null").join(F.broadcast(d), F.lower(F.trim("domain")) == F.col("_l"), "left").drop("_l")
-    joined = joined.withColumn("_given_from", parse(F.col("valid_from")).cast("timestamp_ntz")).withColumn("_given_to", parse(F.col("valid_to")).cast("timestamp_ntz"))
-    start, start_inherited = clamp_start(F.col("_given_from"), F.col("_from"), F.col("_es"))
-    joined = joined.withColumn("validfrom", start).withColumn("validfrominherited", start_inherited)
-    joined = joined.withColumn("_wanted", wanted_end(F.col("_given_to"), F.col("validity"), F.col("validfrom")))
-    end, end_inherited = clamp_end(F.col("_wanted"), F.col("_to"), F.col("_ee"))
-    joined = joined.withColumn("validto", end).withColumn("validtoinherited", end_inherited).withColumn("reject", F.when(F.col("domainid").isNull(), "unknown domain").when(F.col("_to") < as_of, "domain expired"))
-    made = by_domain(joined.withColumnRenamed("psn", "_given"), domains, "_made")
-    given = F.when(~blank(F.col("_given")), F.trim("_given"))
-    return made.withColumn("pseudonym", F.coalesce(given, F.col("_made"))).drop("_given", "_made", "_from", "_to", "_es", "_ee", "_given_from", "_given_to", "_wanted")
-
-
-def batch(messages: DataFrame, domains: DataFrame, held: DataFrame, as_of: Column, defaults: dict[str, Column] | None = None, fields: Fields = Fields()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One batch of messages: (classified requests, rejected messages, new domains).
-
-    Messages of one content within the batch are one request with ``copies``; those delivered again later find their
-    pseudonym held and are classified as duplicates, so a replay changes nothing.
+    now = as_of.cast("timestamp_ntz")
+    row = numbered(unknown, ["name"], top, "id").withColumn("validfrom", F.when(F.col("_start") <= now, F.col("_start")).otherwise(now))
+    row = row.withColumn("validto", plus(F.col("validfrom"), F.lit(DOMAIN_YEARS))).withColumn("prefix", F.concat(F.upper(F.substring("name", 1, 2)), F.lit("-")))
+    row = row.withColumn("salt", random_text(F.lit(SALT_CHARACTERS), F.lit(DOMAIN_DEFAULTS["saltlength"]), seed))
+    made = {"id", "name", "validfrom", "validto", "prefix", "salt"}
+    value = lambda c: F.col(c) if c in made else F.lit(False) if c.endswith("inherited") else F.lit(DOMAIN_DEFAULTS.get(c))
+    return row.select(*[value(f.name).cast(f.dataType).alias(f.name) for f in domains.schema])
+
+
+def requested(rows: DataFrame, domains: DataFrame) -> DataFrame:
+    """Usable messages as creation requests, messages of one content as one with the number of ``copies``: ``request``
+    (128 bits of the content), ``identifier``, ``idtype``, ``domainid``, ``given``, ``given_from``, ``given_to``,
+    ``period``. Copies are counted before the shuffle, so a message sent very often costs no more than another."""
+    names = domains.groupBy(F.lower("name").alias("_l")).agg(F.min("id").alias("domainid"))
+    content = rows.where("reject is null").select("identifier", "idtype", F.lower(F.trim("domain")).alias("_l"), F.when(~blank(F.col("psn")), F.trim("psn")).alias("given"), "valid_from", "valid_to", F.col("validity").alias("period"))
+    counted = content.groupBy(*content.columns).agg(F.count(F.lit(1)).alias("copies"))
+    request = F.md5(F.to_json(F.struct(*content.columns))).alias("request")
+    return counted.join(names, "_l", "left").select(request, "identifier", "idtype", "domainid", "given", parse(F.col("valid_from")).cast("timestamp_ntz").alias("given_from"), parse(F.col("valid_to")).cast("timestamp_ntz").alias("given_to"), "period", "copies")
+
+
+def batch(messages: DataFrame, domains: DataFrame, held: DataFrame, as_of: Column, fields: Fields = Fields(), seed: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One batch of messages: (requests with ``pseudonym``, validity and ``status``; rejected messages; the domains,
+    with those that messages brought into being and with counters advanced).
+
+    Every domain's own algorithm applies, supplied pseudonyms are taken as they are (no prefix), drawn ones that
+    collide are drawn again. Messages of one content within the batch are one request; delivered again later they find
+    their identifier held and are duplicates, so in domains with one pseudonym per identifier a replay changes nothing.
+    ``held`` (full key) is read once per attempt, as far as it meets the batch's keys (see ``classify.near``).
     """
     rows = parsed(messages, fields)
-    fresh = new_domains(rows, domains, defaults or {})
+    fresh = durable(new_domains(rows, domains, as_of, seed))
     every = domains.unionByName(fresh)
-    requests = durable(pseudonymized(rows, every, as_of))
-    key, validity = ["identifier", "idtype", "domainid", "pseudonym"], ["validfrom", "validfrominherited", "validto", "validtoinherited"]
-    # messages of one content are one request, whatever the number of copies in this batch
-    usable = requests.where("reject is null").groupBy(*key).agg(F.min(F.struct(*validity)).alias("v"), F.count(F.lit(1)).alias("copies")).withColumn("request", F.xxhash64(*key))
-    results = create(usable.select("request", *key, "v.*", "copies"), held, order="request")
-    rejects = rows.where("reject is not null").select("value", "reject").unionByName(requests.where("reject is not null").select("value", "reject"))
-    return results, rejects, fresh
+    results, after = create(requested(rows, every), every, held, as_of, add_prefix=False, seed=seed)
+    return results, rows.where("reject is not null").select("value", "reject"), after
+
+
+#: What the stream keeps of a pseudonym.
+STORED = "domainid int, identifier string, idtype string, pseudonym string, validfrom timestamp_ntz, validfrominherited boolean, validto timestamp_ntz, validtoinherited boolean"
+
+
+def _stored(spark: SparkSession, path: str, schema, before: int) -> DataFrame | None:
+    """What batches before this one wrote to a folder, with their number; None if there is nothing yet."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") < before)
+
+
+def current_domains(domains: DataFrame, state: str, before: int) -> DataFrame:
+    """The domains as the stream left them: those given, replaced and joined by the latest version of each it wrote."""
+    written = _stored(domains.sparkSession, f"{state}/domains", domains.schema.add("batch", "long"), before)
+    if written is None:
+        return domains
+    row = F.struct(*domains.columns).alias("r")
+    every = domains.select(F.lit(-1).cast("long").alias("batch"), row).unionByName(written.select("batch", row))
+    return every.groupBy(F.col("r.id").alias("_id")).agg(F.max_by("r", "batch").alias("r")).select("r.*")
 
 
 def run(messages: DataFrame, state: str, checkpoint: str, domains: Callable[[SparkSession], DataFrame], as_of: Column, trigger: dict | None = None, fields: Fields = Fields()):
-    """Starts the stream: each micro-batch is classified against the pseudonyms under ``state``/pseudonyms, and its
-    successes, rejects and new domains are written under ``state`` by batch number.
+    """Starts the stream: each micro-batch is classified against the pseudonyms under ``state``/pseudonyms; its
+    successes, rejects and the domains it made or counted on are written under ``state`` by batch number.
 
-    A batch that runs again after a failure overwrites its own number and never sees its own former rows, so every
-    message takes effect once. One writer per state folder.
+    A batch that runs again after a failure overwrites its own number and never sees its own former rows. State is
+    laid out by batch and domain; of the history only rows that meet a key of the batch leave the scan. Intermediate
+    tables go with the batch. One writer per state folder.
     """
 
     def each(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        schema = "domainid int, identifier string, idtype string, pseudonym string, validfrom timestamp_ntz, validfrominherited boolean, validto timestamp_ntz, validtoinherited boolean"
-        path = f"{state}/pseudonyms"
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        held = spark.read.schema(schema + ", batch long").parquet(path).where(F.col("batch") < number).drop("batch") if there else spark.createDataFrame([], schema)
-        known = domains(spark)
-        made = jvm.org.apache.hadoop.fs.Path(f"{state}/domains")
-        if made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made):
-            known = known.unionByName(spark.read.schema(known.schema.add("batch", "long")).parquet(f"{state}/domains").where(F.col("batch") < number).drop("batch"))
-        results, rejects, fresh = batch(rows, known, held, as_of, fields=fields)
-        results.where(F.col("status") == SUCCESS).drop("request", "status", "copies").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        rejects.write.mode("overwrite").parquet(f"{state}/rejects/batch={number}")
-        fresh.write.mode("overwrite").parquet(f"{state}/domains/batch={number}")
+        with temporary(spark):
+            held = _stored(spark, f"{state}/pseudonyms", STORED + ", batch long", number)
+            held = spark.createDataFrame([], STORED) if held is None else held.drop("batch")
+            known = durable(current_domains(domains(spark), state, number))
+            results, rejects, after = batch(durable(rows), known, held, as_of, fields=fields)
+            kept = ["domainid", "identifier", "idtype", "pseudonym", *VALIDITY]
+            results.where(F.col("status") == SUCCESS).select(*kept).write.mode("overwrite").partitionBy("domainid").parquet(f"{state}/pseudonyms/batch={number}")
+            refused = results.where(~F.col("status").isin(SUCCESS, "duplicate identifier")).select(F.to_json(F.struct("identifier", "idtype", "domainid", "given")).alias("value"), F.col("status").alias("reject"))
+            rejects.unionByName(refused).write.mode("overwrite").parquet(f"{state}/rejects/batch={number}")
+            same = known.select("id", F.col("consecutivevaluecounter").alias("_n"))
+            changed = after.join(same, "id", "left").where("_n is null or _n <> consecutivevaluecounter").drop("_n")
+            changed.write.mode("overwrite").parquet(f"{state}/domains/batch={number}")
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
