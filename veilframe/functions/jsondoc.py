@@ -108,6 +108,25 @@ def repeatable_groups(attributes: list) -> dict[str, tuple[bool, dict]]:
     return found
 
 
+def fields_of(attributes: list, path: str = "", element: str = "", prefix: str = "") -> Iterator[tuple[str, str, bool]]:
+    """(group, field, whether it is repeatable) of every attribute within a repeatable group; a field in a plain group
+    within an element belongs to the element and has a dotted name."""
+    for a in attributes or []:
+        if not isinstance(a, dict):
+            continue
+        if "attributes" not in a:
+            if element and a.get("name"):
+                yield element, prefix + a["name"], bool(a.get("repeatable"))
+        elif a.get("layout") == "group" and a.get("name"):
+            inside = f"{path}.{a['name']}" if path else a["name"]
+            if a.get("repeatable"):
+                yield from fields_of(a["attributes"], inside, inside, "")
+            else:
+                yield from fields_of(a["attributes"], inside, element, f"{prefix}{a['name']}." if element else "")
+        else:
+            yield from fields_of(a["attributes"], path, element, prefix)
+
+
 def definitions(rows: list[tuple[int, str | None]]) -> dict[int, dict[str, tuple[bool, dict]]]:
     """Type id -> its groups; a type without a readable definition has none."""
     return {int(i): repeatable_groups((parse(text) or {}).get("attributes", [])) for i, text in rows if i is not None}

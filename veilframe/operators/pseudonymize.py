@@ -182,14 +182,17 @@ def by_domain(rows: DataFrame, domains: DataFrame, name: str = "psn", order: str
     for tests). Without an identifier, a type or a known domain with an algorithm the pseudonym is null.
 
     Only rows of domains that count are numbered (see ``numbered_within``); only a scheme that is in use is worked out
-    for a row. The domains are configuration; whether they are broadcast is left to their measured size. Drawn and
+    for a row, and only of schemes that some domain uses. The domains are configuration; whether they are broadcast is left to their measured size. Drawn and
     counted values differ at each evaluation: write the result out before using it twice, and store ``advanced``.
     """
+    # which algorithms are in use: never more rows than there are algorithms and flags
+    used = settings(domains).select("_a", "_counts", "_d").distinct().collect()
+    names = {r["_a"] for r in used}
     usable = F.col("identifier").isNotNull() & F.col("idtype").isNotNull() & F.col("_a").isNotNull()
     joined = rows.join(settings(domains), "domainid", "left").withColumn("_usable", usable)
     keys = [order] if order else ["identifier", "idtype"]
     counts = F.coalesce(F.col("_usable") & F.col("_counts"), F.lit(False))
-    if settings(domains).where("_counts").isEmpty():
+    if not any(r["_counts"] for r in used):
         joined = joined.withColumn("_count", F.lit(None).cast("long"))
     else:
         counted = numbered_within(joined.where(counts), "domainid", keys, "_rank").withColumn("_count", F.col("_n") + F.col("_rank")).drop("_rank")
@@ -199,14 +202,22 @@ def by_domain(rows: DataFrame, domains: DataFrame, name: str = "psn", order: str
     is_a = lambda a: F.col("_a") == a
     raw = F.when(~F.col("_usable"), F.lit(None)).when(is_a("CONSECUTIVE"), F.col("_count").cast("string"))
     for algorithm, make in hashing.HASHES.items():
-        if algorithm != "BLAKE3":
+        if algorithm != "BLAKE3" and algorithm in names:
             raw = raw.when(is_a(algorithm), make(F.col("_text")))
-    raw = raw.when(is_a("XXHASH"), F.lpad(F.lower(F.hex(F.xxhash64("_w", "_text"))), 16, "0"))
-    # Python works on what needs it: nulls pass through at no cost
-    joined = joined.withColumn("_blake", hashing.blake3(F.when(F.col("_usable") & is_a("BLAKE3"), F.col("_text"))))
-    joined = joined.withColumn("_random", random_text(F.when(F.col("_usable") & F.col("_a").isin(DRAWING), F.col("_signs")), F.col("_l"), seed))
-    joined = joined.withColumn("_raw", F.coalesce(raw, F.col("_blake"), F.col("_random")))
+    if "XXHASH" in names:
+        raw = raw.when(is_a("XXHASH"), F.lpad(F.lower(F.hex(F.xxhash64("_w", "_text"))), 16, "0"))
+    made = [raw]
+    # Python works on the rows that need it; the others are null there
+    if "BLAKE3" in names:
+        joined = joined.withColumn("_blake", hashing.blake3(F.when(F.col("_usable") & is_a("BLAKE3"), F.col("_text"))))
+        made.append(F.col("_blake"))
+    if names & set(DRAWING):
+        joined = joined.withColumn("_random", random_text(F.when(F.col("_usable") & F.col("_a").isin(DRAWING), F.col("_signs")), F.col("_l"), seed))
+        made.append(F.col("_random"))
+    joined = joined.withColumn("_raw", F.coalesce(*made))
     joined = joined.withColumn("_psn", F.concat("_p", luhn.corrected_length(F.col("_raw"), F.col("_l"), F.col("_c"))))
+    if not any(r["_d"] for r in used):
+        return joined.withColumn(name, F.col("_psn")).select(*rows.columns, name)
     digits = luhn.with_check_digit(joined, "_psn", F.col("_p"), F.when(F.col("_d"), F.col("_digits")), F.col("_i"), is_a("CONSECUTIVE"), "_digit")
     return digits.withColumn(name, F.when(F.col("_d"), F.col("_digit")).otherwise(F.col("_psn"))).select(*rows.columns, name)
 

@@ -10,7 +10,7 @@ from veilframe.functions.text import blank, strip
 from veilframe.operators.delivery import deliveries, seen_ranges
 from veilframe.operators.intervals import sweep
 from veilframe.operators.sessions import session_values, sessions
-from veilframe.operators.shred import elements, flat_table, nodes
+from veilframe.operators.shred import flat_table, shredded
 from veilframe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,42 +55,29 @@ def p4_seen_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return seen_ranges(_deliveries(spark, folder), MESSAGE)
 
 
-def _nodes(spark: SparkSession, folder: str, elements_only: bool) -> DataFrame:
-    return nodes(table(spark, folder, "entity_instance"), table(spark, folder, "entity_type"), elements_only=elements_only)
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return elements(_nodes(spark, folder, True)).select("id", "path")
+    """The rows of all flat tables."""
+    return shredded(table(spark, folder, "entity_instance"), table(spark, folder, "entity_type")).select("id", "path")
 
 
-def _flat(group: str, fields: list[str]) -> Query:
+def _flat(group: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return flat_table(_nodes(spark, folder, False), group, fields, REPEATED.get(group, ()))
-
-    query.__doc__ = f"The flat table of group {group}."
+        types = table(spark, folder, "entity_type")
+        # documents of types that don't define the group have no row in its table
+        flat = flat_table(shredded(table(spark, folder, "entity_instance"), types), types, group)
+        above = F.regexp_extract("path", r"^(.*\])\.[^\[\]]*\[\d+\]$", 1)
+        columns = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() == "array" else f.name for f in flat.schema if f.name not in ("id", "path", "node", "parent")]
+        return flat.select("id", "path", F.when(above != "", above).alias("parent_path"), *columns)
+
+    query.__doc__ = f"The flat table of group {group}; a row's parent is the row of ``id`` and ``parent_path``."
     return query
 
 
-#: The repeatable groups of the entity types and their scalar fields.
+#: The repeatable groups of the entity types and the type that defines each; fields come from the definitions.
 GROUPS = {
-    "encounters": ["no", "ward", "admitted"],
-    "encounters.diagnoses": ["code", "certainty"],
-    "encounters.labs": ["test", "value", "unit"],
-    "consents": ["module", "granted", "since"],
-    "diagnoses": ["code", "certainty"],
-    "biosamples": ["barcode", "material", "taken"],
-    "biosamples.aliquots": ["pos", "vol"],
-    "biosamples.aliquots.moves": ["to", "at"],
-    "visits": ["visit", "date"],
-    "visits.forms": ["form"],
-    "visits.forms.items": ["q", "a"],
-    "befragungen": ["welle", "datum"],
-    "befragungen.antworten": ["frage", "wert"],
-    "steps": ["step", "at", "operator"],
-    "steps.readings": ["k", "v"],
-}
-#: Their repeatable attributes, each an array column; a test compares both lists with the type definitions.
-REPEATED = {"encounters.labs": ["flags"]}
+    "encounters": 201, "encounters.diagnoses": 201, "encounters.labs": 201, "consents": 201, "diagnoses": 201, "biosamples": 202, "biosamples.aliquots": 202, "biosamples.aliquots.moves": 202,
+    "visits": 203, "visits.forms": 203, "visits.forms.items": 203, "befragungen": 204, "befragungen.antworten": 204, "steps": 205, "steps.readings": 205,
+}
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +99,7 @@ def p7_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_periods, p4_found, p4_messages, p4_seen_ranges, p6_found, p7_found, p7_sessions)}
-    return found | {f"p6_{group.replace('.', '_')}": _flat(group, fields) for group, fields in GROUPS.items()}
+    return found | {f"p6_{group.replace('.', '_')}": _flat(group) for group in GROUPS}
 
 
 _ISLANDS = """
@@ -137,8 +124,40 @@ n as (select *, sum(fresh) over (partition by user_name order by t, id rows unbo
 """
 
 
+#: What the SQL below expects the definitions to say; a test compares them.
+FIELDS = {
+    "encounters": ["admitted", "no", "ward"], "encounters.diagnoses": ["certainty", "code"], "encounters.labs": ["test", "unit", "value", "flags"], "consents": ["granted", "module", "since"], "diagnoses": ["certainty", "code"],
+    "biosamples": ["barcode", "material", "taken"], "biosamples.aliquots": ["pos", "vol"], "biosamples.aliquots.moves": ["at", "to"],
+    "visits": ["date", "visit"], "visits.forms": ["form"], "visits.forms.items": ["a", "q"], "befragungen": ["datum", "welle"], "befragungen.antworten": ["frage", "wert"],
+    "steps": ["at", "operator", "step"], "steps.readings": ["k", "v"],
+}
+
+
+def _group_sql(group: str) -> str:
+    """CTEs of which the last, ``t<depth>``, has a row per element of the group: id, v (the object), path, above, ordinal."""
+    names = group.split(".")
+    parts = [f"t0 as (select id, data::json v, null::varchar path from entity_instance where entity_type_id = {GROUPS[group]} and json_valid(data) and json_type(data) = 'OBJECT')"]
+    for k, name in enumerate(names):
+        parts.append(f"c{k} as (select id, path, json_extract(v, '$.\"{name}\"') c from t{k})")
+        parts.append(f"s{k} as (select id, path, case when json_type(c) <> 'VARCHAR' then c when json_valid(json_extract_string(c, '$')) then json_extract_string(c, '$')::json end c from c{k})")
+        parts.append(f"l{k} as (select id, path, case json_type(c) when 'ARRAY' then json_extract(c, '$[*]') when 'OBJECT' then [c] end l from s{k})")
+        parts.append(f"u{k} as (select id, path above, unnest(l) v, generate_subscripts(l, 1) - 1 ordinal from l{k})")
+        parts.append(f"t{k + 1} as (select id, v, above, ordinal::int ordinal, coalesce(above || '.', '') || '{name}[' || ordinal || ']' path from u{k} where json_type(v) = 'OBJECT')")
+    return ", ".join(parts)
+
+
+def _flat_sql(group: str) -> str:
+    at = lambda f: f"json_extract(v, '$.\"{f}\"')"
+    text = lambda v: f"case when json_type({v}) not in ('OBJECT', 'ARRAY', 'NULL') then json_extract_string({v}, '$') end"
+    several = lambda v: f"case when json_type({v}) = 'ARRAY' then to_json(json_extract_string({v}, '$[*]'))::varchar when json_type({v}) not in ('OBJECT', 'NULL') then to_json([json_extract_string({v}, '$')])::varchar end"
+    columns = ", ".join(f"{(several if f == 'flags' else text)(at(f))} as \"{f}\"" for f in FIELDS[group])
+    return f"with {_group_sql(group)} select id, path, above parent_path, ordinal, {columns} from t{group.count('.') + 1}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    flat = {f"p6_{g.replace('.', '_')}": _flat_sql(g) for g in GROUPS}
+    return flat | {
+        "p6_found": " union all ".join(f"select id, path from ({sql})" for sql in flat.values()),
         "p3_found": _ISLANDS + "select identifier, idtype, domainid, 'period' kind, a from_us, b to_us from p where n >= 2 union all select identifier, idtype, domainid, 'gap', b, next_a from q where next_a is not null",
         "p3_periods": _ISLANDS + "select identifier, idtype, domainid, 'period' kind, a from_us, b to_us, n from p union all select identifier, idtype, domainid, 'gap', b, next_a, null from q where next_a is not null",
         "p4_found": _KEPT + "select id from m where k > 1",
