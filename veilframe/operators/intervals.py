@@ -6,14 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from veilframe.plans.durable import durable
 from veilframe.plans.prefix import running, with_blocks
 from veilframe.plans.skew import HOT_ROWS
 
-#: Hot keys are swept in blocks of this length (30 days in microseconds).
-BLOCK_US = 30 * 86_400_000_000
-
-
-def sweep(intervals: DataFrame, keys: Sequence[str], start: str, end: str, block_us: int = BLOCK_US, hot_rows: int = HOT_ROWS) -> DataFrame:
+def sweep(intervals: DataFrame, keys: Sequence[str], start: str, end: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Merges half-open intervals ``[start, end)`` (integers) of each key and lists the gaps.
 
     Every interval becomes a plus event at its start and a minus event at its end; events of one key and moment are
@@ -22,14 +19,14 @@ def sweep(intervals: DataFrame, keys: Sequence[str], start: str, end: str, block
     ``kind`` (period or gap), ``from_us``, ``to_us`` and, for periods, ``n`` intervals that formed it (gaps: null).
 
     Rows with a null bound, a null key or an end not after the start take no part. Equal rows count each. An empty
-    input gives an empty result. Extra columns are ignored. A key that holds very many intervals is swept in blocks
-    of ``block_us`` with totals carried over.
+    input gives an empty result. Extra columns are ignored. A key of more than ``hot_rows`` moments is swept in blocks
+    of about equal numbers of moments with totals carried over (``plans.prefix``).
     """
     keys = list(keys)
     usable = intervals.select(*keys, F.col(start).cast("long").alias("_from"), F.col(end).cast("long").alias("_to")).where(F.col("_to") > F.col("_from")).dropna(subset=keys)
     events = usable.select(*keys, F.explode(F.array(F.struct(F.col("_from").alias("t"), F.lit(1).alias("delta"), F.lit(1).alias("starts")), F.struct(F.col("_to").alias("t"), F.lit(-1).alias("delta"), F.lit(0).alias("starts")))).alias("e")).select(*keys, "e.*")
-    blocked = with_blocks(events, keys, "t", block_us, hot_rows).groupBy(*keys, "block", "t").agg(F.sum("delta").alias("delta"), F.sum("starts").alias("starts"))
-    active = running(blocked, keys, ["t"], sums={"active": F.col("delta"), "started": F.col("starts")})
+    moments = durable(events.groupBy(*keys, "t").agg(F.sum("delta").alias("delta"), F.sum("starts").alias("starts")))
+    active = running(with_blocks(moments, keys, "t", hot_rows), keys, ["t"], sums={"active": F.col("delta"), "started": F.col("starts")})
     opens = (F.col("active") > 0) & (F.col("active") == F.col("delta"))
     closes = (F.col("active") == 0) & (F.col("delta") < 0)
     # started counts the intervals up to now; before the opening event it counted those of earlier periods

@@ -6,20 +6,38 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veilframe.plans.durable import durable
 from veilframe.plans.skew import HOT_ROWS, hot_groups
 
 #: Block of keys that aren't split; below every real block.
 WHOLE = -(2**62)
 
 
-def with_blocks(rows: DataFrame, keys: Sequence[str], position: str, width: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``rows`` with ``block``: ``WHOLE`` for ordinary keys, else the position divided by ``width``.
+def with_blocks(rows: DataFrame, keys: Sequence[str], position: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with ``block``: ``WHOLE`` for ordinary keys; the rows of hot keys are range-partitioned by key and
+    position, and the block is the partition, so blocks are cut by count, wherever the rows of a key crowd.
 
-    Keys are counted with a partial aggregation; only the bounded list of hot ones is broadcast.
+    Keys are counted with a partial aggregation; only the bounded list of hot ones is broadcast. Rows of hot keys are
+    written out with their blocks, so that all readers see the same. ``rows`` is read up to three times and should be
+    durable; (keys, position) is unique in it, and keys aren't null.
     """
     keys = list(keys)
-    hot = hot_groups(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, rows=hot_rows)
-    return rows.join(F.broadcast(hot), keys, "left").withColumn("block", F.when(F.col("salts").isNotNull(), F.floor(F.col(position) / F.lit(width))).otherwise(F.lit(WHOLE)).cast("long")).drop("salts")
+    hot = durable(hot_groups(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, rows=hot_rows).select(*keys))
+    if hot.isEmpty():
+        return rows.withColumn("block", F.lit(WHOLE).cast("long"))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = rows.join(F.broadcast(hot), keys, "left_semi").repartitionByRange(spread, *keys, position)
+    cut = durable(many.withColumn("block", F.spark_partition_id().cast("long")))
+    return rows.join(F.broadcast(hot), keys, "left_anti").withColumn("block", F.lit(WHOLE).cast("long")).unionByName(cut)
+
+
+def neighbours(blocked: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """For each block of a hot key the last position before it and the first after it, among the key's other blocks:
+    keys, ``block``, ``before``, ``after``. One row per block."""
+    keys = list(keys)
+    spans = blocked.where(F.col("block") != WHOLE).groupBy(*keys, "block").agg(F.min(position).alias("_low"), F.max(position).alias("_high"))
+    order = Window.partitionBy(*keys).orderBy("block")
+    return spans.select(*keys, "block", F.lag("_high").over(order).alias("before"), F.lead("_low").over(order).alias("after"))
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ HOT_GROUPS = 10_000
 
 def hot_groups(groups: DataFrame, keys: Sequence[str], n: str = "n", rows: int = HOT_ROWS, most: int = HOT_GROUPS) -> DataFrame:
     """The at most ``most`` largest groups of more than ``rows`` rows, with the number of salts ``salts``."""
-    salts = F.least(F.lit(4096), F.ceil(F.col(n) / F.lit(rows))).cast("int")
+    salts = F.ceil(F.col(n) / F.lit(rows)).cast("int")
     return groups.where(F.col(n) > rows).orderBy(F.col(n).desc(), *keys).limit(most).select(*keys, salts.alias("salts"))
 
 
@@ -30,7 +30,7 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "
     hot = hot_groups(groups, keys, n, hot_rows)
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("salts"))).otherwise(0).cast("int")).drop("salts")
     count = F.col(n)
-    repeats = F.when(count > hot_rows, F.least(F.lit(4096), F.ceil(count / F.lit(hot_rows)))).otherwise(1).cast("int")
+    repeats = F.when(count > hot_rows, F.ceil(count / F.lit(hot_rows))).otherwise(1).cast("int")
     salted_groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), repeats - 1)))
     if how == "left_semi":
         salted_groups = salted_groups.select(*keys, "salt")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veilframe.functions.text import blank, strip
 from veilframe.operators.delivery import deliveries, seen_ranges
 from veilframe.operators.intervals import sweep
-from veilframe.operators.sessions import session_values, sessions
+from veilframe.operators.sessions import sessions, sessions_with_values
 from veilframe.operators.shred import flat_table, shredded
 from veilframe.sources.tables import table
 
@@ -91,10 +91,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions with start, end, duration, number of requests and of distinct URLs."""
-    requests = _requests(spark, folder)
-    urls = session_values(requests, "user_name", "t", "request_url")
-    return sessions(requests, "user_name", "t", "id").join(urls, ["key", "session"]).select(
-        F.col("key").alias("user_name"), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), F.col("n").alias("requests"), F.col("distinct_values").alias("urls"))
+    found = sessions_with_values(_requests(spark, folder), "user_name", "t", "id", "request_url")
+    return found.select(F.col("key").alias("user_name"), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), F.col("n").alias("requests"), F.col("distinct_values").alias("urls"))
 
 
 def queries() -> dict[str, Query]:
@@ -103,10 +101,10 @@ def queries() -> dict[str, Query]:
 
 
 _ISLANDS = """
-with v as (select identifier, idtype, domainid, epoch_us(validfrom) a, epoch_us(validto) b from pseudonym
+with v as (select id, identifier, idtype, domainid, epoch_us(validfrom) a, epoch_us(validto) b from pseudonym
            where validto > validfrom and identifier is not null and idtype is not null and domainid is not null),
-m as (select *, max(b) over (partition by identifier, idtype, domainid order by a, b rows between unbounded preceding and 1 preceding) upto from v),
-g as (select *, sum(case when upto is null or a > upto then 1 else 0 end) over (partition by identifier, idtype, domainid order by a, b rows unbounded preceding) island from m),
+m as (select *, max(b) over (partition by identifier, idtype, domainid order by a, b, id rows between unbounded preceding and 1 preceding) upto from v),
+g as (select *, sum(case when upto is null or a > upto then 1 else 0 end) over (partition by identifier, idtype, domainid order by a, b, id rows unbounded preceding) island from m),
 p as (select identifier, idtype, domainid, island, min(a) a, max(b) b, count(*) n from g group by all),
 q as (select *, lead(a) over (partition by identifier, idtype, domainid order by island) next_a from p)
 """
