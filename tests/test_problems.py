@@ -1,5 +1,6 @@
 """The general problems against brute force, on hard small cases."""
 
+import json
 import random
 import re
 from collections import defaultdict
@@ -8,11 +9,11 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from veilframe.functions.jsondoc import definitions, parse
-from veilframe.operators.delivery import Ranges, deliveries, seen_ranges
+from veilframe.functions.jsondoc import definitions, fields_of, parse
+from veilframe.operators.delivery import Ranges, deliveries, seen_identifiers, seen_ranges
 from veilframe.operators.intervals import sweep
 from veilframe.operators.sessions import numbered, session_values, sessions
-from veilframe.operators.shred import elements, flat_table, nodes
+from veilframe.operators.shred import columns_of, elements, flat_table, nodes, shredded
 from veilframe.plans.skew import lookup
 from veilframe.queries import problems
 
@@ -97,27 +98,39 @@ def test_ranges(adds):
         assert {x for l, h in zip(ranges.lows, ranges.highs) for x in range(l, h)} == covered
 
 
-def test_deliveries(spark):
-    r = random.Random(5)
-    rows = [(r.choice(["p", "P", None]), r.choice([0, 1, None]), r.choice([None, -1, -2, 7, 7, 7, *range(60)]), r.choice([None, 1, 2, 3]), i) for i in range(900)]
-    df = spark.createDataFrame(rows, "topic string, partition int, o long, t int, id long").withColumn("block", F.lit("x")).withColumn("share", F.lit("y"))
-    got = {x.id: x.kept for x in deliveries(df, ["topic", "partition"], "o", "t", "id", block_numbers=8, shares=3).collect()}
+def brute_deliveries(rows):
     by = defaultdict(list)
     for a, p, o, t, i in rows:
         if None not in (a, p, o):
             by[a, p, o].append((t is None, t or 0, i))
-    want = {x[2]: x == min(some) for some in by.values() for x in some}
-    assert got == want
+    return {x[2]: x == min(some) for some in by.values() for x in some}
 
 
-def test_deliveries_over_batches(spark):
-    first = spark.createDataFrame([("p", 0, n, n, n) for n in (1, 2, 3, 9, 10)], "topic string, partition int, o long, t long, id long")
-    kept = deliveries(first, ["topic", "partition"], "o", "t", "id", block_numbers=8, shares=2)
-    ranges = seen_ranges(kept, ["topic", "partition"], block_numbers=8)
-    assert sorted((x.low, x.high) for x in ranges.collect()) == [(1, 4), (9, 11)]
-    again = spark.createDataFrame([("p", 0, n, 0, 100 + n) for n in (3, 4, 10, 11)] + [("q", 0, 3, 0, 200)], "topic string, partition int, o long, t long, id long")
-    got = {x.id: x.kept for x in deliveries(again, ["topic", "partition"], "o", "t", "id", seen=ranges, block_numbers=8, shares=2).collect()}
-    assert got == {103: False, 104: True, 110: False, 111: True, 200: True}
+@pytest.mark.parametrize("hot", [2, 40, 10_000])
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_deliveries(spark, hot, kind):
+    r = random.Random(5)
+    odd = [None, -1, -2, 7, 7, 7, 2**31 - 1] if kind == "int" else [None, -1, 2**63 - 1, 2**62, 7, 7, 7]
+    odd += [] if kind != "string" else ["", "x7", "007", "7 ", "+7", "1.0", "9" * 40]
+    rows = [(r.choice(["p", "P", None]), r.choice([0, 1, None]), r.choice([*odd, *range(60)]), r.choice([None, 1, 2, 3]), i) for i in range(900)]
+    if kind == "string":
+        rows = [(a, p, None if o is None else str(o), t, i) for a, p, o, t, i in rows]
+    df = spark.createDataFrame(rows, f"topic string, partition int, o {kind}, t int, id long").withColumn("block", F.lit("x")).withColumn("share", F.lit("y")).withColumn("salts", F.lit(3))
+    out = deliveries(df, ["topic", "partition"], "o", "t", "id", block_numbers=8, hot_rows=hot)
+    got = out.collect()
+    assert {x.id: x.kept for x in got} == brute_deliveries(rows) and {x.id: x.number for x in got} == {x[4]: x[2] for x in rows if x[4] in {y.id for y in got}}
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_deliveries_over_batches(spark, hot):
+    schema = "topic string, partition int, o string, t long, id long"
+    first = spark.createDataFrame([("p", 0, str(n), k, k) for k, n in enumerate([1, 2, 3, 9, 10, "a", "a", "01"])], schema)
+    kept = deliveries(first, ["topic", "partition"], "o", "t", "id", block_numbers=8, hot_rows=hot)
+    ranges, odd = seen_ranges(kept, ["topic", "partition"], block_numbers=8), seen_identifiers(kept, ["topic", "partition"])
+    assert sorted((x.low, x.high) for x in ranges.collect()) == [(1, 4), (9, 11)] and sorted(x.number for x in odd.collect()) == ["01", "a"]
+    again = spark.createDataFrame([("p", 0, str(n), 0, 100 + k) for k, n in enumerate([3, 4, 10, 11, "a", "b", "1", "01"])] + [("q", 0, "3", 0, 200)], schema)
+    got = {x.id: x.kept for x in deliveries(again, ["topic", "partition"], "o", "t", "id", seen=ranges, seen_odd=odd, block_numbers=8, hot_rows=hot).collect()}
+    assert got == {100: False, 101: True, 102: False, 103: True, 104: False, 105: True, 106: False, 107: False, 200: True}
 
 
 def test_deliveries_of_nothing(spark):
@@ -134,58 +147,61 @@ DOCS = {
 }
 
 
-def shredded(spark, **options):
+def shredding(spark):
     types = spark.createDataFrame([(1, TYPE), (2, None), (3, "broken")], "id int, type_definition string")
     rows = spark.createDataFrame([(i, 1, d, "clash") for i, d in DOCS.items()] + [(20, 2, DOCS[1], "c"), (21, None, DOCS[1], "c")], "id long, entity_type_id int, data string, node string")
-    return nodes(rows, types, **options)
+    return rows, types
 
 
 def test_shred(spark):
     want = {(1, "visits[0]"), (1, "visits[0].labs[0]"), (1, "visits[0].labs[2]"), (1, "visits[2]"), (2, "visits[0]"), (2, "visits[0].labs[0]"), (2, "site.rooms[0]"), (3, "visits[0]"), (3, "visits[0].labs[0]")}
-    for only in (True, False):
-        assert {(x.id, x.path) for x in elements(shredded(spark, elements_only=only)).collect()} == want
+    rows, types = shredding(spark)
+    table = nodes(rows, types)
+    assert {(x.id, x.path) for x in elements(table).collect()} == want
+    assert {(x.id, x.path) for x in shredded(rows, types).collect()} == want
+    scalars = {(x.id, x.owner, x.field): x.scalar for x in table.where("kind = 'scalar'").collect()}
+    assert scalars[4, 0, "other.deep[1].x"] == "y" and scalars[1, 0, "no"] == "a"
+    assert shredded(rows.limit(0), types).count() == 0 and shredded(rows, types.where("id > 1")).count() == 0
 
 
 def test_flat_tables_link_up(spark):
-    table = shredded(spark)
-    labs = {(x.id, x.path): x for x in flat_table(table, "visits.labs", ["v"]).collect()}
-    visits = {(x.id, x.node): x for x in flat_table(table, "visits", ["at"]).collect()}
+    rows, types = shredding(spark)
+    tables = shredded(rows, types)
+    labs = {(x.id, x.path): x for x in flat_table(tables, types, "visits.labs").collect()}
+    visits = {(x.id, x.node): x for x in flat_table(tables, types, "visits").collect()}
     assert labs[1, "visits[0].labs[2]"].v == "2" and labs[1, "visits[0].labs[2]"].ordinal == 2 and labs[2, "visits[0].labs[0]"].v == "true"
     assert all(visits[i, x.parent].path == path.rsplit(".", 1)[0] for (i, path), x in labs.items())
-    assert visits[1, labs[1, "visits[0].labs[0]"].parent].at == "x"
-    scalars = {(x.id, x.path): x.scalar for x in table.where("kind = 'scalar'").collect()}
-    assert scalars[4, "other.deep[1].x"] == "y" and scalars[1, "visits[2].at"] is None and scalars[1, "no"] == "a"
+    assert visits[1, labs[1, "visits[0].labs[0]"].parent].at == "x" and {x.at for (i, _), x in visits.items() if i == 1} == {"x", None}
 
 
-def defined_fields(attributes, group="", repeatable=False):
-    """(group, field, whether it is repeatable) of every attribute within a repeatable group."""
-    for a in attributes:
-        if "attributes" not in a:
-            if repeatable:
-                yield group, a["name"], bool(a.get("repeatable"))
-        elif a.get("layout") == "group":
-            yield from defined_fields(a["attributes"], f"{group}.{a['name']}".lstrip("."), repeatable or bool(a.get("repeatable")))
-        else:
-            yield from defined_fields(a["attributes"], group, repeatable)
+def test_fields_with_names_of_columns_and_of_plain_groups(spark):
+    kind = '{"attributes": [{"layout": "group", "name": "g", "repeatable": true, "attributes": [{"name": "node"}, {"name": "ID2"}, {"layout": "group", "name": "p", "attributes": [{"name": "x"}, {"layout": "group", "name": "h", "repeatable": true, "attributes": [{"name": "Node"}]}]}]}]}'
+    rows = spark.createDataFrame([(1, 1, '{"g": {"node": "n", "ID2": 3, "p": {"x": "deep", "h": [{"Node": "m"}]}}}')], "id long, entity_type_id int, data string")
+    types = spark.createDataFrame([(1, kind)], "id int, type_definition string")
+    tables = shredded(rows, types)
+    assert columns_of(types, "g") == (["ID2", "node", "p.x"], []) and columns_of(types, "g.p.h") == (["Node"], [])
+    assert [tuple(x)[5:] for x in flat_table(tables, types, "g").collect()] == [("3", "n", "deep")]
+    assert [tuple(x)[4:] for x in flat_table(tables, types, "g.p.h").collect()] == [("g[0].p.h[0]", "m")]
 
 
-def test_flat_tables_have_every_defined_field(spark, data):
-    texts = [r[0] for r in spark.read.parquet(f"{data}/entity_type.parquet").select("type_definition").collect()]
-    want = {f for t in texts for f in defined_fields((parse(t) or {}).get("attributes", []))}
-    assert want == {(g, f, False) for g, some in problems.GROUPS.items() for f in some} | {(g, f, True) for g, some in problems.REPEATED.items() for f in some}
+def test_sql_names_every_defined_field(spark, data):
+    types = spark.read.parquet(f"{data}/entity_type.parquet")
+    groups = {g for texts in types.select("type_definition").collect() for g, _, _ in fields_of((parse(texts[0]) or {}).get("attributes", []))}
+    assert groups == set(problems.GROUPS) == set(problems.FIELDS)
+    assert all(sum(map(list, columns_of(types, g)), []) == problems.FIELDS[g] for g in groups)
 
 
 def test_repeatable_attributes_become_arrays(spark):
     kind = '{"attributes": [{"layout": "group", "name": "labs", "repeatable": true, "attributes": [{"name": "v"}, {"name": "flags", "repeatable": true}]}]}'
     labs = ['{"v": 1, "flags": ["b", "a", null, "b"]}', '{"flags": []}', '{"v": 3}', '{"v": 4, "flags": "x"}', '{"flags": null}', '{"v": 6, "other": ["z"], "flags": [' + ",".join(f'"{k}"' for k in range(12)) + "]}"]
     rows = spark.createDataFrame([(1, 1, '{"flags": ["top"], "labs": [' + ",".join(labs) + "]}")], "id long, entity_type_id int, data string")
-    table = nodes(rows, spark.createDataFrame([(1, kind)], "id int, type_definition string"))
-    got = {x.ordinal: (x.v, x.flags) for x in flat_table(table, "labs", ["v"], ["flags"]).collect()}
+    types = spark.createDataFrame([(1, kind)], "id int, type_definition string")
+    got = {x.ordinal: (x.v, x.flags) for x in flat_table(shredded(rows, types), types, "labs").collect()}
     assert got == {0: ("1", ["b", "a", None, "b"]), 1: (None, []), 2: ("3", None), 3: ("4", ["x"]), 4: (None, None), 5: ("6", [str(k) for k in range(12)])}
 
 
 def test_lab_flags_of_the_whole_table(spark, data):
-    got = {(x.id, x.path): x.flags for x in problems.queries()["p6_encounters_labs"](spark, data).collect()}
+    got = {(x.id, x.path): json.loads(x.flags) if x.flags else None for x in problems.queries()["p6_encounters_labs"](spark, data).collect()}
     groups = definitions([tuple(r) for r in spark.read.parquet(f"{data}/entity_type.parquet").select("id", "type_definition").collect()])
     documents = [(r.id, d) for r in spark.read.parquet(f"{data}/entity_instance.parquet").where("entity_type_id = 201").collect() if (d := parse(r.data)) is not None]
     paths = {(i, p) for i, d in documents for p in brute_elements(d, groups[201]) if ".labs[" in p and p.startswith("encounters[")}
