@@ -1,13 +1,14 @@
 """The facade: a working day on a small copy of the tables."""
 
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.engine import Engine
+from veilframe.engine import Engine, Linkage
 from veilframe.functions.jsonpath import descend
-from veilframe.operators import classify, entities, linkage as L
+from veilframe.operators import classify, creation, entities, linkage as L
 
 
 @pytest.fixture()
@@ -16,7 +17,7 @@ def engine(spark, data):
 
 
 def test_pseudonyms(spark, engine, tmp_path):
-    d = engine.domains.where("algorithm = 'MD5'").orderBy("id").first()
+    d = engine.domains.where("algorithm = 'MD5' and not multiplepsnallowed").orderBy("id").first()
     asks = spark.createDataFrame([(1, "new-1", "T", d.id), (2, "new-2", "T", d.id), (3, "new-1", "T", d.id)], "request long, identifier string, idtype string, domainid int")
     before = engine.pseudonyms.count()
     got = {r.request: r for r in engine.create_pseudonyms(asks).collect()}
@@ -34,6 +35,49 @@ def test_pseudonyms(spark, engine, tmp_path):
     assert engine.search_pseudonyms("*", d.id)[0].count() <= 30
 
 
+def test_every_kind_of_domain_makes_pseudonyms(spark, engine):
+    kinds = {a: engine.domains.where((F.col("algorithm") == a) & (F.col("validto") > F.lit("2024-06-01").cast("timestamp_ntz"))).orderBy("id").first() for a in ("RANDOM_LET", "CONSECUTIVE", "XXHASH", "SHA2")}
+    asks = spark.createDataFrame([(k, f"brand-new-{k}", "T", d.id) for k, d in enumerate(kinds.values())] + [(50, "x", "T", 10_000)], "request long, identifier string, idtype string, domainid int")
+    got = {r.request: r for r in engine.create_pseudonyms(asks).collect()}
+    assert all(got[k].status == classify.SUCCESS and got[k].pseudonym.startswith(d.prefix) for k, d in enumerate(kinds.values())) and got[50].status == creation.UNKNOWN_DOMAIN
+    d = kinds["CONSECUTIVE"]
+    assert engine.domains.where(f"id = {d.id}").first().consecutivevaluecounter == d.consecutivevaluecounter + 1
+    row = engine.pseudonyms.where("identifier = 'brand-new-3'").first()
+    changes = spark.createDataFrame([(row.id, "renamed")], "id long, new_identifier string")
+    (changed,) = engine.complete_update(changes).collect()
+    assert changed.id == row.id and changed.pseudonym != row.pseudonym and changed.pseudonym.startswith(kinds["SHA2"].prefix)
+
+
+def test_domain_updates_reach_pseudonyms(spark, engine):
+    d = engine.domains.where("superdomainid is null").orderBy("id").first()
+    engine.tables["grant"] = spark.createDataFrame([("u", "DOMAIN", d.id, "domain:read"), ("u", "PROJECT", d.id, "project:read")], "subject_id string, resource_type string, resource_id int, action string")
+    inherited = engine.pseudonyms.where(f"domainid = {d.id} and validtoinherited")
+    n = inherited.count()
+    engine.update_domain(d.id, validto=datetime.datetime(2047, 1, 1))
+    assert engine.pseudonyms.where(f"domainid = {d.id} and validtoinherited and validto = timestamp_ntz'2047-01-01'").count() == n > 0
+    engine.delete_domain(d.name)
+    assert [r.resource_type for r in engine.tables["grant"].collect()] == ["PROJECT"]
+
+
+def test_creating_an_entity_is_one_operation(spark, engine):
+    """Validated, linked, stored, named and indexed; the index knows the new one at once."""
+    fields = lambda rows: rows.select("id", F.get_json_object("data", "$.specimenNo").alias("no"))
+    rules = [L.Rule("no", tag="t", blocking=("exact",), weight=5.0)]
+    config = L.Config(min_score=1.0, min_normalized=0.5, auto_link=True, on_match="returnExisting")
+    index = L.tokens(fields(engine.instances.where("entity_type_id = 205").limit(20)), rules, {"no": "no"}, config)
+    link = Linkage(rules, {"no": "no"}, fields, index, config)
+    home = engine.domains.where("algorithm = 'MD5'").orderBy("id").first()
+    engine.tables["entity_type"] = engine.types.withColumn("associated_domain_id", F.when(F.col("id") == 205, F.lit(home.id)).otherwise(F.col("associated_domain_id")))
+    document = lambda no, kind: json.dumps({"specimenNo": no, "kind": kind, "collected": "2020-01-01T00:00:00Z"})
+    schema = "request long, project_id int, entity_type_id int, data string"
+    got = {r.request: r for r in engine.create_instances(spark.createDataFrame([(1, 12, 205, document("SPX-1", "DNA")), (2, 12, 205, "{}")], schema), link).collect()}
+    assert got[1].status == "created" and got[1].pseudonym.startswith(home.prefix) and got[2].status == "rejected" and got[2].id is None
+    row = engine.instances.where(F.col("id") == got[1].id).first()
+    assert engine.pseudonyms.where(F.col("identifier") == row.instance_uid).first().pseudonym == got[1].pseudonym
+    again = {r.request: r for r in engine.create_instances(spark.createDataFrame([(7, 12, 205, document("spx-1 ", "RNA"))], schema), link).collect()}
+    assert again[7].status == "returned" and again[7].id == got[1].id and again[7].pseudonym is None
+
+
 def test_domains(spark, engine):
     d = engine.domains
     parent = d.where("superdomainid is null").orderBy("id").first()

@@ -14,30 +14,50 @@ from veilframe.functions.blake3 import blake3_hex
 from veilframe.functions.jsondoc import canonical, digest, known, parse, plain
 from veilframe.functions.phonetics import cologne, double_metaphone
 
-SALT = "azMPTIQXJsept_4nDj5B1BXN83Bj_8VJ"
-GOLDEN = {
-    "MD5": (32, "DEBB85F4AD634BB9413517C0DA534226", "0"),
-    "SHA1": (40, "E6FBD6DF6B38BB66CE8094C58650B980AD4E27E0", "B"),
-    "SHA2": (32, "60AE5826BF865F5AB27682F3C0F42092", "E"),
-    "SHA3": (32, "D2D97CD5762EB0E9137D881CDCBC4591", "B"),
-    "XXHASH": (16, "22207e88568f1be1", "B"),
-}
+SALT = "pinch-of-salt-for-tests-0123456789"
+LENGTHS = {"MD5": 32, "SHA1": 40, "SHA2": 32, "SHA3": 32, "XXHASH": 16}
+LIBRARY = {"MD5": hashlib.md5, "SHA1": hashlib.sha1, "SHA2": hashlib.sha512, "SHA3": hashlib.sha3_512}
+
+
+def luhn_sum(text, signs, first):
+    total = 0
+    for k, sign in enumerate(reversed(text)):
+        if sign not in signs:
+            return None
+        v = (first if k % 2 == 0 else 3 - first) * signs.index(sign)
+        total += v // len(signs) + v % len(signs)
+    return total
 
 
 def one(spark, *columns):
     return tuple(spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first())
 
 
-@pytest.mark.parametrize("name", GOLDEN)
+@pytest.mark.parametrize("name", LENGTHS)
 def test_hashes(spark, name):
-    length, value, digit = GOLDEN[name]
-    text = F.lit("1234356" + "EINE-ID" + SALT)
-    raw = hashing.xxhash(text, SALT) if name == "XXHASH" else hashing.HASHES[name](text)
-    cut = luhn.corrected_length(raw, F.lit(length), F.lit("0"))
+    text = "90210" + "KIND" + SALT
+    value = LIBRARY[name](text.encode()).hexdigest().upper() if name in LIBRARY else xxhash.xxh64(text.encode(), seed=int.from_bytes(hashlib.sha256(SALT.encode()).digest()[:8], "big")).hexdigest()
+    value = value[: LENGTHS[name]]
+    digit = luhn.MOD16[-luhn_sum(value.upper(), luhn.MOD16, 2) % 16]
+    raw = hashing.xxhash(F.lit(text), SALT) if name == "XXHASH" else hashing.HASHES[name](F.lit(text))
+    cut = luhn.corrected_length(raw, F.lit(LENGTHS[name]), F.lit("0"))
     none, signs = F.lit(""), luhn.MOD16
     assert one(spark, cut, luhn.compute(cut, none, signs), luhn.valid(F.concat(cut, luhn.compute(cut, none, signs)), none, signs)) == (value, digit, True)
 
 
+@pytest.mark.parametrize("signs", [luhn.MOD10, luhn.MOD16, luhn.MOD26, luhn.MOD32, luhn.MOD36])
+@pytest.mark.parametrize("first", [1, 2])
+def test_digit_sums(spark, signs, first):
+    import random
+
+    r = random.Random(first)
+    texts = ["".join(r.choice(signs) for _ in range(k)) for k in (0, 1, 2, 3, 31, 32, 200)] + ["?", signs[0] + "ä", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("a", F.when(F.col("i") != 2, F.lit(signs)))
+    got = {x.i: (x.fixed, x.own) for x in df.select("i", luhn.digit_sum(F.col("t"), signs, first).alias("fixed"), luhn.digit_sum(F.col("t"), F.col("a"), first).alias("own")).collect()}
+    want = {i: None if t is None else luhn_sum(t, signs, first) for i, t in enumerate(texts)}
+    assert got == {i: (w, None if i == 2 else w) for i, w in want.items()}
+
+
 def test_hashes_of_null(spark):
     null = F.lit(None).cast("string")
     assert one(spark, *[h(null) for h in hashing.HASHES.values()], hashing.xxhash(null)) == (None,) * 6
@@ -71,8 +91,8 @@ def test_luhn(spark, text, signs, digit):
 
 
 def test_luhn_prefix_and_validation(spark):
-    p, s = F.lit("TS-"), luhn.MOD16
-    assert one(spark, luhn.valid(F.lit("XX-12"), p, s), luhn.valid(F.lit("TS-G"), p, s), luhn.compute(F.lit("TS-12"), p, s), luhn.compute(F.lit(" 12 "), F.lit(None).cast("string"), s)) == (False, None, one(spark, luhn.compute(F.lit("12"), F.lit(""), s))[0], one(spark, luhn.compute(F.lit("12"), F.lit(""), s))[0])
+    p, s = F.lit("CU-"), luhn.MOD16
+    assert one(spark, luhn.valid(F.lit("XX-12"), p, s), luhn.valid(F.lit("CU-G"), p, s), luhn.compute(F.lit("CU-12"), p, s), luhn.compute(F.lit(" 12 "), F.lit(None).cast("string"), s)) == (False, None, one(spark, luhn.compute(F.lit("12"), F.lit(""), s))[0], one(spark, luhn.compute(F.lit("12"), F.lit(""), s))[0])
 
 
 def test_alphabets_and_lengths():

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import audit, classify, entities, linkage as L, linked, lookup, permissions as M, present, pseudonymize as P, schema, search, tree
+from veilframe.operators import audit, classify, creation, entities, linkage as L, linked, lookup, permissions as M, present, pseudonymize as P, schema, search, tree
 from veilframe.functions import luhn
 from veilframe.queries import records
 
@@ -64,17 +64,131 @@ def test_numbering_is_dense_and_ordered(spark):
 
 
 @pytest.mark.parametrize("name", ["RANDOM_NUM", "RANDOM_HEX", "RANDOM_LET", "RANDOM_SYM", "RANDOM_SYM_BIOS", "RANDOM", "NOTHING_KNOWN"])
-@pytest.mark.parametrize("secret", [True, False])
-def test_random_pseudonyms(spark, name, secret):
+@pytest.mark.parametrize("seed", [None, 5])
+def test_random_pseudonyms(spark, name, seed):
     known = name != "NOTHING_KNOWN"
     scheme = P.Scheme(name, prefix="R-", length=12, check_digit=known)
     rows = spark.range(50).select(F.col("id").cast("string").alias("identifier"), F.lit("t").alias("idtype"))
-    made = P.pseudonymize(rows, scheme, secret=secret)
+    made = P.pseudonymize(rows, scheme, seed=seed)
     if known:
         made = made.withColumn("ok", luhn.valid(F.col("psn"), F.lit("R-"), luhn.check_alphabet(name, scheme.signs)))
         assert all(r.ok for r in made.collect())
     texts = [r.psn for r in made.collect()]
     assert len(set(texts)) == 50 and all(t.startswith("R-") and len(t) == (15 if known else 14) and set(t[2:]) <= set(scheme.signs) for t in texts)
+    assert (texts == [r.psn for r in made.collect()]) == (seed is not None)
+
+
+def every_algorithm(spark):
+    """A domain per algorithm, with and without check digit and several pseudonyms; one without, one unknown algorithm."""
+    rows, n = [], 0
+    for algorithm in ["MD5", " sha1", "SHA2", "SHA3", "BLAKE3", "XXHASH", "CONSECUTIVE", "RANDOM", "RANDOM_NUM", "RANDOM_HEX", "RANDOM_LET", "RANDOM_SYM", "RANDOM_SYM_BIOS", "WHO_KNOWS", " ", None]:
+        for digit, included, several in ((False, False, False), (True, False, True), (True, True, False)):
+            n += 1
+            signs = "ABCDEF" if algorithm == "RANDOM" else "0123456789"
+            rows.append((n, f"D{n}", f"P{n}-", algorithm, signs, several, 20, "0", digit, included, 100 if n % 2 else None, f"salt {n}" if n % 3 else None))
+    return spark.createDataFrame(rows, "id int, name string, prefix string, algorithm string, alphabet string, multiplepsnallowed boolean, pseudonymlength int, paddingcharacter string, addcheckdigit boolean, lengthincludescheckdigit boolean, consecutivevaluecounter long, salt string")
+
+
+def brute_pseudonym(d, identifier, idtype, rank):
+    """The text before the check digit (None: drawn), by the libraries."""
+    import hashlib
+
+    import xxhash as library
+    from veilframe.functions.blake3 import blake3_hex
+
+    name = d.algorithm.strip().upper()
+    text, count = identifier + idtype + (d.salt or ""), (d.consecutivevaluecounter or 0) + rank
+    if d.multiplepsnallowed:
+        text += str(count - 1)
+    if name == "CONSECUTIVE":
+        raw = str(count)
+    elif name == "BLAKE3":
+        raw = blake3_hex([text])[0].upper()
+    elif name == "XXHASH":
+        raw = library.xxh64(text.encode(), seed=int.from_bytes(hashlib.sha256(d.salt.encode()).digest()[:8], "big") if d.salt else 0).hexdigest()
+    elif name in ("MD5", "SHA1", "SHA2", "SHA3"):
+        raw = {"MD5": hashlib.md5, "SHA1": hashlib.sha1, "SHA2": hashlib.sha512, "SHA3": hashlib.sha3_512}[name](text.encode()).hexdigest().upper()
+    else:
+        return None
+    return d.prefix + raw.rjust(d.pseudonymlength, d.paddingcharacter)[: d.pseudonymlength]
+
+
+def test_pseudonyms_of_every_algorithm_by_domain(spark):
+    domains = every_algorithm(spark)
+    asked = [(k, d, f"i{k}", "T") for k, d in enumerate([d for d in range(1, 49) for _ in range(3)])] + [(900, 1, None, "T"), (901, 7, "x", None), (902, 99, "x", "T"), (903, None, "x", "T")]
+    rows = spark.createDataFrame(asked, "request long, domainid int, identifier string, idtype string").withColumn("_n", F.lit("clash")).drop("_n")
+    made = {r.request: r for r in P.by_domain(rows, domains, order="request").collect()}
+    assert set(made) == {a[0] for a in asked} and all(made[k].psn is None for k in (900, 901, 902, 903))
+    ranks = {}
+    for d in domains.collect():
+        known = d.algorithm is not None and d.algorithm.strip() != ""
+        name = d.algorithm.strip().upper() if known else ""
+        for request, domain, identifier, idtype in asked[:-4]:
+            if domain != d.id:
+                continue
+            got = made[request].psn
+            if not known:
+                assert got is None
+                continue
+            ranks[d.id] = ranks.get(d.id, 0) + 1
+            want = brute_pseudonym(d, identifier, idtype, ranks[d.id])
+            body = got[: len(d.prefix) + d.pseudonymlength - (d.lengthincludescheckdigit and name != "CONSECUTIVE")]
+            if want is not None:
+                assert body == want[: len(body)]
+            signs = P.Scheme(d.algorithm, alphabet=d.alphabet).signs if want is None else None
+            assert signs is None or set(body[len(d.prefix) :]) <= set(signs)
+            kind = name if name in [*P.HASHING, *P.DRAWING, "CONSECUTIVE"] else "RANDOM_LET"
+            if d.addcheckdigit:
+                alphabet = luhn.check_alphabet(kind, d.alphabet)
+                total = sum((lambda v: v // len(alphabet) + v % len(alphabet))((2 - k % 2) * alphabet.index(c)) for k, c in enumerate(reversed(body[len(d.prefix) :].upper())))
+                assert got == body + alphabet[-total % len(alphabet)]
+            else:
+                assert got == body
+    after = {r.id: r.consecutivevaluecounter for r in P.advanced(domains, P.by_domain(rows, domains, order="request").where("psn is not null")).collect()}
+    counting = lambda d: (d.algorithm or "").strip().upper() == "CONSECUTIVE" or (d.multiplepsnallowed and (d.algorithm or "").strip().upper() in P.HASHING)
+    assert after == {d.id: (d.consecutivevaluecounter or 0) + 3 if counting(d) else d.consecutivevaluecounter for d in domains.collect()}
+
+
+def test_creation_in_domains(spark):
+    """Unknown and ended domains, no pseudonym, supplied ones, several per identifier, and drawing again in a full space."""
+    kinds = [(1, "P-", "RANDOM", "AB", 2, False, None), (2, "C-", "CONSECUTIVE", "0123456789", 4, True, 7), (3, "E-", "MD5", "", 8, False, None), (4, "N-", None, "", 8, False, None)]
+    domains = spark.createDataFrame(kinds, "id int, prefix string, algorithm string, alphabet string, pseudonymlength int, multiplepsnallowed boolean, consecutivevaluecounter long").selectExpr("*", "concat('D', id) name", "timestamp_ntz'2020-01-01' validfrom", "if(id = 3, timestamp_ntz'2021-01-01', timestamp_ntz'2030-01-01') validto", "true enforcestartdatevalidity", "true enforceenddatevalidity", "false addcheckdigit", "'0' paddingcharacter", "cast(null as string) salt")
+    held = spark.createDataFrame([("a", "T", "P-AA", 1), ("c", "T", "C-0001", 2)], "identifier string, idtype string, pseudonym string, domainid int")
+    asked = [(k, f"i{k}", "T", 1, None) for k in range(8)] + [(20, "a", "T", 1, None), (21, "c", "T", 2, None), (22, "c", "T", 2, None), (23, "x", "T", 3, None), (24, "x", "T", 4, None), (25, "x", "T", 5, None), (26, "y", "T", 2, " mine "), (27, "z", "T", 2, "C-0001")]
+    requests = spark.createDataFrame(asked, "request long, identifier string, idtype string, domainid int, given string")
+    results, after = creation.create(requests, domains, held, F.expr("timestamp_ntz'2024-01-01'"), seed=3)
+    got = {r.request: r for r in results.collect()}
+    assert len(got) == len(asked) == results.count()
+    free = [got[k] for k in range(8) if got[k].status == classify.SUCCESS]
+    assert len({r.pseudonym for r in free}) == len(free) <= 3 and all(r.pseudonym in ("P-AB", "P-BA", "P-BB") for r in free) and free
+    assert {got[k].status for k in range(8)} <= {classify.SUCCESS, classify.SAME_PSEUDONYM}
+    assert got[20].status == classify.SAME_IDENTIFIER and got[23].status == creation.EXPIRED and got[24].status == creation.NO_PSEUDONYM and got[25].status == creation.UNKNOWN_DOMAIN
+    assert [(got[k].status, got[k].pseudonym) for k in (21, 22, 26, 27)] == [(classify.SUCCESS, "C-0008"), (classify.SUCCESS, "C-0009"), (classify.SUCCESS, "C-mine"), (classify.SAME_PSEUDONYM, "C-0001")]
+    assert {r.id: r.consecutivevaluecounter for r in after.collect()} == {1: None, 2: 9, 3: None, 4: None}
+    assert all(r.pseudonym is not None for r in got.values() if r.status in (classify.SUCCESS, classify.SAME_PSEUDONYM, classify.SAME_IDENTIFIER))
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_near_keeps_what_requests_meet(spark, few):
+    held = spark.createDataFrame([("a", "T", "1", 1), ("b", "T", "2", 1), ("a", "T", "3", 2), ("c", "U", "4", 1)], "identifier string, idtype string, pseudonym string, domainid int")
+    asked = spark.createDataFrame([("a", "T", "9", 1), ("x", "T", "4", 1)], held.schema)
+    got = {r.pseudonym for r in classify.near(held, asked, few).collect()}
+    assert got == ({"1", "4"} if few else {"1", "2", "3", "4"})
+
+
+def test_deep_trees_strange_names_and_cycles(spark):
+    chain = spark.createDataFrame([(k, f"d{k}" if k != 60 else "it's \\", k - 1 if k else None) for k in range(130)], "id int, name string, superdomainid int")
+    assert sorted(r.depth for r in tree.hierarchy(chain).collect()) == list(range(130))
+    below = tree.subtree(chain, " IT'S \\ ").collect()
+    assert len(below) == 70 and max(r.depth for r in below) == 69 and tree.subtree(chain, "' or 1=1 --").count() == 0
+    with pytest.raises(ValueError):
+        tree.roots(spark.createDataFrame([(1, "a", 2), (2, "b", 1), (3, "c", None)], chain.schema))
+
+
+def test_inherited_validity(spark):
+    domains = spark.sql("select 1 id, timestamp_ntz'2020-01-01' validfrom, timestamp_ntz'2030-01-01' validto")
+    rows = spark.sql("select * from values (1, timestamp_ntz'2000-01-01', true, timestamp_ntz'2001-01-01', false, 1), (2, timestamp_ntz'2000-01-01', null, timestamp_ntz'2001-01-01', true, 1), (3, timestamp_ntz'2000-01-01', true, timestamp_ntz'2001-01-01', true, 9) t(id, validfrom, validfrominherited, validto, validtoinherited, domainid)")
+    assert {r.id: (r.validfrom.year, r.validto.year) for r in tree.inherited_validity(rows, domains).collect()} == {1: (2020, 2001), 2: (2000, 2030), 3: (2000, 2001)}
 
 
 def test_hash_of_null_identifier_is_null(spark):

@@ -224,7 +224,9 @@ def by_domain(rows: DataFrame, domains: DataFrame, name: str = "psn", order: str
 
 def advanced(domains: DataFrame, made: DataFrame) -> DataFrame:
     """Domains after ``made`` (``domainid``, one row per pseudonym made): the counters of those that count went on by as
-    many. Rows are counted before they meet the domains."""
+    many. Rows are counted before they meet the domains; a table without counters stays as it is."""
+    if "consecutivevaluecounter" not in domains.columns:
+        return domains
     used = made.groupBy("domainid").agg(F.count(F.lit(1)).alias("_used")).join(settings(domains).where("_counts").select("domainid"), "domainid", "left_semi")
     joined = domains.join(used, domains["id"] == used["domainid"], "left").drop(used["domainid"])
     return joined.withColumn("consecutivevaluecounter", F.when(F.col("_used").isNotNull(), F.coalesce("consecutivevaluecounter", F.lit(0)) + F.col("_used")).otherwise(F.col("consecutivevaluecounter"))).select(*domains.columns)

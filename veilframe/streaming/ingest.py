@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from veilframe.functions.luhn import SALT_CHARACTERS
 from veilframe.functions.normalize import blank
@@ -121,7 +121,7 @@ def _stored(spark: SparkSession, path: str, schema, before: int) -> DataFrame |
 
 def current_domains(domains: DataFrame, state: str, before: int) -> DataFrame:
     """The domains as the stream left them: those given, replaced and joined by the latest version of each it wrote."""
-    written = _stored(domains.sparkSession, f"{state}/domains", domains.schema.add("batch", "long"), before)
+    written = _stored(domains.sparkSession, f"{state}/domains", T.StructType([*domains.schema.fields, T.StructField("batch", T.LongType())]), before)
     if written is None:
         return domains
     row = F.struct(*domains.columns).alias("r")
@@ -149,8 +149,9 @@ def run(messages: DataFrame, state: str, checkpoint: str, domains: Callable[[Spa
             results.where(F.col("status") == SUCCESS).select(*kept).write.mode("overwrite").partitionBy("domainid").parquet(f"{state}/pseudonyms/batch={number}")
             refused = results.where(~F.col("status").isin(SUCCESS, "duplicate identifier")).select(F.to_json(F.struct("identifier", "idtype", "domainid", "given")).alias("value"), F.col("status").alias("reject"))
             rejects.unionByName(refused).write.mode("overwrite").parquet(f"{state}/rejects/batch={number}")
-            same = known.select("id", F.col("consecutivevaluecounter").alias("_n"))
-            changed = after.join(same, "id", "left").where("_n is null or _n <> consecutivevaluecounter").drop("_n")
+            counter = F.col("consecutivevaluecounter") if "consecutivevaluecounter" in known.columns else F.lit(0)
+            same = known.select("id", F.coalesce(counter, F.lit(-1)).alias("_n"))
+            changed = after.join(same, "id", "left").where(F.col("_n").isNull() | (F.col("_n") != F.coalesce(counter, F.lit(-1)))).drop("_n")
             changed.write.mode("overwrite").parquet(f"{state}/domains/batch={number}")
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
