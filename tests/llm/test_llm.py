@@ -4,19 +4,21 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same_rows
 from veilframe.functions.jsondoc import canonical, definitions, known, parse, plain, scalars
-from veilframe.llm import queries as Q
+from veilframe.llm import consensus, queries as Q
+from veilframe.llm.consensus import Profile, distance
 from veilframe.llm.lookalike import LOOKALIKES, forms, lookalikes
 from veilframe.llm.matching import assign, closed, collapse, expand, links, match
 from veilframe.llm.packing import Containers, pack
 from veilframe.llm.persons import attributes, birth_date, phone_number, split_name
 from veilframe.llm.rewritings import rewritings
-from veilframe.llm.survivors import align, cells, survivors
+from veilframe.llm.survivors import cells, survivors
 from veilframe.llm.tokens import decode, encode, encoding, token_counts
 
 INSTANCE = "id long, project_id int, entity_type_id int, data string"
@@ -61,6 +63,12 @@ def test_rewritings(spark, hot):
     assert got == brute_rewritings(df.collect())
 
 
+def test_a_full_filter_changes_nothing(spark, data):
+    rows = instances(spark, data)
+    got = rewritings(rows, Q.SCOPE, filter_bits=64).where("id <> first_id").select("first_id", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, Q.p1_found(spark, data).collect()))
+
+
 def test_rewritings_of_nothing(spark):
     assert rewritings(spark.createDataFrame([], INSTANCE), ["project_id"]).count() == 0
 
@@ -94,37 +102,170 @@ def test_survivors_of_the_whole_table(spark, data):
     assert Q.p2_records(spark, data).count() == len({f for f, _, _ in want})
 
 
+def brute_path(skip, insert, sub):
+    """The least cost of every path."""
+    best = None
+    stack = [((), 0, 0, 0)]
+    while stack:
+        moves, i, j, cost = stack.pop()
+        if i == len(insert) and j == len(skip):
+            best = cost if best is None else min(best, cost)
+            continue
+        if j < len(skip):
+            stack.append(((*moves, 0), i, j + 1, cost + skip[j]))
+        if i < len(insert):
+            stack.append(((*moves, 2), i + 1, j, cost + insert[i]))
+            if j < len(skip):
+                stack.append(((*moves, 1), i + 1, j + 1, cost + sub(i)[j]))
+    return best
+
+
+def cost_of(moves, skip, insert, sub):
+    i = j = total = 0
+    for m in moves:
+        total += skip[j] if m == 0 else sub(i)[j] if m == 1 else insert[i]
+        i, j = i + (m != 0), j + (m != 2)
+    assert (i, j) == (len(insert), len(skip))
+    return total
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=5), st.lists(st.integers(0, 4), max_size=5), st.randoms())
+def test_paths_are_the_best_and_the_same_by_every_way(skip, insert, r):
+    pairs = [[r.randrange(6) for _ in skip] for _ in insert]
+    small = consensus.path(skip, insert, lambda i: pairs[i])
+    arrays = [np.array(p, np.int64) for p in pairs]
+    assert cost_of(small, skip, insert, lambda i: pairs[i]) == brute_path(skip, insert, lambda i: pairs[i])
+    few, cells = consensus.FEW, consensus.CELLS
+    try:
+        consensus.FEW = 0
+        whole = consensus.path(skip, insert, lambda i: arrays[i])
+        consensus.CELLS = 1
+        halved = consensus.path(skip, insert, lambda i: arrays[i])
+    finally:
+        consensus.FEW, consensus.CELLS = few, cells
+    assert small == whole == halved
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j - 1] + (x != y), old[j] + 1, row[j - 1] + 1))
+    return row[-1]
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=7), st.lists(st.sampled_from("abcd"), max_size=7))
-def test_alignment(center, other):
-    columns = align(center, other)
-    assert [t for _, _, t in columns if t] == other
-    assert sorted(i for i, k, _ in columns if k == 0) == list(range(len(center)))
-    assert align(center, center) == [(i, 0, t) for i, t in enumerate(center)]
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
+def test_two_values_align_at_their_edit_distance(a, b):
+    profile = Profile.of(a, (1, (1, 1)))
+    profile.merge(Profile.of(b, (1, (2, 2))))
+    columns = profile.columns
+    assert all(sum(v for v, _ in c.values()) == 2 for c in columns)
+    assert sum(len(c) > 1 for c in columns) == brute_distance(a, b) == distance(a, b)
+    assert profile.consensus(True) == b
 
 
-def test_long_alignment():
-    a, b = [str(i % 97) for i in range(900)], [str(i % 89) for i in range(800)]
-    columns = align(a, b)
-    assert [t for _, _, t in columns if t] == b and sorted(i for i, k, _ in columns if not k) == list(range(900))
+def test_long_values_align_as_well_as_short_ones():
+    r = random.Random(4)
+    for _ in range(12):
+        a, b = ([r.choice("abcd") for _ in range(n)] for n in (70, r.randrange(60, 300)))
+        profile = Profile.of(a, (1, (1, 1)))
+        profile.merge(Profile.of(b, (1, (2, 2))))
+        assert sum(len(c) > 1 for c in profile.columns) == brute_distance(a, b) == distance(a, b)
+
+
+def test_tokens_inserted_by_several_values_meet():
+    profile = Profile()
+    for k, text in enumerate(["a b", "a x y b", "a y b", "a x b"]):
+        profile.merge(Profile.of(text.split(), (1, (k, k))))
+    assert [c.get("x", (0,))[0] for c in profile.columns] == [0, 2, 0, 0] and [c.get("y", (0,))[0] for c in profile.columns] == [0, 0, 2, 0]
 
 
 CELLS = "first_id long, field string, value string, updated long, id long"
 
 
-@pytest.mark.parametrize("hot", [1, 10_000])
-def test_majority_takes_the_value_closest_to_the_consensus(spark, hot):
+@pytest.mark.parametrize(("hot", "leaf"), [(1, 256), (10_000, 256), (1, 2), (10_000, 3)])
+def test_majority_takes_the_value_closest_to_the_consensus(spark, hot, leaf):
     rows = [(1, "street", v, u, i) for i, (v, u) in enumerate([("Am Alten Markt 5", 9), ("Am Alten Markt 6", 1), ("Am Alten Platz 5", 2), ("Am Markt 5", 3), ("Am Alten Markt 5", None)])]
     rows += [(2, "x", "only", None, 7), (3, "y", "a", 5, 8), (3, "y", "b", 5, 9), (4, "z", "a b", 1, 1), (4, "z", "a b c", 1, 2), (4, "z", "a b d", 1, 3)]
-    df = spark.createDataFrame(rows, CELLS)
-    got = {(r.first_id, r.field): (r.value, r.value_id) for r in survivors(df, "majority", hot).collect()}
+    df = spark.createDataFrame(rows, CELLS).withColumn("leaf", F.lit("clash"))
+    got = {(r.first_id, r.field): (r.value, r.value_id) for r in survivors(df, "majority", hot, leaf).collect()}
     assert got == {(1, "street"): ("Am Alten Markt 5", 0), (2, "x"): ("only", 7), (3, "y"): ("b", 9), (4, "z"): ("a b d", 3)}
-    latest = {(r.first_id, r.field): r.value_id for r in survivors(df, "recency", hot).collect()}
+    latest = {(r.first_id, r.field): r.value_id for r in survivors(df, "recency", hot, leaf).collect()}
     assert latest == {(1, "street"): 0, (2, "x"): 7, (3, "y"): 9, (4, "z"): 3}
     with pytest.raises(KeyError):
         survivors(df, "else")
 
 
+@pytest.mark.parametrize("leaf", [4, 1000])
+def test_one_cell_with_very_many_values(spark, leaf):
+    r = random.Random(6)
+    rows = [(1, "f", " ".join(t for t in "the quick brown fox jumps".split() if r.random() < 0.9) + f" {i % 150}", i % 40, i) for i in range(400)]
+    got = survivors(spark.createDataFrame(rows, CELLS), "majority", 10, leaf).first()
+    assert got.value.startswith("the quick brown fox jumps ")
+    assert survivors(spark.createDataFrame(rows, CELLS), "recency", 10, leaf).first().value_id == 399
+
+
+def brute_consensus(found):
+    """Value after value by the profile's own definition, costs of every column by counting pairs; small cells only."""
+    by = defaultdict(lambda: defaultdict(list))
+    for x in found:
+        by[x.first_id, x.field][x.value].append((-(2**63) if x.updated is None else x.updated, x.id))
+    out = {}
+    for cell, values in by.items():
+        ranked = sorted(values, key=lambda v: (-len(values[v]), *(-k for k in max(values[v]))))
+        rows = []  # one aligned row (tokens and gaps) per table row
+        for v in ranked:
+            tokens, n = v.split(), len(values[v])
+            width = len(rows[0][0]) if rows else 0
+            paired = lambda t, j: sum(row[j] != t for row, _ in rows)  # noqa: B023, E731
+            inf = {}
+
+            def cost(i, j):
+                if (i, j) not in inf:
+                    ways = [0] if i == j == 0 else []
+                    if j:
+                        ways.append(cost(i, j - 1) + n * paired("", j - 1))
+                    if i and j:
+                        ways.append(cost(i - 1, j - 1) + n * paired(tokens[i - 1], j - 1))
+                    if i:
+                        ways.append(cost(i - 1, j) + n * len(rows))
+                    inf[i, j] = min(ways)
+                return inf[i, j]
+
+            i, j, new = len(tokens), width, []
+            while i or j:
+                if j and cost(i, j) == cost(i, j - 1) + n * paired("", j - 1):
+                    new.append((j - 1, ""))
+                    j -= 1
+                elif i and j and cost(i, j) == cost(i - 1, j - 1) + n * paired(tokens[i - 1], j - 1):
+                    new.append((j - 1, tokens[i - 1]))
+                    i, j = i - 1, j - 1
+                else:
+                    new.append((None, tokens[i - 1]))
+                    i -= 1
+            new.reverse()
+            rows = [([row[j] if j is not None else "" for j, _ in new], rank) for row, rank in rows] + [([t for _, t in new], rank) for rank in values[v]]
+        winners = []
+        for j in range(len(rows[0][0])):
+            votes = defaultdict(list)
+            for row, rank in rows:
+                votes[row[j]].append(rank)
+            winners.append(max(votes, key=lambda t: (len(votes[t]), max(votes[t]), t)))
+        text = [t for t in winners if t]
+        best = max(values, key=lambda v: (-brute_distance(v.split(), text), max(values[v])))
+        out[cell] = (best, max(values[best])[1])
+    return out
+
+
+def test_majority_of_the_whole_table(spark, data):
+    found = cells(instances(spark, data), spark.read.parquet(f"{data}/entity_type.parquet"), Q.RECORD_NUMBERS)
+    want = brute_consensus(found.collect())
+    assert {(x.first_id, x.field): (x.value, x.value_id) for x in Q.p2_consensus(spark, data).collect()} == want and want
+
+
 def test_cells_of_nothing(spark, data):
     none = instances(spark, data).limit(0)
     assert survivors(cells(none, spark.read.parquet(f"{data}/entity_type.parquet"), Q.RECORD_NUMBERS)).count() == 0

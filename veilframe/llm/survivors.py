@@ -2,62 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilframe.functions.jsondoc import clean, definitions, digest, known, parse, plain, scalars, text_of
-from veilframe.plans.durable import durable
+from veilframe.llm.consensus import Profile, distance
+from veilframe.plans.durable import durable, release
 from veilframe.plans.skew import HOT_ROWS, lookup
 
 CELL = ["first_id", "field"]
-
-
-def align(center: list[str], other: list[str]) -> list[tuple[int, int, str]]:
-    """The columns (i, k, token) that ``other`` takes when it is aligned with ``center``.
-
-    (i, 0) is the column of the center's token i, with "" for a gap; (i, k) is the k-th token inserted before it.
-    Common ends are cut off first; short rests are aligned by edit distance, long ones by longest matching blocks.
-    """
-    head = 0
-    while head < len(center) and head < len(other) and center[head] == other[head]:
-        head += 1
-    tail = 0
-    while tail < len(center) - head and tail < len(other) - head and center[-1 - tail] == other[-1 - tail]:
-        tail += 1
-    a, b = center[head : len(center) - tail], other[head : len(other) - tail]
-    columns = [(i, 0, center[i]) for i in range(head)]
-    if len(a) * len(b) <= 4096:
-        cost = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a), -1, -1):
-            for j in range(len(b), -1, -1):
-                if i == len(a):
-                    cost[i][j] = len(b) - j
-                elif j == len(b):
-                    cost[i][j] = len(a) - i
-                else:
-                    cost[i][j] = cost[i + 1][j + 1] if a[i] == b[j] else 1 + min(cost[i + 1][j + 1], cost[i + 1][j], cost[i][j + 1])
-        i = j = k = 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and cost[i][j] == cost[i + 1][j + 1] + (a[i] != b[j]):
-                columns.append((head + i, 0, b[j]))
-                i, j, k = i + 1, j + 1, 0
-            elif i < len(a) and cost[i][j] == 1 + cost[i + 1][j]:
-                columns.append((head + i, 0, ""))
-                i, k = i + 1, 0
-            else:
-                k += 1
-                columns.append((head + i, k, b[j]))
-                j += 1
-    else:
-        for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            paired = min(i2 - i1, j2 - j1) if tag in ("equal", "replace") else 0
-            columns += [(head + i1 + x, 0, b[j1 + x]) for x in range(paired)]
-            columns += [(head + x, 0, "") for x in range(i1 + paired, i2)]
-            columns += [(head + i2, 1 + x, t) for x, t in enumerate(b[j1 + paired : j2])]
-    return columns + [(i, 0, center[i]) for i in range(len(center) - tail, len(center))]
+#: Different values of one cell that are aligned one after the other, and profiles that are merged at once.
+LEAF_VALUES = 256
 
 
 def _read(groups: dict, keys: dict[int, str]):
@@ -94,51 +52,137 @@ def cells(instances: DataFrame, types: DataFrame, numbers: Mapping[int, str], ho
     return found.select("first_id", "updated", "id", F.explode(F.arrays_zip("fields", "values")).alias("c")).select("first_id", F.col("c.fields").alias("field"), F.col("c.values").alias("value"), "updated", "id")
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["first_id", "field", "at", "inserted", "token", "weight", "updated", "id"]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+_KEYS = ["first_id", "field", "leaf"]
+_PROFILE = "first_id bigint, field string, leaf bigint, profile binary"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one group after the other, from batches sorted by ``_KEYS``."""
+    held: list[dict] = []
     for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[k] != held[0][k] for k in _KEYS):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _aligned(variants: list[dict]) -> Profile:
+    """The profile of a group's values, most frequent first, then the latest."""
+    profile = Profile()
+    for v in sorted(variants, key=lambda v: (-v["rows"], -v["updated"], -v["id"])):
+        profile.merge(Profile.of(v["value"].split(), (v["rows"], (v["updated"], v["id"]))))
+    return profile
+
+
+def _nearest(variants: list[dict], text: list[str]) -> dict:
+    return max(variants, key=lambda v: (-distance(v["value"].split(), text), v["updated"], v["id"]))
+
+
+def _chosen(recency: bool):
+    """Groups of variants to the one that survives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for first, field, value, center, weight, updated, i in zip(*(c.to_pylist() for c in batch.columns)):
-            out += [(first, field, at, k, token, weight, updated, i) for at, k, token in align(center.split(), value.split())]
-        columns = list(zip(*out)) if out else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        for variants in _grouped(batches):
+            best = _nearest(variants, _aligned(variants).consensus(recency))
+            out.append((best["first_id"], best["field"], best["value"], best["id"]))
+            if len(out) >= 5_000:
+                yield _survived(out)
+                out = []
+        yield _survived(out)
 
+    return run
 
-def survivors(found: DataFrame, weighting: str = "recency", hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def _survived(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out)) if out else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["first_id", "field", "value", "value_id"])
+
+
+def _profiles(leaves: bool):
+    """Groups of variants (``leaves``) or of profiles to the profile of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _grouped(batches):
+            if leaves:
+                profile = _aligned(some)
+            else:
+                profile = Profile()
+                for row in sorted(some, key=lambda r: r["child"]):
+                    profile.merge(pickle.loads(row["profile"]))
+            yield pa.RecordBatch.from_arrays([pa.array([some[0]["first_id"]], pa.int64()), pa.array([some[0]["field"]], pa.string()), pa.array([some[0]["leaf"]], pa.int64()), pa.array([pickle.dumps(profile)], pa.binary())], names=[*_KEYS, "profile"])
+
+    return run
+
+
+def _voted(recency: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [" ".join(pickle.loads(p).consensus(recency)) for p in batch.column("profile").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("first_id"), batch.column("field"), pa.array(texts, pa.string())], names=[*CELL, "text"])
+
+    return run
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, texts = batch.column("value").to_pylist(), batch.column("text").to_pylist()
+        far = [distance(v.split(), (t or "").split()) for v, t in zip(values, texts)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*CELL, "value", "updated", "id")), pa.array(far, pa.int64())], names=[*CELL, "value", "updated", "id", "far"])
+
+
+def _of_large_cells(variants: DataFrame, leaf_values: int, recency: bool, hot_rows: int) -> DataFrame:
+    """Survivors of cells with more values than a task aligns one after the other: leaves of about ``leaf_values`` values
+    are aligned apart, their profiles are aligned with each other level by level, and the values are compared with the
+    consensus wherever they are. The tree follows from the values, not from the cluster."""
+    leaves = F.ceil(F.col("n") / F.lit(leaf_values)).cast("long")
+    placed = durable(variants.withColumn("leaf", F.pmod(F.xxhash64("value"), leaves)))
+    ordered = lambda df: df.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    profiles = durable(ordered(placed.select("first_id", "field", "leaf", "value", "rows", "updated", "id")).mapInArrow(_profiles(True), _PROFILE))
+    while not profiles.where("leaf > 0").isEmpty():
+        above = profiles.select("first_id", "field", F.col("leaf").alias("child"), F.floor(F.col("leaf") / leaf_values).cast("long").alias("leaf"), "profile")
+        before, profiles = profiles, durable(ordered(above.select(*_KEYS, "child", "profile")).mapInArrow(_profiles(False), _PROFILE))
+        release(before)
+    texts = profiles.mapInArrow(_voted(recency), "first_id bigint, field string, text string")
+    counted = placed.groupBy(*CELL).agg(F.first("n").alias("n")).join(texts, CELL)
+    met = lookup(placed.drop("n", "leaf"), counted, CELL, hot_rows=hot_rows).select(*CELL, "value", "text", "updated", "id")
+    measured = met.mapInArrow(_measured, "first_id bigint, field string, value string, updated bigint, id bigint, far bigint")
+    best = measured.groupBy(*CELL).agg(F.max(F.struct((-F.col("far")).alias("d"), "updated", "id", "value")).alias("b"))
+    return best.select(*CELL, F.col("b.value").alias("value"), F.col("b.id").alias("value_id"))
+
+
+def survivors(found: DataFrame, weighting: str = "recency", hot_rows: int = HOT_ROWS, leaf_values: int = LEAF_VALUES) -> DataFrame:
     """For each cell the value that survives: ``first_id``, ``field``, ``value``, ``value_id``.
 
-    The different values of a cell (counted before the shuffle) are split at white space and aligned, one after the
-    other, with a center; in each column the tokens, or the gap, are voted on, and the existing value closest to the
-    winning tokens survives. ``value_id`` is the latest row that has it; ties go to the later row (updated, then id).
+    The different values of a cell (counted before the shuffle) are split at white space and aligned progressively:
+    value after value, the most frequent first, joins a growing profile at the least sum of differing pairs, however
+    long it is. In each column the tokens, or the gap, are voted on, and the existing value with the fewest tokens to
+    change from the winning ones survives. ``value_id`` is the latest row that has it; ties go to the later row
+    (updated, null first, then id). Cells with one value skip the vote.
+
+    ``weighting``: ``majority`` counts each row once. ``recency`` gives each row more weight than all rows before it
+    together; sums of such weights compare as their latest row does, so that row is what a vote carries.
 
-    ``weighting``: ``majority`` counts each row once, the center is the most frequent value. ``recency`` gives each
-    row more weight than all rows before it together; a comparison of such weights is one of the latest rows, so only
-    these are kept, and the latest value outvotes the rest. Cells with one value skip the vote. Values of a hot cell
-    are salted in both joins and aggregated partially in every vote.
+    A cell of at most ``leaf_values`` different values is worked out in one pass by one task; a larger one along a
+    tree of such groups (see ``_of_large_cells``), so no task holds more.
     """
     recency = {"recency": True, "majority": False}[weighting]
     rank = F.struct(F.coalesce("updated", F.lit(-(2**63))).alias("updated"), F.col("id").alias("id"))
     variants = durable(found.groupBy(*CELL, "value").agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("rows")))
-    strength = F.struct(F.col("rank").alias("r")) if recency else F.struct(F.col("rows").alias("w"), F.col("rank").alias("r"))
-    summary = variants.groupBy(*CELL).agg(F.max(F.struct(strength.alias("s"), F.col("value").alias("center"))).alias("best"), F.count(F.lit(1)).alias("n"))
-    agreed = summary.where("n = 1").select(*CELL, F.col("best.center").alias("value"), F.col("best.s.r.id").alias("value_id"))
-
-    spread = variants.withColumn("id", F.col("rank.id"))
-    contested = durable(lookup(spread, summary.where("n > 1").select(*CELL, F.col("best.center").alias("center"), "n"), CELL, hot_rows=hot_rows))
-    votes = contested.select(*CELL, "value", "center", "rows", "rank.updated", "rank.id").mapInArrow(_votes, "first_id bigint, field string, at int, inserted int, token string, weight bigint, updated bigint, id bigint")
-    tallies = votes.groupBy(*CELL, "at", "inserted", "token").agg(F.sum("weight").alias("w"), F.max(F.struct("updated", "id")).alias("r"))
-    order = F.struct("r", "token") if recency else F.struct("w", "r", "token")
-    columns = tallies.groupBy(*CELL, "at", "inserted").agg(F.max(order).alias("win"), F.sum("w").alias("cast")).select(*CELL, "at", "inserted", "win.token", "win.r", (F.lit(0) if recency else F.col("win.w")).alias("w"), "cast")
-    # in a column of the center everyone votes; in an inserted one all values that insert nothing vote for the gap
-    place = F.when(F.col("inserted") == 0, 2**31 - 1).otherwise(F.col("inserted")).alias("k")
-    cell = columns.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("at", place, "token", "r", "w"))).alias("c"), F.max("r").alias("top"), F.max(F.when(F.col("inserted") == 0, F.col("cast"))).alias("total"))
-    stays = lambda x: (x["token"] != "") & ((x["k"] == 2**31 - 1) | ((x["r"] == F.col("top")) if recency else (2 * x["w"] > F.col("total"))))
-    consensus = cell.select(*CELL, F.array_join(F.transform(F.filter("c", stays), lambda x: x["token"]), " ").alias("text"))
-    measured = lookup(contested.drop("center", "n"), contested.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).join(consensus, CELL, "left"), CELL, hot_rows=hot_rows)
-    distance = F.levenshtein(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")), F.coalesce("text", F.lit("")))
-    nearest = measured.groupBy(*CELL).agg(F.max(F.struct((-distance).alias("d"), "rank", "value")).alias("best"))
-    return agreed.unionByName(nearest.select(*CELL, "best.value", F.col("best.rank.id").alias("value_id")))
+    summary = variants.groupBy(*CELL).agg(F.max(F.struct(F.col("rank"), F.col("value"))).alias("best"), F.count(F.lit(1)).alias("n"))
+    summary = durable(summary)
+    agreed = summary.where("n = 1").select(*CELL, F.col("best.value").alias("value"), F.col("best.rank.id").alias("value_id"))
+    spread = variants.select(*CELL, "value", "rows", "rank.updated", "rank.id")
+    contested = lookup(spread, summary.where("n > 1").select(*CELL, "n"), CELL, hot_rows=hot_rows)
+    few = contested.where(F.col("n") <= leaf_values).select("first_id", "field", F.lit(0).cast("long").alias("leaf"), "value", "rows", "updated", "id")
+    chosen = few.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_chosen(recency), "first_id bigint, field string, value string, value_id bigint")
+    result = agreed.unionByName(chosen)
+    if summary.where(F.col("n") > leaf_values).isEmpty():
+        return result
+    return result.unionByName(_of_large_cells(contested.where(F.col("n") > leaf_values), leaf_values, recency, hot_rows))
 
 
 def records(chosen: DataFrame) -> DataFrame:
