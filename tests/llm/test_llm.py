@@ -2,7 +2,7 @@
 
 import random
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pytest
@@ -15,11 +15,11 @@ from veilframe.llm import consensus, queries as Q
 from veilframe.llm.consensus import Profile, distance
 from veilframe.llm.lookalike import LOOKALIKES, forms, lookalikes
 from veilframe.llm.matching import assign, closed, collapse, expand, links, match
-from veilframe.llm.packing import Containers, pack
+from veilframe.llm.packing import Containers, mixture_report, pack, windows
 from veilframe.llm.persons import attributes, birth_date, phone_number, split_name
 from veilframe.llm.rewritings import rewritings
 from veilframe.llm.survivors import cells, survivors
-from veilframe.llm.tokens import decode, encode, encoding, token_counts
+from veilframe.llm.tokens import _pieces, decode, encode, encoding, token_counts
 
 INSTANCE = "id long, project_id int, entity_type_id int, data string"
 
@@ -390,7 +390,12 @@ def test_chunks_resynchronise(spark):
         got = encode(docs, chunk=chunk, overlap=overlap)
         assert {x.doc_id: list(x.ids) for x in got.collect()} == want
     assert {x.doc_id: x.text for x in decode(got).collect()} == {i: t or "" for i, t in enumerate(texts)}
-    assert {x.doc_id: x.tokens for x in token_counts(docs, ["doc_id"]).collect()} == {i: len(w) for i, w in want.items()}
+    for chunk, overlap in ((64, 16), (1 << 20, 1024)):
+        assert {x.doc_id: x.tokens for x in token_counts(docs, ["doc_id", "chunk"], chunk=chunk, overlap=overlap).collect()} == {i: len(w) for i, w in want.items()}
+    # only the chunks around a long word stay together
+    word = spark.createDataFrame([(1, "ab cd " * 40 + "x" * 300 + " ef gh" * 40)], "doc_id long, text string")
+    sizes = sorted(len(r.text) for r in _pieces(word, 64, 16).collect())
+    assert len(sizes) > 4 and 300 <= sizes[-1] < 500
     with pytest.raises(ValueError):
         encode(docs, chunk=10, overlap=10)
 
@@ -432,14 +437,43 @@ def test_packing(spark, part_tokens):
             assert sum(held.values()) / (len(held) * capacity) > 0.97
 
 
-def test_windows_follow_the_mixture(spark):
-    from collections import deque
-
-    from veilframe.llm.packing import windows
-
+def test_windows_follow_the_mixture():
     queues = {"a": deque((i, 10) for i in range(900)), "b": deque((i, 10) for i in range(100))}
     drawn = list(windows(queues, {"a": 0.9, "b": 0.1}, {"a": 0.0, "b": 0.0}, 1000))
-    assert sum(map(len, drawn)) == 1000 and all(len(w) == 100 for w in drawn)
+    assert sum(map(len, drawn)) == 1000 and all(len(w) == 100 and sum(x[2] == "b" for x in w) == 10 for w in drawn)
+
+
+def test_deficits_never_exceed_half_a_document():
+    r = random.Random(7)
+    sizes = {s: [r.randrange(1, 90) for _ in range(400)] for s in "abc"}
+    target, taken, total = {"a": 6.0, "b": 3.0, "c": 1.0}, Counter(), 0
+    for w in windows({s: deque(enumerate(v)) for s, v in sizes.items()}, target, dict.fromkeys("abc", 0.0), 500):
+        for _, size, s in w:
+            taken[s] += size
+            total += size
+        if total > 9000:  # before the first queue is empty
+            break
+        assert all(abs(taken[s] - total * target[s] / 10) <= 90 for s in "abc")
+    assert total > 9000
+
+
+def test_targets_and_the_report(spark):
+    rows = [(i, "abn"[i % 3] if i % 3 < 2 else None, 10) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    kinds, targets = spark.createDataFrame([(1, 100)], "container_id int, capacity_tokens int"), spark.createDataFrame([("a", 3.0), ("b", 1.0), ("nowhere", 9.0)], "source string, share double")
+    packed = pack(df, kinds, targets)
+    assert packed.count() == 600 and packed.where("source is null").count() == 200
+    report = sorted((x.window, x.source or "", x.tokens, x.target, round(x.deviation, 6)) for x in mixture_report(packed, targets).collect())
+    assert report[:2] == [(0, "a", 300, 0.75, 0.0), (0, "b", 100, 0.25, 0.0)] and {s for _, s, *_ in report} == {"a", "b", ""}
+    even = mixture_report(pack(df, kinds)).collect()
+    assert max(abs(x.deviation) for x in even) < 0.05
+
+
+def test_mixture_of_the_whole_table(spark, data):
+    """No window is more than a document of the source away from its target, as long as every source has some left."""
+    rows = Q.p9_windows(spark, data).collect()
+    assert sum(x.tokens for x in rows if x.container_id == 3) >= sum(x.tokens for x in token_counts(spark.read.parquet(f"{data}/documents.parquet"), ["doc_id"]).collect())
+    assert all(abs(x.share - x.target - x.deviation) < 1e-9 for x in rows)
 
 
 def test_packing_of_nothing(spark):

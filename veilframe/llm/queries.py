@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm.lookalike import form_sql, forms, lookalikes
 from veilframe.llm.matching import expand, match
-from veilframe.llm.packing import fill_report, pack
+from veilframe.llm.packing import fill_report, mixture_report, pack
 from veilframe.llm.persons import person_rows
 from veilframe.llm.rewritings import rewritings
 from veilframe.llm.survivors import cells, records, survivors
@@ -86,6 +86,11 @@ def p9_filled(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(_packed(spark, folder), table(spark, folder, "token_container"))
 
 
+def p9_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each window of documents is from the target mixture, source by source."""
+    return mixture_report(durable(_packed(spark, folder)))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes(table(spark, folder, "documents"))
 
@@ -96,7 +101,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_consensus, p2_records, p5_found, p5_pairs, p8_ids, p8_roundtrip, p9_containers, p9_filled, p10_found, p10_forms)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_consensus, p2_records, p5_found, p5_pairs, p8_ids, p8_roundtrip, p9_containers, p9_filled, p9_windows, p10_found, p10_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 #: Texts longer than this many code points are encoded in chunks; neighbours overlap by OVERLAP.
@@ -79,36 +79,48 @@ def _boundaries(chunk: int, overlap: int):
     return run
 
 
-def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id`` and ``ids`` of every document, as if its whole text were encoded at once.
+def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """``doc_id``, ``piece`` and ``text``: long texts in pieces that are encoded apart.
 
-    Null and empty texts give an empty array. Short texts are encoded as they are. Long ones are cut into chunks that
-    overlap; every chunk is split into pre-tokens by its own task, and where two neighbours agree on a boundary within
-    their overlap the earlier chunk ends and the later one begins: from there on both would go on alike, as no
-    pre-token looks back. The pieces between such boundaries are encoded and put together in order. A document of
-    which two neighbours never agree (say, one word longer than the overlap) is encoded whole. ``doc_id`` is unique.
+    Chunks that overlap are split into pre-tokens by tasks of their own. Where two neighbours agree on a boundary the
+    earlier piece ends and the next begins: from there on both would go on alike, as no pre-token looks back. Chunks
+    between which none is found (say, within a word longer than the overlap) stay one piece; the others aren't touched.
     """
-    if overlap >= chunk or overlap <= MARGIN:
-        raise ValueError("the overlap must be shorter than a chunk and longer than the margin")
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = F.coalesce(F.length("text"), F.lit(0))
-    result = "doc_id bigint, ids array<int>"
-    short = docs.where(size <= chunk).mapInArrow(_encode(vocabulary, folder), result)
-    long = docs.where(size > chunk)
     chunks = long.mapInArrow(_chunks(chunk, overlap), "doc_id bigint, chunk bigint, text string").repartition("doc_id", "chunk")
     bounds = chunks.mapInArrow(_boundaries(chunk, overlap), "doc_id bigint, chunk bigint, head array<int>, tail array<int>")
     before = bounds.select("doc_id", (F.col("chunk") + 1).alias("chunk"), "tail")
     joints = bounds.select("doc_id", "chunk", "head").join(before, ["doc_id", "chunk"]).select("doc_id", "chunk", F.array_min(F.array_intersect("head", "tail")).alias("meet"))
-    begins = joints.select("doc_id", "chunk", F.col("meet").alias("start"))
-    ends = joints.select("doc_id", (F.col("chunk") - 1).alias("chunk"), (F.col("meet") + chunk).alias("stop"))
-    failed = joints.where("meet is null").select("doc_id").distinct()
-    whole = F.coalesce("start", F.lit(0))
-    pieces = chunks.join(begins, ["doc_id", "chunk"], "left").join(ends, ["doc_id", "chunk"], "left").join(failed, "doc_id", "left_anti")
-    pieces = pieces.select("doc_id", "chunk", F.substring(F.col("text"), whole + 1, F.coalesce("stop", F.length("text")) - whole).alias("text"))
-    encoded = pieces.mapInArrow(_encode(vocabulary, folder), "doc_id bigint, chunk bigint, ids array<int>")
-    stitched = encoded.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    rest = long.join(failed, "doc_id", "left_semi").mapInArrow(_encode(vocabulary, folder), result)
-    return short.unionByName(stitched).unionByName(rest)
+    # one row per chunk of a document: where it begins a piece, and where it ends one
+    order = Window.partitionBy("doc_id").orderBy("chunk")
+    all_chunks = bounds.select("doc_id", "chunk").join(joints, ["doc_id", "chunk"], "left")
+    begins = F.coalesce("meet", F.when(F.col("chunk") == 0, 0))
+    placed = all_chunks.withColumn("start", begins).withColumn("stop", F.lead("start").over(order)).withColumn("later", F.lead("chunk").over(order))
+    placed = placed.withColumn("piece", F.max(F.when(F.col("start").isNotNull(), F.col("chunk"))).over(order)).drop("meet")
+    start = F.coalesce("start", F.lit(0))
+    stop = F.when(F.col("later").isNull(), F.length("text")).otherwise(chunk + F.coalesce("stop", F.lit(0)))
+    own = chunks.join(placed, ["doc_id", "chunk"]).select("doc_id", "piece", "chunk", F.substring(F.col("text"), start + 1, stop - start).alias("text"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "")
+    return own.groupBy("doc_id", "piece").agg(whole.alias("text"))
+
+
+def _checked(chunk: int, overlap: int) -> None:
+    if overlap >= chunk or overlap <= MARGIN:
+        raise ValueError("the overlap must be shorter than a chunk and longer than the margin")
+
+
+def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id`` and ``ids`` of every document, as if its whole text were encoded at once.
+
+    Null and empty texts give an empty array. Texts of one chunk are encoded as they are, longer ones in pieces (see
+    ``_pieces``) that are put together in order. ``doc_id`` is unique.
+    """
+    _checked(chunk, overlap)
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    short = docs.where(size <= chunk).mapInArrow(_encode(vocabulary, folder), "doc_id bigint, ids array<int>")
+    encoded = _pieces(docs.where(size > chunk), chunk, overlap).mapInArrow(_encode(vocabulary, folder), "doc_id bigint, piece bigint, ids array<int>")
+    stitched = encoded.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(stitched)
 
 
 def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -123,8 +135,16 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = T
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def token_counts(documents: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """The ``keep`` columns and ``tokens``, the number of tokens of each whole text (0 for null and empty ones)."""
-    docs = documents.select(*keep, F.col(text).alias("_text"))
+def token_counts(documents: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The ``keep`` columns (``doc_id`` among them, unique) and ``tokens``, the number of tokens of each whole text (0 for
+    null and empty ones). Long texts are counted in the pieces they are encoded in."""
+    _checked(chunk, overlap)
+    size = F.coalesce(F.length(text), F.lit(0))
+    docs = documents.where(size <= chunk).select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[:-1]) + ", tokens bigint"
-    return docs.mapInArrow(_encode(vocabulary, folder, counts_only=True), schema)
+    short = docs.mapInArrow(_encode(vocabulary, folder, counts_only=True), schema)
+    long = documents.where(size > chunk)
+    pieces = _pieces(long.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chunk, overlap)
+    counted = pieces.mapInArrow(_encode(vocabulary, folder, counts_only=True), "doc_id bigint, piece bigint, tokens bigint").groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("tokens").alias("tokens"))
+    kept = long.select(*keep)
+    return short.unionByName(kept.join(counted, kept[doc_id].cast("long") == counted["_doc"]).drop("_doc"))
