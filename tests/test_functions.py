@@ -194,3 +194,9 @@ def test_plain_form():
 def test_stand_ins():
     assert not any(map(known, (None, "", "  ", "-", "--", "?", "N/A", "k. A.", "nicht bekannt", "Unknown ", "00000", "1900-01-01", "01.01.1900")))
     assert all(map(known, ("x", 0, False, "00001", "1900-01-02", "Na-Na")))
+
+
+def test_json_strings_are_unescaped(spark):
+    texts = ['{"a": "x\\nbreak zeta", "b": ", q", "c": ["say \\"hi\\" there", 5, {"k:": "v:"}], "n\\"m": "\\u00e4\\u0062"}', '{"a": "x"', '"lone"', "[]", None, '{"a": "b\\\\"}', '{"a" : "b" }']
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    assert [r.t for r in df.select(fulltext.json_text(F.col("d")).alias("t")).collect()] == ['x\nbreak zeta , q say "hi" there v: äb', None, "lone", "", None, "b\\", "b"]

@@ -11,9 +11,16 @@ def lexemes(text: Column) -> Column:
 
 
 def json_text(data: Column) -> Column:
-    """The string values of a JSON document, without names and numbers, joined by blanks."""
-    strings = F.regexp_extract_all(data, F.lit(r'"((?:[^"\\\\]|\\\\.)*)"\s*(?=[,}\]])'), F.lit(1))
-    return F.array_join(strings, " ")
+    """The string values of a JSON document, unescaped, without names and numbers, joined by blanks; null for what is no
+    JSON.
+
+    Every string is matched from its opening quote, names with their colon, so that no text within quotes is taken for
+    a string of its own; the values together are read once more as one JSON array, which undoes the escapes.
+    """
+    strings = F.regexp_extract_all(data, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    values = F.filter(strings, lambda s: ~s.endswith(":"))
+    read = F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>")
+    return F.when(F.try_parse_json(data).isNotNull(), F.array_join(read, " "))
 
 
 def prefix_matches(words: Column, part: str) -> Column:

@@ -23,9 +23,11 @@ def audited(kind: Column, wanted: Column) -> Column:
 
 
 def payload(body: Column, most: int = BODY_BYTES) -> Column:
-    """A body without white space, cut to ``most`` signs and marked if it was longer."""
-    text = F.regexp_replace(body, r"\s+", "")
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    """The first ``most`` bytes of a body in UTF-8, marked if there were more, without white space. Of a sign cut in two
+    a replacement character is left."""
+    cut = F.make_valid_utf8(F.substring(F.encode(body, "utf-8"), 1, most).cast("string"))
+    text = F.when(F.octet_length(body) > most, F.concat(cut, F.lit("..."))).otherwise(body)
+    return F.regexp_replace(text, r"\s+", "")
 
 
 def truncated(text: Column, most: int) -> Column:

@@ -51,22 +51,24 @@ def domains(rows: DataFrame, query: str, visible: DataFrame | None = None, most:
     return found.limit(most) if most else found
 
 
-def instances(rows: DataFrame, query: str, type_id: int | None = None, most: int = 100) -> DataFrame:
+def instances(rows: DataFrame, query: str, type_id: int | None = None, most: int | None = 100) -> DataFrame:
     """Live instances that fit every part of the query: in uid, project, type or times as text, as the beginning of a
     lexeme of the document, or (three signs and more) anywhere in its text. Best first: more of the query's words, then
-    greater trigram similarity, then id. ``*`` finds the latest."""
+    greater trigram similarity, then id. ``*`` finds the latest. ``most`` None: all."""
     live = rows.where("not is_deleted")
     if type_id is not None:
         live = live.where(F.col("entity_type_id") == type_id)
     if query.strip() == "*":
-        return live.orderBy(F.col("updated_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "instance_uid").limit(most)
+        latest = live.orderBy(F.col("updated_at").desc_nulls_last(), F.col("created_at").desc_nulls_last(), "instance_uid")
+        return latest.limit(most) if most else latest
     words = lexemes(json_text(F.col("data")))
     tests = []
     for part in parts(query):
         test = _any(["instance_uid", "project_id", "entity_type_id", "created_at", "updated_at"], part) | F.coalesce(prefix_matches(words, part), F.lit(False))
         tests.append(test | F.coalesce(F.col("data").ilike(f"%{part}%"), F.lit(False)) if len(part) >= 3 else test)
     found = live.where(_all(tests))
-    return found.withColumn("_rank", rank(words, query)).withColumn("_like", similarity(F.col("data"), F.lit(query))).orderBy(F.col("_rank").desc(), F.col("_like").desc(), "id").limit(most)
+    ranked = found.withColumn("_rank", F.coalesce(rank(words, query), F.lit(0.0))).withColumn("_like", similarity(F.col("data"), F.lit(query))).orderBy(F.col("_rank").desc(), F.col("_like").desc(), "id")
+    return ranked.limit(most) if most else ranked
 
 
 def types(rows: DataFrame, query: str, project_id: int | None) -> DataFrame:

@@ -325,13 +325,13 @@ _OK = "json_valid(data)"
 
 @query("select id, case when json_valid(data) then json_extract_string(data, '$.contact.zip') end zip from entity_instance where entity_type_id = 201 and json_valid(data)")
 def json_path_extract(spark, folder):
-    rows = lookup.json_equal_key(instances(spark, folder).where("entity_type_id = 201").select("id", "data"), "data").where("json_key is not null")
+    rows = instances(spark, folder).where("entity_type_id = 201").select("id", "data").where(F.try_parse_json("data").isNotNull())
     return rows.select("id", F.element_at(L.values_at("data", "contact.zip"), 1).alias("zip"))
 
 
 @query("select id from entity_instance where json_valid(data) and json_extract_string(data, '$.status') = 'active' and json_extract_string(data, '$.person.sex') = 'f' and json_type(data, '$.status') = 'VARCHAR'")
 def json_contains(spark, folder):
-    rows = lookup.json_equal_key(instances(spark, folder).select("id", "data"), "data").where("json_key is not null")
+    rows = instances(spark, folder).select("id", "data").where(F.try_parse_json("data").isNotNull())
     return search.contains_json(rows, {"status": "active", "person.sex": "f"}).select("id")
 
 
@@ -359,7 +359,7 @@ def instance_top_level(spark, folder):
     import json
 
     text = types(spark, folder).where("id = 205").select("type_definition").first()[0]
-    rows = lookup.json_equal_key(instances(spark, folder).where("entity_type_id = 205").select("id", "data"), "data").where("json_key is not null")
+    rows = instances(spark, folder).where("entity_type_id = 205").select("id", "data").where(F.try_parse_json("data").isNotNull())
     return schema.top_level_errors(rows, json.loads(text)).select("id", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown"))
 
 
@@ -382,10 +382,21 @@ def search_instances_star(spark, folder):
     return search.instances(instances(spark, folder), "*", most=250).select("id")
 
 
-@query()
+_STRINGS = "j as (select id, data::json d from entity_instance where json_valid(data)), s as (select id, array_to_string(list_transform(list_filter(json_extract(d, '$..*'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')), ' ') t from j)"
+
+
+@query("with " + _STRINGS + ", w as (select id, list_sort(list_distinct(" + _WORDS.format("t") + ")) l from s) select id, len(l) words, md5(array_to_string(l, ' ')) digest from w")
+def instance_lexemes(spark, folder):
+    """The lexemes of all strings in a document, escapes undone: their number and a digest of them."""
+    words = F.array_sort(fulltext.lexemes(fulltext.json_text(F.col("data"))))
+    rows = instances(spark, folder).select("id", words.alias("l")).where("l is not null")
+    return rows.select("id", F.size("l").cast("bigint").alias("words"), F.md5(F.array_join("l", " ")).alias("digest"))
+
+
+@query("with " + _STRINGS + ", w as (select id, " + _WORDS.format("t") + " l from s) select i.id from entity_instance i left join w using (id) where not is_deleted and " + " and ".join(f"(coalesce(len(list_filter(l, lambda x: starts_with(x, '{p}'))) > 0, false) or coalesce(data ilike '%{p}%', false) or instance_uid ilike '%{p}%')" for p in ("example", "radio")))
 def search_instances(spark, folder):
-    """Full-text search, best first; the order is an approximation."""
-    return search.instances(instances(spark, folder), "brandmann radiologie").select("id")
+    """Full-text search: all that fit, best first; the order is an approximation."""
+    return search.instances(instances(spark, folder), "Example RADIO", most=None).select("id")
 
 
 @query("select id, name from entity_type where not is_deprecated and project_id = 11 and (name ilike '%patient%' or version ilike '%patient%')")
@@ -640,8 +651,8 @@ def audit_user_type(spark, folder):
 
 @query("""select request_time, coalesce(case when trim(user_name) <> '' then user_name end, case when topic is not null then 'KAFKA' else 'UNKNOWN' end) user_name,
  case when topic is null then coalesce(case when id % 2 = 0 and trim(requester_ip) <> '' then requester_ip end, '127.0.0.1') end requester_ip, case when topic is null then request_url || '?q=1' end request_url,
- case when length(b) > 4096 then substr(b, 1, 4096) || '...' else b end request_body, case when topic is null then 'REST' else 'KAFKA' end source_system, topic, case when topic is not null then "partition" end as "partition", case when topic is not null then record_offset end record_offset
- from (select *, regexp_replace(request_body, '[\\t\\n\\x0b\\f\\r ]+', '', 'g') b from audit_event)""")
+ regexp_replace(case when strlen(request_body) > 4096 then substr(request_body, 1, 4096) || '...' else request_body end, '[\\t\\n\\x0b\\f\\r ]+', '', 'g') request_body, case when topic is null then 'REST' else 'KAFKA' end source_system, topic, case when topic is not null then "partition" end as "partition", case when topic is not null then record_offset end record_offset
+ from audit_event""")
 def audit_build(spark, folder):
     rows = table(spark, folder, "audit_event").select("request_time", "user_name", F.when(F.col("id") % 2 == 0, F.concat("requester_ip", F.lit(", 10.9.9.9"))).alias("forwarded"), F.lit(" ").alias("real_ip"), F.lit("127.0.0.1").alias("remote"), F.col("request_url").alias("url"), F.lit("q=1").alias("query"), F.col("request_body").alias("body"), "topic", "partition", "record_offset")
     return audit.build(rows)
