@@ -19,15 +19,16 @@ def hot_groups(groups: DataFrame, keys: Sequence[str], n: str = "n", rows: int =
     return groups.where(F.col(n) > rows).orderBy(F.col(n).desc(), *keys).limit(most).select(*keys, salts.alias("salts"))
 
 
-def lookup(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner", n: str = "n", spread: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner", n: str = "n", spread: str = "id", hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``groups`` (one row per key, row count in ``n``) without one task per hot key.
 
     The keys of hot groups, bounded in number, are broadcast to the rows; rows of a hot group are spread over salts by
     their ``spread`` column and the group's single row is repeated once per salt. Other groups join as they are.
-    ``how``: inner or left_semi. Keys must not be null on either side (null keys find nothing).
+    ``how``: inner or left_semi. Keys must not be null on either side (null keys find nothing). ``groups`` may have several
+    rows per key if ``counts`` (keys and ``n``, one row per key) tells the sizes; each then meets all rows of its key.
     """
     keys = list(keys)
-    hot = hot_groups(groups, keys, n, hot_rows)
+    hot = hot_groups(groups if counts is None else counts, keys, n, hot_rows)
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("salts"))).otherwise(0).cast("int")).drop("salts")
     count = F.col(n)
     repeats = F.when(count > hot_rows, F.ceil(count / F.lit(hot_rows))).otherwise(1).cast("int")

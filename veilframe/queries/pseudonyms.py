@@ -180,6 +180,25 @@ def supplied_psn(spark, folder):
     return pseudonyms(spark, folder).select("id", P.supplied(F.col("pseudonym"), F.lit("NO-")).alias("psn"))
 
 
+@query("select id, case when algorithm in ('CONSECUTIVE', 'RANDOM_NUM') then '0123456789' when algorithm = 'RANDOM_LET' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else 'ABCDEF0123456789' end signs, case when algorithm in ('CONSECUTIVE', 'RANDOM_NUM') then '0123456789' when algorithm = 'RANDOM_LET' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else '0123456789ABCDEF' end digits, length(salt) between 8 and 256 and trim(salt) <> '' salted from pseudonym_domain")
+def domain_alphabets(spark, folder):
+    """The alphabets of each domain's pseudonyms and check digits, and whether its salt will do."""
+    made = P.settings(domains(spark, folder)).select(F.col("domainid").alias("id"), F.col("_signs").alias("signs"), F.col("_digits").alias("digits"), (F.length("_s").between(8, 256) & (F.trim("_s") != "")).alias("salted"))
+    return made
+
+
+@query(f"select p.id, case when not starts_with(p.pseudonym, d.prefix) then false when d.algorithm in ('CONSECUTIVE', 'RANDOM_NUM', 'RANDOM') then {digit_sql(_BODY, luhn.MOD10, 1)} % 10 = 0 when d.algorithm = 'RANDOM_LET' then {digit_sql(_BODY, luhn.MOD26, 1)} % 26 = 0 else {digit_sql(_BODY, luhn.MOD16, 1)} % 16 = 0 end valid from pseudonym p join pseudonym_domain d on d.id = p.domainid")
+def validate_by_domain(spark, folder):
+    """Check digits by the validation's own choice of alphabet for each domain's algorithm."""
+    tables = {a: luhn.check_alphabet(a, legacy=True) for a in ("MD5", "SHA1", "SHA2", "SHA3", "BLAKE3", "XXHASH", "CONSECUTIVE", "RANDOM", "RANDOM_NUM", "RANDOM_LET", "RANDOM_SYM", "RANDOM_SYM_BIOS")}
+    alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in tables.items() for x in pair]), F.upper(F.trim("algorithm")))
+    d = domains(spark, folder).select(F.col("id").alias("domainid"), "prefix", alphabet.alias("signs"))
+    rows = pseudonyms(spark, folder).join(d, "domainid")
+    text = luhn.standardized(F.col("pseudonym"), F.col("prefix"))
+    valid = F.when(F.col("pseudonym").isNotNull() & text.isNull(), F.lit(False)).otherwise(luhn.digit_sum(text, F.col("signs"), 1) % F.length("signs") == 0)
+    return rows.select("id", valid.alias("valid"))
+
+
 # Validity
 
 _UNITS = "['d', ' w', 'hours', ' minutes', 'secs', ' mo.', 'yrs', ' ms', ' fortnight', '']"

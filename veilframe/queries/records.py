@@ -8,6 +8,7 @@ from veilframe.functions import fulltext, normalize as N, pprl as B
 from veilframe.functions.phonetics import encode_distinct
 from veilframe.operators import audit, entities, linkage as L, lookup, permissions as M, present, schema, search
 from veilframe.plans.durable import durable
+from veilframe.plans.skew import lookup as salted_lookup
 from veilframe.queries.registry import Registry
 from veilframe.sources.tables import table
 from veilframe.streaming import ingest
@@ -335,17 +336,25 @@ def json_contains(spark, folder):
     return search.contains_json(rows, {"status": "active", "person.sex": "f"}).select("id")
 
 
-@query()
+#: A key of each document that is JSON, the same for equal ones: every leaf with its path, type and value, in order.
+_JSON_KEYS = """o as materialized (select *, data::json d from entity_instance where json_valid(data) and json_type(data) <> 'NULL'),
+l as (select o.id, t.fullkey || ' ' || t.type || ' ' || coalesce(t.value::varchar, 'null') v from o, json_tree(o.d) t where t.type not in ('OBJECT', 'ARRAY') or t.value::varchar in ('{}', '[]')),
+k as (select id, md5(string_agg(v, chr(10) order by v)) k from l group by 1)"""
+
+
+@query("with " + _JSON_KEYS + " select i.id, min(i.id) over (partition by k) first_id from entity_instance i join k using (id)")
 def json_key(spark, folder):
-    """The canonical key of every document; tested against json."""
-    return lookup.json_equal_key(instances(spark, folder).select("id", "data"), "data").select("id", "json_key")
+    """Every JSON document with the first one that is equal to it, by the canonical key."""
+    keyed = durable(lookup.json_equal_key(instances(spark, folder).select("id", "data"), "data").where("json_key is not null").select("id", "json_key"))
+    first = keyed.groupBy("json_key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return salted_lookup(keyed, first, ["json_key"]).select("id", "first_id")
 
 
-@query()
+@query("with " + _JSON_KEYS + " select w.id wanted_id, i.id from entity_instance i join k using (id) join k x on x.k = k.k join entity_instance w on w.id = x.id where not i.is_deleted and w.id % 20 = 0")
 def instances_by_data(spark, folder):
-    """Live instances with the same document as another, whatever its layout."""
+    """Live instances with the same document, whatever its layout, as each twentieth row asks for."""
     rows = instances(spark, folder)
-    return lookup.instances_by_data(rows, rows.where("data is not null").select(F.col("id").alias("wanted_id"), F.col("data").alias("wanted"))).select("wanted_id", "id")
+    return lookup.instances_by_data(rows, rows.where("data is not null and id % 20 = 0").select(F.col("id").alias("wanted_id"), F.col("data").alias("wanted"))).select("wanted_id", "id")
 
 
 @query()
@@ -363,13 +372,13 @@ def instance_top_level(spark, folder):
     return schema.top_level_errors(rows, json.loads(text)).select("id", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown"))
 
 
-@query()
+@query("with " + _JSON_KEYS + ", h as (select project_id, entity_type_id, k, min(id) existing from entity_instance join k using (id) where id % 2 = 0 and not is_deleted group by 1, 2, 3), r as (select i.id, project_id, entity_type_id, k, row_number() over (partition by project_id, entity_type_id, k order by i.id) nth from entity_instance i left join k using (id)) select r.id request, case when r.k is null then 'rejected' when existing is not null or nth > 1 then 'duplicate' else 'created' end status, existing from r left join h on h.project_id = r.project_id and h.entity_type_id = r.entity_type_id and h.k = r.k")
 def instance_dedup(spark, folder):
-    """Creating every instance anew where the live ones of even id are held: what would be created, what is a duplicate
-    of a held one or of an earlier request, what is no JSON."""
+    """Creating every instance anew where the live ones of even id are held: which is created, which is a duplicate of a
+    held one or of an earlier request, which is no JSON."""
     rows = instances(spark, folder)
     requests = rows.select(F.col("id").alias("request"), "project_id", "entity_type_id", "data")
-    return entities.create_instances(requests, rows.where("id % 2 = 0 and not is_deleted")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return entities.create_instances(requests, rows.where("id % 2 = 0 and not is_deleted")).select("request", "status", "existing")
 
 
 @query("select id, sha256(data) data_sha256 from entity_instance")
