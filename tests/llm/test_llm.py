@@ -13,8 +13,8 @@ from tests.oracle import connect, same_rows
 from veilframe.functions.jsondoc import canonical, definitions, known, parse, plain, scalars
 from veilframe.llm import consensus, queries as Q
 from veilframe.llm.consensus import Profile, distance
-from veilframe.llm.lookalike import LOOKALIKES, forms, lookalikes
-from veilframe.llm.matching import assign, closed, collapse, expand, links, match
+from veilframe.llm.lookalike import classes, clean_texts, forms, lookalikes
+from veilframe.llm.matching import assign, closed, collapse, expand, links, match, membership
 from veilframe.llm.packing import Containers, mixture_report, pack, windows
 from veilframe.llm.persons import attributes, birth_date, phone_number, split_name
 from veilframe.llm.rewritings import rewritings
@@ -307,6 +307,28 @@ def test_matching(spark, window, stretch, hot):
     assert all(0 < r.confidence <= 1 for r in found)
 
 
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_membership_counts_the_pairs(spark, hot):
+    rows = people(spark)
+    matched = match(rows)
+    pairs = [(r.id_a, r.id_b) for r in expand(matched, rows, hot).collect()]
+    assert len(pairs) == len(set(pairs))
+    partners = defaultdict(set)
+    for a, b in pairs:
+        partners[a].add(b)
+        partners[b].add(a)
+    got = {r.id: (r.person, r.links) for r in membership(matched, rows, hot).collect()}
+    assert {i: n for i, (_, n) in got.items()} == {i: len(some) for i, some in partners.items()} and got[1][0] == got[2][0] == got[3][0] == got[4][0] == 1
+
+
+def test_three_want_two_that_others_leave(spark):
+    """Weights as in a crowded household: the third record must get the partner that is left."""
+    edges = [(f"x{i}", f"y{j}", w) for i in (1, 2, 3) for j, w in ((1, 20_000), (2, 20_000), (3, 12_000))]
+    df = spark.createDataFrame(edges, "x string, y string, weight long").select(F.encode("x", "utf-8").alias("x"), F.encode("y", "utf-8").alias("y"), F.lit(1).alias("px"), F.lit(2).alias("py"), "weight")
+    got = assign(df).collect()
+    assert len(got) == 3 and sum(e.weight for e in got) == 52_000
+
+
 def test_matching_of_nothing(spark):
     rows = people(spark).limit(0)
     assert expand(match(rows), rows).count() == 0
@@ -483,12 +505,27 @@ def test_packing_of_nothing(spark):
 # 10 look-alikes
 
 
+#: Look-alikes by their names in Unicode: (alphabet, letters as their Latin look-alikes, names of the letters).
+NAMED = [
+    ("CYRILLIC CAPITAL LETTER", "ABEIKMHOPCTXSJQW", "A VE IE BYELORUSSIAN-UKRAINIAN_I KA EM EN O ER ES TE HA DZE JE QA WE"),
+    ("CYRILLIC SMALL LETTER", "aeopcyxisjqwh", "A IE O ER ES U HA BYELORUSSIAN-UKRAINIAN_I DZE JE QA WE SHHA"),
+    ("GREEK CAPITAL LETTER", "ABEZHIKMNOPTYX", "ALPHA BETA EPSILON ZETA ETA IOTA KAPPA MU NU OMICRON RHO TAU UPSILON CHI"),
+    ("GREEK SMALL LETTER", "aivopu", "ALPHA IOTA NU OMICRON RHO UPSILON"),
+    ("ARMENIAN SMALL LETTER", "ohn", "OH HO VO"),
+]
+LIKE = {unicodedata.lookup(f"{script} {name.replace('_', ' ')}"): latin for script, letters, names in NAMED for latin, name in zip(letters, names.split())} | {"μ": "µ"}
+
+
 def brute_form(text):
     hidden = {0xAD, 0x34F, 0x61C, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF}
     text = "".join(c for c in text if ord(c) not in hidden)
     text = "".join(unicodedata.normalize("NFKC", c) if 0xFF01 <= ord(c) <= 0xFFEE else " " if unicodedata.category(c) == "Zs" else c for c in text)
-    letters = {k: v for k, v in LOOKALIKES.items() if len(unicodedata.normalize("NFD", k)) == 1}
-    return unicodedata.normalize("NFC", "".join(letters.get(c, c) for c in unicodedata.normalize("NFD", text)))
+    signs = []
+    for c in unicodedata.normalize("NFC", text):
+        base, *marks = unicodedata.normalize("NFD", c)
+        latin = unicodedata.normalize("NFC", LIKE.get(base, base) + "".join(marks))
+        signs.append(latin if len(latin) == 1 else c)
+    return unicodedata.normalize("NFC", "".join(signs))
 
 
 TEXTS = ["Café résumé", "Café résumé", "Ｃａｆé résumé", "Саfé résumé", "Ca​f­é résumé", "Cafe resume", "café résumé", "Cafе́ résumé", "10²", "102", "10²", "a\tb", "a b", "a b", "a\nb", "K1", "K1", "К1", "", " ​ ", None, "ї", "ï", "ї", "5 µg", "5 μg", "x" * 70_000, "х" * 70_000]
@@ -504,14 +541,27 @@ def brute_lookalikes(texts):
     return out
 
 
-def test_lookalikes(spark):
+@pytest.mark.parametrize("hot", [1, 4, 10_000])
+def test_lookalikes(spark, hot):
     texts = TEXTS + TEXTS[:6] * 3
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("form", F.lit("clash")).withColumn("share", F.lit(1))
-    got = [tuple(r) for r in lookalikes(docs, shares=3).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("form", F.lit("clash")).withColumn("n", F.lit(1))
+    got = [tuple(r) for r in lookalikes(docs, hot_rows=hot).collect()]
+    compact = {r.doc_id: (r.text_id, r.class_id, r.links) for r in classes(docs, hot_rows=hot).collect()}
+    pairs = brute_lookalikes(texts)
+    partners = {i: {a + b - i for a, b in pairs if i in (a, b)} for i in {i for p in pairs for i in p}}
+    assert compact == {i: (texts.index(texts[i]), min({i, *some} | {j for j in partners if texts[j] == texts[i]}), len(some)) for i, some in partners.items()}
     assert len(got) == len(set(got)) and set(got) == brute_lookalikes(texts)
     assert {r.doc_id: r.form for r in forms(docs).collect()} == {i: None if t is None else brute_form(t) for i, t in enumerate(texts)}
 
 
+def test_clean_texts_keep_their_alphabet(spark):
+    own = ["Ваше життя та їжа у Києві, Her Majesty said: а о і", "Νέα πόλη είναι ωραία ένα", "Café 10² ａ".replace("ａ", "a"), "", None, "ո Հայաստան օ", "жуки і дім, ВАСЕ"]
+    odd = ["Bаше життя тa їжа у Києві, Неr Majеsty said: a o i", "Nέα πόλη είναι ωρaίa ένα", "Ｃаfé\u200b 10²\u00a0ａ", "", None, "n Հայաստան o", "жуки i дім, BACE"]
+    docs = spark.createDataFrame(list(enumerate(own + odd)), "doc_id long, text string")
+    got = {r.doc_id: (r.form, r.clean) for r in clean_texts(docs).collect()}
+    assert [got[k][1] for k in range(len(own))] == own and all(got[k] == got[k + len(own)] for k in range(len(own)))
+
+
 def test_lookalikes_of_the_whole_table(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     by = defaultdict(list)

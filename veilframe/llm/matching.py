@@ -10,7 +10,7 @@ from veilframe.llm.assignment import choose
 from veilframe.llm.persons import ATTRIBUTES
 from veilframe.llm.sliding import EDGE, OUT_DDL, PAIR, PAIRED, RECORD, SIZE, slide
 from veilframe.plans.durable import durable
-from veilframe.plans.skew import HOT_ROWS, hot_groups
+from veilframe.plans.skew import HOT_ROWS, lookup
 
 #: Neighbours compared on either side in each sorted order.
 WINDOW = 6
@@ -193,16 +193,34 @@ def match(rows: DataFrame, least: float = LEAST, window: int = WINDOW, stretch:
 def expand(pairs: DataFrame, rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All pairs of rows of matched records: ``id_a`` < ``id_b``, ``confidence``.
 
-    A record has few partners but may have very many rows: rows of a hot record are salted on either side, and what
-    they meet is repeated once per salt.
+    A record has one partner per project at most but may have very many rows. Records are counted; at either meeting
+    the rows of a hot record are salted, and whatever meets them is repeated once per salt. At the second one the rows
+    that ``x`` brought are salted as well, where they are many, so neither side gathers in one task.
     """
-    hot = hot_groups(rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")), ["record"], rows=hot_rows)
-    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
-    salted = rows.select("record", "id").join(F.broadcast(hot), "record", "left").withColumn("salt", salt).drop("salts")
+    sizes = durable(rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda key: sizes.select(F.col("record").alias(key), F.col("n").alias(f"n_{key}"))
+    side = lambda key, name: rows.select(F.col("record").alias(key), F.col("id").alias(name))
+    sized = durable(pairs.select("x", "y", "confidence").join(of("x"), "x").join(of("y"), "y"))
+    first = lookup(side("x", "a"), sized, ["x"], n="n_x", spread="a", hot_rows=hot_rows, counts=of("x"))
+    part = F.ceil(F.col("n_x") / F.lit(hot_rows)).cast("int")
+    split = first.select("y", "n_y", "a", "confidence", "x", F.pmod(F.xxhash64("a"), part).cast("int").alias("part"))
+    # (y, x, part): the rows of y once for each part of its partner's rows
+    wanted = sized.select("y", "x", "n_y", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"))
+    others = lookup(side("y", "b"), wanted, ["y"], n="n_y", spread="b", hot_rows=hot_rows, counts=of("y"))
+    share = F.ceil(F.col("n_y") / F.lit(hot_rows)).cast("int")
+    right = others.select("y", "x", "part", "b", F.pmod(F.xxhash64("b"), share).cast("int").alias("share"))
+    left = split.select("y", "x", "part", "a", "confidence", F.explode(F.sequence(F.lit(0), share - 1)).alias("share"))
+    both = left.join(right, ["y", "x", "part", "share"])
+    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "confidence")
 
-    def meet(side: DataFrame, key: str, name: str) -> DataFrame:
-        spread = side.join(F.broadcast(hot.withColumnRenamed("record", key)), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-        return spread.join(salted.select(F.col("record").alias(key), "salt", F.col("id").alias(name)), [key, "salt"]).drop(key, "salt")
 
-    both = meet(meet(pairs.select("x", "y", "confidence"), "x", "a"), "y", "b")
-    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "confidence")
+def membership(pairs: DataFrame, rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per row of a matched record: ``id``, ``person`` (the smallest id of the rows of the record and those it is
+    matched with), ``links`` (how many rows of other projects it is paired with) and ``confidence`` of its weakest
+    match. The pairs themselves are never made."""
+    sizes = durable(rows.groupBy("record").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")))
+    both = pairs.select("x", "y", "confidence").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "confidence"))
+    others = both.join(sizes.select(F.col("record").alias("y"), F.col("n").alias("others"), F.col("least").alias("other")), "y")
+    linked = others.groupBy(F.col("x").alias("record")).agg(F.sum("others").alias("links"), F.min("other").alias("other"), F.min("confidence").alias("confidence")).join(sizes, "record")
+    found = lookup(rows.select("record", "id"), linked, ["record"], hot_rows=hot_rows)
+    return found.select("id", F.least("least", "other").alias("person"), "links", "confidence")
