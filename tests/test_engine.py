@@ -134,3 +134,60 @@ def test_json_paths():
 def test_images(spark):
     rows = spark.createDataFrame([(1, bytearray(b"x"), "image/PNG"), (2, bytearray(b""), "image/png"), (3, bytearray(b"x"), None), (4, None, "image/png"), (5, bytearray(5 * 1024 * 1024 + 1), "image/png")], "id int, data binary, mime string")
     assert {r.id: r.reason for r in entities.usable_images(rows).select("id", "reason").collect()} == {1: None, 2: "empty", 3: "wrong type", 4: "empty", 5: "too large"}
+
+
+def test_tables_of_a_database(spark):
+    """Through the embedded database that comes with Spark: read whole, and in ranges of a key."""
+    from veilframe.sources.tables import jdbc
+
+    url, driver = "jdbc:derby:memory:veil;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(100).selectExpr("id", "concat('n', id) name")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "things").option("driver", driver).mode("overwrite").save()
+    whole = jdbc(spark, url, "things", driver=driver)
+    parts = jdbc(spark, url, "things", key="id", bounds=(0, 100), partitions=4, driver=driver)
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == 4
+    want = {(r.id, r.name) for r in rows.collect()}
+    assert {(r[0], r[1]) for r in whole.collect()} == {(r[0], r[1]) for r in parts.collect()} == want
+
+
+def test_algorithms(spark):
+    table = spark.createDataFrame([(1, "MD5", 5)], "id int, name string, consecutivevaluecounter long")
+    table, new = entities.get_or_create_algorithm(table, {"name": "SHA1"})
+    assert new and not entities.get_or_create_algorithm(table, {"name": "SHA1"})[1]
+    table, found = entities.update_algorithm(table, 1, consecutivevaluecounter=6)
+    assert found and table.where("id = 1").first().consecutivevaluecounter == 6 and not entities.update_algorithm(table, 9, name="x")[1]
+    table, gone = entities.delete_algorithm(table, 2)
+    assert gone and [r.id for r in table.collect()] == [1]
+
+
+def test_without_a_shared_folder_a_cluster_is_refused():
+    from veilframe.plans.durable import shared_folder
+
+    class Conf(dict):
+        def get(self, name, default=None):
+            return dict.get(self, name, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert shared_folder(Session()) == "hdfs:///shared"
+
+
+def test_durable_tables_go_when_told(spark):
+    import os
+
+    from veilframe.plans.durable import durable, release, temporary
+
+    where = lambda t: t._durable_path.removeprefix("file://")
+    kept = durable(spark.range(3))
+    with temporary(spark):
+        inner = durable(kept)
+        with temporary(spark):
+            innermost = durable(kept)
+        assert not os.path.exists(where(innermost)) and os.path.exists(where(inner)) and inner.count() == 3
+    assert not os.path.exists(where(inner)) and kept.count() == 3
+    release(kept, None, spark.range(1))
+    assert not os.path.exists(where(kept))

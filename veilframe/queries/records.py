@@ -179,13 +179,13 @@ def block_votes(spark, folder):
     return L.candidates(*_asked(spark, folder), limit=3)
 
 
-_SCORES = _ASK + ", s as (select v.query, v.id, a.field_path, max(a.weight) w from v join t a on a.id = v.query join t b on b.id = v.id and a.field_path = b.field_path and a.tag = b.tag and a.token_type = b.token_type and a.token_value = b.token_value where a.token_type = 'norm' group by all), r as (select query, id, sum(w) score, sum(w) / 6.0 normalized from s group by 1, 2)"
+_SCORES = _ASK + ", s as (select v.query, v.id, a.field_path, a.field_path || ' [' || a.tag || ', NORM]' why, max(a.weight) w from v join t a on a.id = v.query join t b on b.id = v.id and a.field_path = b.field_path and a.tag = b.tag and a.token_type = b.token_type and a.token_value = b.token_value where a.token_type = 'norm' group by all), r as (select query, id, sum(w) score, sum(w) / 6.0 normalized, string_agg(why, '; ' order by why) matched_on from s group by 1, 2)"
 
 
-@query(_SCORES + " select query, id, score, normalized from r")
+@query(_SCORES + " select query, id, score, normalized, matched_on from r")
 def linkage_scores(spark, folder):
     asked, index = _asked(spark, folder)
-    return L.scored(L.candidates(asked, index, limit=None), asked, index).drop("matched_on")
+    return L.scored(L.candidates(asked, index, limit=None), asked, index).withColumn("matched_on", F.array_join("matched_on", "; "))
 
 
 CONFIG = L.Config(min_score=3.0, min_normalized=0.5, limit=1000, auto_link=True, on_match="returnExisting")
@@ -231,10 +231,10 @@ def _context(category: str, value: str) -> str:
 _GRAM = "list_distinct(list_transform(range(1, length('^' || name || '$')), lambda i: substr('^' || name || '$', i, 2)))"
 
 
-@query("select c_custkey, rtrim(translate(to_base64(from_hex(" + _hmac_sql(_context("exact", "lower(c_mktsegment)")) + ")), '+/', '-_'), '=') token from customer")
+@query("select c_custkey, rtrim(translate(to_base64(from_hex(" + _hmac_sql(_context("exact", "lower(c_name)")) + ")), '+/', '-_'), '=') token from customer")
 def pprl_hmac_exact(spark, folder):
     one = F.lit(1)
-    return table(spark, folder, "customer").select("c_custkey", B.exact_token(SECRET, one, F.lit(7), F.lit("name.full"), F.lower("c_mktsegment")).alias("token"))
+    return table(spark, folder, "customer").select("c_custkey", B.exact_token(SECRET, one, F.lit(7), F.lit("name.full"), F.lower("c_name")).alias("token"))
 
 
 @query(f"with c as (select c_custkey, lower(c_name) as name from customer) select c_custkey, array_to_string(list_sort({_GRAM}), ' ') grams from c")
@@ -242,61 +242,32 @@ def pprl_ngrams(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", F.array_join(F.array_sort(B.ngrams(F.lower("c_name"), 2)), " ").alias("grams"))
 
 
-_BITS = f"""with c as (select distinct lower(c_mktsegment) as name from customer), g as (select name, unnest({_GRAM}) gram from c), h as (select name, {_hmac_sql(_context("ngram", "gram || '|' || i::varchar"))} h from g, range(0, 4) r(i)),
+_BITS = f"""with c as (select distinct lower(c_name) as name from customer), g as (select name, unnest({_GRAM}) gram from c), h as (select name, {_hmac_sql(_context("ngram", "gram || '|' || i::varchar"))} h from g, range(0, 4) r(i)),
 b as (select name, list_sort(list_distinct(list((((('0x' || substr(h, 1, 8))::bigint % 512) + 512) % 512)::int))) bits from h group by 1)"""
 
 
-@query(_BITS + " select c_custkey, array_to_string(bits, ',') bits from customer join b on b.name = lower(c_mktsegment)")
-def pprl_bloom_positions(spark, folder):
-    rows = table(spark, folder, "customer").select("c_custkey", F.lower("c_mktsegment").alias("v"))
-    return B.bloom_by_value(rows, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v").select("c_custkey", F.array_join(F.col("bloom").cast("array<string>"), ",").alias("bits"))
-
-
-@query(_BITS + " select c_custkey, 2.0 * len(list_intersect(x.bits, y.bits)) / (len(x.bits) + len(y.bits)) alike from customer join b x on x.name = lower(c_mktsegment) join b y on y.name = 'building'")
-def pprl_dice(spark, folder):
-    """Similarity of every customer's market segment with one value."""
-    one, kind, tag = F.lit(1), F.lit(7), F.lit("name.full")
-    rows = table(spark, folder, "customer").select("c_custkey", F.lower("c_mktsegment").alias("v"))
-    fixed = B.bloom_positions(SECRET, one, kind, tag, F.lit("building"))
-    values = B.bloom_by_value(rows.select("v").distinct(), SECRET, one, kind, tag, "v").select("v", B.dice(F.col("bloom"), fixed).alias("alike"))
-    return rows.join(values, "v").select("c_custkey", "alike")
-
-
 _BANDS = _BITS + f""", w as (select name, k::int k, array_to_string(list_transform(range(k * 32, k * 32 + 32), lambda i: case when list_contains(bits, i::int) then '1' else '0' end), '') t from b, range(0, 16) r(k))
-select c_custkey, k, rtrim(translate(to_base64(from_hex({_hmac_sql(_context("band", "k::varchar || '|' || t"))})), '+/', '-_'), '=') token from customer join w on w.name = lower(c_mktsegment) where contains(t, '1')"""
-
-
-@query(_BANDS.replace("select c_custkey, k,", "select c_custkey,"))
-def pprl_bands(spark, folder):
-    rows = table(spark, folder, "customer").select("c_custkey", F.lower("c_mktsegment").alias("v"))
-    bloomed = B.bloom_by_value(rows.select("v").distinct(), SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v")
-    tokens = bloomed.select("v", F.explode(B.band_tokens(SECRET, F.lit(1), F.lit(7), F.lit("name.full"), F.col("bloom"))).alias("token"))
-    return rows.join(tokens, "v").select("c_custkey", "token")
-
-
-# The same encoders over names, of which there are as many as rows; the segments above are five.
+select c_custkey, k, rtrim(translate(to_base64(from_hex({_hmac_sql(_context("band", "k::varchar || '|' || t"))})), '+/', '-_'), '=') token from customer join w on w.name = lower(c_name) where contains(t, '1')"""
 
-_NAME = "c_name"
 
-
-@query(_BITS.replace("c_mktsegment", _NAME) + " select c_custkey, array_to_string(bits, ',') bits from customer join b on b.name = lower(c_name)")
-def pprl_bloom_names(spark, folder):
-    rows = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
+@query(_BITS + " select c_custkey, array_to_string(bits, ',') bits from customer join b on b.name = lower(c_name)")
+def pprl_bloom_positions(spark, folder):
+    rows = table(spark, folder, "customer").select("c_custkey", F.lower("c_name").alias("v"))
     return B.bloom_by_value(rows, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v").select("c_custkey", F.array_join(F.col("bloom").cast("array<string>"), ",").alias("bits"))
 
 
-@query(_BITS.replace("c_mktsegment", _NAME) + " select x.c_custkey, 2.0 * len(list_intersect(p.bits, q.bits)) / (len(p.bits) + len(q.bits)) alike from customer x join customer y on y.c_custkey = x.c_custkey + 1 join b p on p.name = lower(x.c_name) join b q on q.name = lower(y.c_name)")
-def pprl_dice_names(spark, folder):
+@query(_BITS + " select x.c_custkey, 2.0 * len(list_intersect(p.bits, q.bits)) / (len(p.bits) + len(q.bits)) alike from customer x join customer y on y.c_custkey = x.c_custkey + 1 join b p on p.name = lower(x.c_name) join b q on q.name = lower(y.c_name)")
+def pprl_dice(spark, folder):
     """Similarity of every customer's name with that of the next customer."""
-    rows = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
+    rows = table(spark, folder, "customer").select("c_custkey", F.lower("c_name").alias("v"))
     bloomed = durable(B.bloom_by_value(rows, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v"))
     following = bloomed.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("bloom").alias("other"))
     return bloomed.join(following, "c_custkey").select("c_custkey", B.dice(F.col("bloom"), F.col("other")).alias("alike"))
 
 
-@query(_BANDS.replace("c_mktsegment", _NAME).replace("select c_custkey, k,", "select c_custkey,"))
-def pprl_bands_names(spark, folder):
-    rows = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
+@query(_BANDS.replace("select c_custkey, k,", "select c_custkey,"))
+def pprl_bands(spark, folder):
+    rows = table(spark, folder, "customer").select("c_custkey", F.lower("c_name").alias("v"))
     bloomed = B.bloom_by_value(rows.select("v").distinct(), SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v")
     tokens = bloomed.select("v", F.explode(B.band_tokens(SECRET, F.lit(1), F.lit(7), F.lit("name.full"), F.col("bloom"))).alias("token"))
     return rows.join(tokens, "v").select("c_custkey", "token")
@@ -305,7 +276,7 @@ def pprl_bands_names(spark, folder):
 @query()
 def pprl_stored(spark, folder):
     """Bloom filters in their stored form and back again; the two agree for every row."""
-    some = table(spark, folder, "customer").select("c_custkey", F.lower(_NAME).alias("v"))
+    some = table(spark, folder, "customer").select("c_custkey", F.lower("c_name").alias("v"))
     b = B.bloom_by_value(some, SECRET, F.lit(1), F.lit(7), F.lit("name.full"), "v").withColumn("stored", B.encode_bits(512)("bloom"))
     return b.select("c_custkey", "stored", (B.decode_bits("stored") == F.col("bloom")).alias("same"))
 
@@ -529,7 +500,7 @@ def grants(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     kind = F.col("event_type")
     action = F.element_at(F.create_map(*[F.lit(x) for p in _ACTION.items() for x in p]), kind)
-    hours = F.round(F.abs("value")).cast("bigint") % 2000
+    hours = F.rint(F.abs("value")).cast("bigint") % 2000  # halves to even, as in the SQL
     ts = F.col("ts").cast("timestamp")
     return e.select(F.col("user_id").cast("string").alias("subject_id"), F.when(kind == "view", "PROJECT").otherwise("DOMAIN").alias("resource_type"), F.when(kind == "view", 11 + F.col("event_id") % 8).otherwise(1 + F.col("event_id") % 4).cast("int").alias("resource_id"), action.alias("action"), F.when(F.col("event_id") % 11 == 0, "DENY").otherwise("ALLOW").alias("decision"), ts.alias("valid_from"), (ts + F.make_dt_interval(F.lit(0), hours.cast("int"))).alias("valid_to"))
 
@@ -677,6 +648,37 @@ def audit_truncated(spark, folder):
     return table(spark, folder, "audit_event").select("id", audit.truncated(F.col("request_body"), 40).alias("body"))
 
 
+@query(_SOME + "select subject_id, resource_type, resource_id, action, valid_from::timestamptz valid_from, case when resource_id % 3 = 0 then 'DENY' else decision end decision, greatest(valid_from, valid_to)::timestamptz valid_to from held")
+def grant_update(spark, folder):
+    """Grants after every third resource's were denied."""
+    requests, held = _grant_requests(spark, folder)
+    changes = requests.where("resource_id % 3 = 0").withColumn("decision", F.lit("DENY"))
+    return M.update(changes, held)[1].select(*M.KEY, "valid_from", "decision", "valid_to")
+
+
+@query(_SOME + "select request, resource_id % 2 = 0 updated from req where resource_id % 3 = 0")
+def grant_update_flags(spark, folder):
+    requests, held = _grant_requests(spark, folder)
+    return M.update(requests.where("resource_id % 3 = 0").withColumn("decision", F.lit("DENY")), held)[0]
+
+
+@query("with recursive n(id, path, a) as (select id, '', unnest(json_extract(type_definition::json, '$.attributes[*]')) from entity_type where json_valid(type_definition) union all select id, case when json_extract_string(a, '$.layout') = 'group' and json_extract_string(a, '$.name') is not null then concat_ws('.', nullif(path, ''), json_extract_string(a, '$.name')) else path end, unnest(json_extract(a, '$.attributes[*]')) from n where json_type(a, '$.attributes') = 'ARRAY') select id, concat_ws('.', nullif(path, ''), json_extract_string(a, '$.name')) path, json_extract_string(a, '$.type') as kind, coalesce(json_extract_string(a, '$.required') = 'true', false) required from n where json_type(a, '$.attributes') is null")
+def type_leaves(spark, folder):
+    """The leaf attributes of every type definition (configuration) with their paths."""
+    import json
+
+    rows = types(spark, folder).select("id", "type_definition").collect()
+    found = [(r.id, path, node.get("type"), bool(node.get("required"))) for r in rows for path, node in schema.leaves(json.loads(r.type_definition)).items()]
+    return spark.createDataFrame(found, "id int, path string, kind string, required boolean")
+
+
+@query("select doc_id, case when text is null or text = '' then 'empty' when strlen(text) > 5242880 then 'too large' when doc_kind not in ('ticket', 'mail') or doc_kind is null then 'wrong type' end reason from documents")
+def image_checks(spark, folder):
+    """Texts as if they were images, typed by their kind."""
+    mime = F.when(F.col("doc_kind") == "ticket", "image/PNG").when(F.col("doc_kind") == "mail", "image/webp").otherwise("text/plain")
+    return entities.usable_images(documents(spark, folder).select("doc_id", F.encode("text", "utf-8").alias("data"), mime.alias("mime"))).select("doc_id", "reason")
+
+
 # The stream, as one batch: messages are the bodies of stream events
 
 _MESSAGES = "with m as (select id, request_body b, case when json_valid(request_body) then request_body end j from audit_event where source_system = 'KAFKA'), f as (select id, json_extract_string(j, '$.identifier') identifier, json_extract_string(j, '$.idType') idtype, json_extract_string(j, '$.sourceDomain') as domain, j from m)"
