@@ -41,25 +41,32 @@ def windows(queues: dict[str, deque], target: Mapping[str, float], deficit: dict
     of the window to its deficit and takes documents from its queue while the deficit covers them. What isn't used is
     carried to the next window; an overdraft (a document larger than the share left) is paid back there. A source
     without documents passes its share on to the others, in proportion, and keeps the deficit it has."""
-    names = sorted(queues)
-    waiting = [s for s in names if queues[s]]
+    waiting = sorted(s for s in queues if queues[s])
+    share: list[tuple[str, float, deque]] = []
     while waiting:
         drawn: list[tuple] = []
         room = window
         while room > 0 and waiting:
-            total = sum(target[s] for s in waiting)
-            share = {s: target[s] / total if total > 0 else 1 / len(waiting) for s in waiting}
-            quantum = room
-            for s in waiting:
-                deficit[s] += quantum * share[s]
-                queue = queues[s]
+            if len(share) != len(waiting):  # some source ran out
+                total = sum(target[s] for s in waiting)
+                share = [(s, target[s] / total if total > 0 else 1 / len(waiting), queues[s]) for s in waiting]
+            quantum, emptied = room, False
+            for s, part, queue in share:
+                credit = deficit[s] + quantum * part
+                size = queue[0][1] or 1
                 # half of a document is enough: over- and underdrafts of a source stay below half of one
-                while queue and max(queue[0][1], 1) <= 2 * deficit[s]:
+                while size <= 2 * credit:
                     item = queue.popleft()
-                    deficit[s] -= max(item[1], 1)
-                    room -= max(item[1], 1)
+                    credit -= size
+                    room -= size
                     drawn.append((*item, s))
-            waiting = [s for s in waiting if queues[s]]
+                    if not queue:
+                        emptied = True
+                        break
+                    size = queue[0][1] or 1
+                deficit[s] = credit
+            if emptied:
+                waiting = [s for s in waiting if queues[s]]
         yield drawn
 
 
