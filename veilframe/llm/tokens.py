@@ -88,14 +88,12 @@ def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """
     chunks = long.mapInArrow(_chunks(chunk, overlap), "doc_id bigint, chunk bigint, text string").repartition("doc_id", "chunk")
     bounds = chunks.mapInArrow(_boundaries(chunk, overlap), "doc_id bigint, chunk bigint, head array<int>, tail array<int>")
-    before = bounds.select("doc_id", (F.col("chunk") + 1).alias("chunk"), "tail")
-    joints = bounds.select("doc_id", "chunk", "head").join(before, ["doc_id", "chunk"]).select("doc_id", "chunk", F.array_min(F.array_intersect("head", "tail")).alias("meet"))
     # one row per chunk of a document: where it begins a piece, and where it ends one
     order = Window.partitionBy("doc_id").orderBy("chunk")
-    all_chunks = bounds.select("doc_id", "chunk").join(joints, ["doc_id", "chunk"], "left")
-    begins = F.coalesce("meet", F.when(F.col("chunk") == 0, 0))
-    placed = all_chunks.withColumn("start", begins).withColumn("stop", F.lead("start").over(order)).withColumn("later", F.lead("chunk").over(order))
-    placed = placed.withColumn("piece", F.max(F.when(F.col("start").isNotNull(), F.col("chunk"))).over(order)).drop("meet")
+    meet = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
+    begins = bounds.select("doc_id", "chunk", F.when(F.col("chunk") == 0, 0).otherwise(meet).alias("start"))
+    placed = begins.withColumn("stop", F.lead("start").over(order)).withColumn("later", F.lead("chunk").over(order))
+    placed = placed.withColumn("piece", F.max(F.when(F.col("start").isNotNull(), F.col("chunk"))).over(order))
     start = F.coalesce("start", F.lit(0))
     stop = F.when(F.col("later").isNull(), F.length("text")).otherwise(chunk + F.coalesce("stop", F.lit(0)))
     own = chunks.join(placed, ["doc_id", "chunk"]).select("doc_id", "piece", "chunk", F.substring(F.col("text"), start + 1, stop - start).alias("text"))
