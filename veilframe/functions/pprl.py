@@ -75,11 +75,12 @@ def bloom_positions(p: Pprl, project: Column, kind: Column, tag: Column, value:
 
 
 def bloom_by_value(values, p: Pprl, project: Column, kind: Column, tag: Column, value: str):
-    """Bloom filters of a column, each different value encoded once: thousands of hashes per value are worth a join.
+    """Bloom filters of a column, each different value encoded once: thousands of hashes per value are worth a join, and
+    a fixed number of tasks, since adaptive execution would put these few bytes into one.
 
     Returns ``values`` with ``bloom``; rows whose value is null get null.
     """
-    keys = values.select(project.alias("_p"), kind.alias("_k"), tag.alias("_t"), F.col(value).alias("_v")).where("_v is not null").distinct()
+    keys = values.select(project.alias("_p"), kind.alias("_k"), tag.alias("_t"), F.col(value).alias("_v")).where("_v is not null").distinct().repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     encoded = keys.withColumn("bloom", bloom_positions(p, F.col("_p"), F.col("_k"), F.col("_t"), F.col("_v")))
     on = (project == F.col("_p")) & (kind == F.col("_k")) & (tag == F.col("_t")) & (F.col(value) == F.col("_v"))
     return values.join(encoded, on, "left").drop("_p", "_k", "_t", "_v")
