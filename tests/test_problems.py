@@ -14,6 +14,8 @@ from veilframe.operators.delivery import Ranges, deliveries, seen_identifiers, s
 from veilframe.operators.intervals import sweep
 from veilframe.operators.sessions import numbered, session_values, sessions
 from veilframe.operators.shred import columns_of, elements, flat_table, nodes, shredded
+from veilframe.plans.durable import durable
+from veilframe.plans.prefix import with_blocks
 from veilframe.plans.skew import lookup
 from veilframe.queries import problems
 
@@ -254,3 +256,15 @@ def test_lookup_with_salts(spark, hot):
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     assert lookup(rows, groups, ["k"], hot_rows=hot).count() == 60
     assert lookup(rows, groups.where("n > 1"), ["k"], "left_semi", hot_rows=hot).count() == 40
+
+
+def test_a_million_events_in_one_block(spark):
+    """One user holds all events, close together: the work is cut by count and the sessions are right."""
+    events = spark.range(1_000_000).selectExpr("'u' k", "id * 1000 + (id div 100000) * 1000000 t", "id", "id % 7 u")
+    table = durable(events.select(F.col("k").alias("key"), "t"))
+    largest = with_blocks(table, ["key"], "t").groupBy("block").count().agg(F.max("count")).first()[0]
+    assert largest < 500_000
+    got = sorted((x.first_id, x.last_id, x.n) for x in sessions(events, "k", "t", "id", gap_us=10_000).collect())
+    assert got == [(k * 100_000, k * 100_000 + 99_999, 100_000) for k in range(10)]
+    (period,) = sweep(events.selectExpr("k", "t - t % 1000000000 a", "t + 2000000 b"), ["k"], "a", "b").where("kind = 'period'").collect()
+    assert period.n == 1_000_000

@@ -665,7 +665,10 @@ def grant_update_flags(spark, folder):
     return M.update(requests.where("resource_id % 3 = 0").withColumn("decision", F.lit("DENY")), held)[0]
 
 
-@query("with recursive n(id, path, a) as (select id, '', unnest(json_extract(type_definition::json, '$.attributes[*]')) from entity_type where json_valid(type_definition) union all select id, case when json_extract_string(a, '$.layout') = 'group' and json_extract_string(a, '$.name') is not null then concat_ws('.', nullif(path, ''), json_extract_string(a, '$.name')) else path end, unnest(json_extract(a, '$.attributes[*]')) from n where json_type(a, '$.attributes') = 'ARRAY') select id, concat_ws('.', nullif(path, ''), json_extract_string(a, '$.name')) path, json_extract_string(a, '$.type') as kind, coalesce(json_extract_string(a, '$.required') = 'true', false) required from n where json_type(a, '$.attributes') is null")
+_LEAVES = "with recursive n(id, path, a) as (select id, '', unnest(json_extract(type_definition::json, '$.attributes[*]')) from entity_type where json_valid(type_definition) union all select id, case when json_extract_string(a, '$.layout') = 'group' and json_extract_string(a, '$.name') is not null then concat_ws('.', nullif(path, ''), json_extract_string(a, '$.name')) else path end, unnest(json_extract(a, '$.attributes[*]')) from n where json_type(a, '$.attributes') = 'ARRAY'), leaf as (select id, concat_ws('.', nullif(path, ''), json_extract_string(a, '$.name')) path, json_extract_string(a, '$.type') as kind, coalesce(json_extract_string(a, '$.required') = 'true', false) required from n where json_type(a, '$.attributes') is null)"
+
+
+@query(_LEAVES + " select id, path, kind, required from leaf")
 def type_leaves(spark, folder):
     """The leaf attributes of every type definition (configuration) with their paths."""
     import json
@@ -675,6 +678,29 @@ def type_leaves(spark, folder):
     return spark.createDataFrame(found, "id int, path string, kind string, required boolean")
 
 
+@query(_LEAVES + " select b.id base, p.id project, count(*) filter (not exists (select 1 from leaf x where x.id = p.id and x.path = b.path)) missing from leaf b, entity_type p group by 1, 2")
+def type_specialises(spark, folder):
+    """How many attributes of each type every other one lacks, as a specialisation of it may not (configuration)."""
+    import json
+
+    rows = {r.id: json.loads(r.type_definition) for r in types(spark, folder).select("id", "type_definition").collect()}
+    found = [(b, p, sum(e.endswith("is missing") for e in schema.specialisation_errors(rows[b], rows[p]))) for b in rows for p in rows]
+    return spark.createDataFrame(found, "base int, project int, missing long")
+
+
+@query(_LEAVES + " select id, 0::bigint errors, count(*) broken from leaf group by 1")
+def type_definition_errors(spark, folder):
+    """Errors in each type's definition as it is, and after every attribute was given a type that doesn't exist."""
+    import json
+
+    def spoilt(nodes):
+        return [{**n, "attributes": spoilt(n["attributes"])} if "attributes" in n else {**n, "type": "nonsense"} for n in nodes]
+
+    rows = [(r.id, json.loads(r.type_definition)) for r in types(spark, folder).select("id", "type_definition").collect()]
+    found = [(i, len(schema.definition_errors(d)), len(schema.definition_errors({"attributes": spoilt(d["attributes"])}))) for i, d in rows]
+    return spark.createDataFrame(found, "id int, errors long, broken long")
+
+
 @query("select doc_id, case when text is null or text = '' then 'empty' when strlen(text) > 5242880 then 'too large' when doc_kind not in ('ticket', 'mail') or doc_kind is null then 'wrong type' end reason from documents")
 def image_checks(spark, folder):
     """Texts as if they were images, typed by their kind."""

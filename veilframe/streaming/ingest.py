@@ -99,10 +99,12 @@ def batch(messages: DataFrame, domains: DataFrame, held: DataFrame, as_of: Colum
     their identifier held and are duplicates, so in domains with one pseudonym per identifier a replay changes nothing.
     ``held`` (full key) is read once per attempt, as far as it meets the batch's keys (see ``classify.near``).
     """
-    rows = parsed(messages, fields)
+    rows = durable(parsed(messages, fields))  # three readers
     fresh = durable(new_domains(rows, domains, as_of, seed))
     every = domains.unionByName(fresh)
-    results, after = create(requested(rows, every), every, held, as_of, add_prefix=False, seed=seed)
+    # parsed dates are columns from here on; as expressions they would be repeated in every comparison
+    asked = durable(requested(rows, every))
+    results, after = create(asked, every, held, as_of, add_prefix=False, seed=seed)
     return results, rows.where("reject is not null").select("value", "reject"), after
 
 
