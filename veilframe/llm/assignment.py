@@ -9,7 +9,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from veilframe.plans.durable import durable
+from veilframe.plans.durable import durable, release
 
 
 def best(links: Sequence[tuple[Hashable, Hashable, int]]) -> set[int]:
@@ -85,9 +85,11 @@ def components(links: DataFrame, left: Sequence[str], right: Sequence[str]) -> D
         low = F.least(F.min("component").over(Window.partitionBy(*left)), F.min("component").over(Window.partitionBy(*right)))
         spread = durable(current.withColumn("low", low))
         if spread.where("low < component").isEmpty():
+            release(spread)
             return current.drop("link")
         named = spread.groupBy(F.col("link").alias("low")).agg(F.min("low").alias("lower"))
-        current = durable(spread.join(named, "low", "left").withColumn("component", F.least("low", "lower")).select(*current.columns))
+        before, current = current, durable(spread.join(named, "low", "left").withColumn("component", F.least("low", "lower")).select(*current.columns))
+        release(before, spread)
 
 
 def choose(links: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veilframe.llm.assignment import choose
 from veilframe.llm.persons import ATTRIBUTES
 from veilframe.llm.sliding import EDGE, OUT_DDL, PAIR, PAIRED, RECORD, SIZE, slide
-from veilframe.plans.durable import durable
+from veilframe.plans.durable import durable, release
 from veilframe.plans.skew import HOT_ROWS, lookup
 
 #: Neighbours compared on either side in each sorted order.
@@ -179,7 +179,8 @@ def closed(matched: DataFrame) -> DataFrame:
         implied = implied.join(best, ["x", "py"]).where("y = b.y").drop("b")
         fresh = implied.join(both.select("x", "py"), ["x", "py"], "left_anti").join(both.select(F.col("y"), F.col("px")), ["y", "px"], "left_anti")
         mutual = fresh.join(fresh.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_semi")
-        both = durable(both.unionByName(mutual.select(*both.columns)))
+        before, both = both, durable(both.unionByName(mutual.select(*both.columns)))
+        release(before)
     return both.where("px < py")
 
 
