@@ -6,7 +6,7 @@ from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from veilframe.plans.durable import durable
 from veilframe.plans.skew import HOT_ROWS, hot_groups, lookup
@@ -90,9 +90,13 @@ def deliveries(rows: DataFrame, producer: Sequence[str], number: str, time: str,
     """
     producer = list(producer)
     written = rows.schema[number].dataType
-    base = rows.select(*producer, F.col(number).alias("number"), F.col(time).alias("time"), F.col(row_id).alias("id")).dropna(subset=[*producer, "number"])
+    base = rows.select(*producer, F.col(number).alias("number"), F.col(time).alias("time"), F.col(row_id).alias("id"))
+    for name in [*producer, "number"]:
+        base = base.where(F.col(name).isNotNull())
     block = lambda c: (c - F.pmod(c, F.lit(block_numbers))).alias("block")
-    good = base.withColumn("number", _sequence_number(F.col("number"))).where("number is not null")
+    whole = isinstance(written, T.IntegralType)
+    regular = F.col("number").between(0, MOST_NUMBER)  # a plain range reaches the scan and its statistics
+    good = base.where(regular).withColumn("number", F.col("number").cast("long")) if whole else base.withColumn("number", _sequence_number(F.col("number"))).where("number is not null")
     good = good.withColumn("upto", F.col("number") + 1).withColumn("earlier", F.lit(0)).withColumn("block", block(F.col("number")))
     hot = durable(hot_groups(good.groupBy(*producer, "block").agg(F.count(F.lit(1)).alias("n")), [*producer, "block"], rows=hot_rows))
     crowded = not hot.isEmpty()
@@ -121,7 +125,7 @@ def deliveries(rows: DataFrame, producer: Sequence[str], number: str, time: str,
     else:
         ranged = first.select(*out, F.col("fresh").alias("kept"))
 
-    odd = base.where(_sequence_number(F.col("number")).isNull())
+    odd = base.where(~regular if whole else _sequence_number(F.col("number")).isNull())
     order = F.struct(F.col("time").isNull(), F.col("time"), F.col("id"))
     best = odd.groupBy(*producer, "number").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).withColumn("best", F.col("best.id"))
     if seen_odd is not None:
