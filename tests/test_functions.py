@@ -200,3 +200,18 @@ def test_json_strings_are_unescaped(spark):
     texts = ['{"a": "x\\nbreak zeta", "b": ", q", "c": ["say \\"hi\\" there", 5, {"k:": "v:"}], "n\\"m": "\\u00e4\\u0062"}', '{"a": "x"', '"lone"', "[]", None, '{"a": "b\\\\"}', '{"a" : "b" }']
     df = spark.createDataFrame([(t,) for t in texts], "d string")
     assert [r.t for r in df.select(fulltext.json_text(F.col("d")).alias("t")).collect()] == ['x\nbreak zeta , q say "hi" there v: äb', None, "lone", "", None, "b\\", "b"]
+
+
+def test_long_json_strings_need_no_stack(spark):
+    """Strings longer than a thread's stack allows calls, with escapes; the failure ends the virtual machine."""
+    text = 'word \\"q\\" \\n' * 100_000
+    df = spark.createDataFrame([('{"n:" :  1, "a": "' + text + '", "b": ["z"]}',), ('{"a": "' + text,)], "d string").repartition(2)
+    got = df.select(fulltext.json_text(F.col("d")).alias("t")).select(F.length("t").alias("n"), F.array_sort(fulltext.lexemes(F.col("t"))).alias("l")).collect()
+    assert sorted(((r.n, r.l) for r in got), key=str) == [(100_000 * 10 + 2, ["q", "word", "z"]), (None, None)]
+
+
+def test_what_follows_a_json_value_makes_it_none(spark):
+    good = ['{"a": "b"}', ' [1] \n', '"]}"', "1", "null", "{}", "[[], {}]"]
+    bad = ['"no": "x"', '{"a": 1}}', "1]", "1}", "1, 2", "1, 2] x", '1, "b": 2', '1, "": 2} x', "{} {}", "[1] 2", "", " ", "1,", "'a'", '{"a": 1}, {"b": 2}', "1], [2", "1}, {", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)], "k int, d string")
+    assert [r.ok for r in df.select("k", fulltext.is_json(F.col("d")).alias("ok")).orderBy("k").collect()] == [True] * len(good) + [False] * len(bad)

@@ -10,17 +10,29 @@ def lexemes(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def is_json(data: Column) -> Column:
+    """Whether a text is one complete JSON value with nothing but white space around it.
+
+    Spark's parsers read one value and ignore what follows it; what follows can't go on both an array and an object, so
+    within both the value must be the only one.
+    """
+    alone = (F.json_array_length(F.concat(F.lit("["), data, F.lit("]"))) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"":'), data, F.lit("}")))) == 1)
+    return F.coalesce(F.try_parse_json(data).isNotNull() & alone, F.lit(False))
+
+
 def json_text(data: Column) -> Column:
     """The string values of a JSON document, unescaped, without names and numbers, joined by blanks; null for what is no
     JSON.
 
     Every string is matched from its opening quote, names with their colon, so that no text within quotes is taken for
-    a string of its own; the values together are read once more as one JSON array, which undoes the escapes.
+    a string of its own; the values together are read once more as one JSON array, which undoes the escapes. The
+    repetitions are possessive: others are matched by recursion, a call per sign, and a long string's overflow of the
+    stack ends the executor.
     """
-    strings = F.regexp_extract_all(data, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    strings = F.regexp_extract_all(data, F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+'), F.lit(0))
     values = F.filter(strings, lambda s: ~s.endswith(":"))
     read = F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>")
-    return F.when(F.try_parse_json(data).isNotNull(), F.array_join(read, " "))
+    return F.when(is_json(data), F.array_join(read, " "))
 
 
 def prefix_matches(words: Column, part: str) -> Column:
