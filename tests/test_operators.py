@@ -368,6 +368,13 @@ def test_protected_candidates_are_all_scored(spark, tmp_path):
     assert all(r.normalized == best[q] for (q, _), r in got.items() if r.rank == 1)
 
 
+def test_search_reads_long_and_escaped_documents(spark):
+    texts = ['{"a": "' + 'word \\"q\\" ' * 50_000 + 'ra\\u0064iology"}', '{"a": "RADIO"}', '{"ra\\u0064io": 1}', '"a": "ra\\u0064io"', '{"a": "ra\\u0064"}', None]
+    rows = spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], "id int, instance_uid string, data string").selectExpr("*", "1 project_id", "1 entity_type_id", "false is_deleted", "timestamp'2020-01-01' created_at", "timestamp'2020-01-01' updated_at").repartition(2)
+    assert sorted(r.id for r in search.instances(rows, "Radio", most=None).collect()) == [0, 1]
+    assert sorted(r.id for r in search.instances(rows, "RA", most=None).collect()) == [0, 1, 4]
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_hot_blocks_are_salted_without_loss(spark, hot):
     rules = [L.Rule("a", tag="t", blocking=("exact",), weight=1.0)]

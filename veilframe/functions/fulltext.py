@@ -35,9 +35,18 @@ def json_text(data: Column) -> Column:
     return F.when(is_json(data), F.array_join(read, " "))
 
 
+def _signs(part: str) -> str:
+    return "".join(c for c in part.lower() if c.isalnum())
+
+
+def may_hold(data: Column, part: str) -> Column:
+    """Whether JSON text may hold a lexeme with the part's letters and digits: it has them, or escapes. Costs no parsing."""
+    return F.contains(F.lower(data), F.lit(_signs(part))) | F.contains(data, F.lit("\\"))
+
+
 def prefix_matches(words: Column, part: str) -> Column:
     """Whether some lexeme begins with the part's letters and digits."""
-    wanted = "".join(c for c in part.lower() if c.isalnum())
+    wanted = _signs(part)
     return F.exists(words, lambda w: w.startswith(wanted)) if wanted else F.lit(False)
 
 

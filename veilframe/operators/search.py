@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilframe.functions.fulltext import json_text, lexemes, prefix_matches, rank, similarity, word_matches
+from veilframe.functions.fulltext import json_text, lexemes, may_hold, prefix_matches, rank, similarity, word_matches
 
 
 def parts(query: str) -> list[str]:
@@ -64,8 +64,9 @@ def instances(rows: DataFrame, query: str, type_id: int | None = None, most: int
     words = lexemes(json_text(F.col("data")))
     tests = []
     for part in parts(query):
-        test = _any(["instance_uid", "project_id", "entity_type_id", "created_at", "updated_at"], part) | F.coalesce(prefix_matches(words, part), F.lit(False))
-        tests.append(test | F.coalesce(F.col("data").ilike(f"%{part}%"), F.lit(False)) if len(part) >= 3 else test)
+        test = _any(["instance_uid", "project_id", "entity_type_id", "created_at", "updated_at", *["data"] * (len(part) >= 3)], part)
+        # in this order: a document is read only where nothing else fits and its text doesn't rule it out
+        tests.append(test | F.coalesce(may_hold(F.col("data"), part) & prefix_matches(words, part), F.lit(False)))
     found = live.where(_all(tests))
     ranked = found.withColumn("_rank", F.coalesce(rank(words, query), F.lit(0.0))).withColumn("_like", similarity(F.col("data"), F.lit(query))).orderBy(F.col("_rank").desc(), F.col("_like").desc(), "id")
     return ranked.limit(most) if most else ranked
