@@ -375,6 +375,21 @@ def test_search_reads_long_and_escaped_documents(spark):
     assert sorted(r.id for r in search.instances(rows, "RA", most=None).collect()) == [0, 1, 4]
 
 
+@pytest.mark.parametrize("private, least", [(True, 2.0), (True, 0.5), (False, 2.0), (False, 3.5)])
+def test_kinds_of_records_are_scored_once(spark, private, least):
+    """Scoring by profiles gives what scoring every candidate gives; rare values, nulls and shared tags included."""
+    rules = [L.Rule("p.segment", tag="t", encoders=("doubleMetaphone",), blocking=("bloomBands", "phonetic", "prefix4"), weight=1.0), L.Rule("p.birth", kind="date", tag="date.birth", normalizers=(), blocking=("exact",), weight=3.0), L.Rule("p.other", tag="t", blocking=("exact",), weight=0.75)]
+    people = spark.range(200).selectExpr("id", "element_at(array('building', 'builder', 'furniture', 'machinery', null), cast(1 + id % 5 as int)) segment", "if(id % 17 = 3, null, date_format(date_add(date'1960-01-01', cast(id % 7 * 31 as int)), 'yyyy-MM-dd')) birth", "element_at(array('furniture', 'other', ' ', null), cast(1 + id % 4 as int)) other")
+    config = L.Config(private=private, pprl=L.Pprl("secret", length=128, positions=4), min_score=least, min_normalized=0.3, limit=None)
+    index = L.tokens(people, rules, {"p.segment": "segment", "p.birth": "birth", "p.other": "other"}, config).localCheckpoint()
+    asked = index.where("id % 3 = 0")
+    every = L.scored(L.candidates(asked, index, None), asked, index, config).where(f"score >= {least} and normalized >= 0.3")
+    rows = lambda df: sorted((r.query, r.id, round(r.score, 9), round(r.normalized, 9), tuple(r.matched_on)) for r in df.collect())
+    by_profile = L.scored_by_profile(asked, index, config)
+    assert by_profile is not None and rows(by_profile) == rows(every) != []
+    assert L.scored_by_profile(asked.limit(0), index, config) is None
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_hot_blocks_are_salted_without_loss(spark, hot):
     rules = [L.Rule("a", tag="t", blocking=("exact",), weight=1.0)]
