@@ -390,6 +390,32 @@ def test_kinds_of_records_are_scored_once(spark, private, least):
     assert L.scored_by_profile(asked.limit(0), index, config) is None
 
 
+def test_every_record_asks(spark, tmp_path):
+    """Protected linkage takes no record out of those that ask: each finds its twin, whatever its number."""
+    spark.range(1, 1201).selectExpr("id c_custkey", "concat('Customer#', id) c_name", "element_at(array('AUTOMOBILE', 'BUILDING', 'FURNITURE'), cast(1 + id % 3 as int)) c_mktsegment", "id % 7 c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.query, r.id): r for r in records.pprl_linkage(spark, str(tmp_path)).collect()}
+    twins = {(q, i) for a in range(1, 204) for q, i in ((a, a + 997), (a + 997, a))}
+    assert twins <= set(got) and all((i, q) in got and got[i, q].score == r.score for (q, i), r in got.items())
+
+
+@pytest.mark.parametrize("together, least", [(1000, 2.0), (3, 2.0), (3, 0.5)])
+def test_ranks_by_kind_are_those_by_query(spark, together, least):
+    """Lists ranked once per kind, cut into groups or not, step over each query's own record."""
+    rules = [L.Rule("p.segment", tag="t", blocking=("exact", "prefix4"), weight=1.0), L.Rule("p.birth", kind="date", tag="date.birth", normalizers=(), blocking=("exact",), weight=3.0)]
+    people = spark.range(150).selectExpr("id", "element_at(array('building', 'builder', 'furniture', null), cast(1 + id % 4 as int)) segment", "if(id % 17 = 3, null, date_format(date_add(date'1960-01-01', cast(id % 5 * 31 as int)), 'yyyy-MM-dd')) birth")
+    config = L.Config(private=True, pprl=L.Pprl("secret", length=128, positions=4), min_score=least, min_normalized=0.3, limit=None)
+    index = L.tokens(people, rules, {"p.segment": "segment", "p.birth": "birth"}, config).localCheckpoint()
+    for asked in (index, index.where("id % 3 = 0"), index.where("id < 40").withColumn("id", F.col("id") + 30)):
+        every = L.scored(L.candidates(asked, index, None), asked, index, config).where(f"score >= {least} and normalized >= 0.3")
+        lists = {}
+        for r in every.collect():
+            lists.setdefault(r.query, []).append((-round(r.normalized, 9), -round(r.score, 9), r.id))
+        want = {(q, i, k) for q, v in lists.items() for k, (_, _, i) in enumerate(sorted(v), 1)}
+        got = L.scored_by_profile(asked, index, config, together)
+        assert {(r.query, r.id, r["rank"]) for r in got.collect()} == want != set()
+        assert got.count() == len(want)
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_hot_blocks_are_salted_without_loss(spark, hot):
     rules = [L.Rule("a", tag="t", blocking=("exact",), weight=1.0)]
